@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise, release
 from .textbatch import Prefix, chunks, mix, runs, utf8
 
 FRAGMENT = 5  # bytes of a key that are sent; the bucket number holds the rest
@@ -174,27 +175,24 @@ class Repeats:
 
     def verdicts(self, names: DataFrame, docs: DataFrame) -> DataFrame:
         """(key, span, n, doc, chunks, verdict): verdict is null where all runs of the key are equal."""
-        per_key = names.groupBy("key").agg(F.count("*").alias("n_names"))
-        names = names.join(per_key, "key")
-        several = names.filter("n_names > 1").select(F.col("rep_chunk").alias("chunk"), "key", "span", "n", "doc", "b0", "b1", "n_names")
+        per_key = names.groupBy("key").agg(F.count("*").alias("n_names")).filter("n_names > 1")
+        several = names.join(per_key, "key").select(F.col("rep_chunk").alias("chunk"), "key", "span", "n", "doc", "b0", "b1", "n_names")
         pick = ("chunk", "key", "span", "n", "doc", "b0", "b1")
         plain = _pair(docs, several.filter(F.col("n_names") <= self.hot_names).select(*pick)).applyInArrow(lambda left, right: self.texts(left, right), TEXTS_DDL)
-        judged = plain.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(key), {self.parts}) AS INT)")).groupBy("shard").applyInArrow(lambda t: self.judged(t), VERDICT_DDL)
-        hot = _pair(docs, several.filter(F.col("n_names") > self.hot_names).select(*pick)).applyInArrow(lambda left, right: self.texts(left, right), TEXTS_DDL)
-        single = hot.mapInArrow(self.digests, "key long, span long, x int, w binary, n long, doc long")
-        totals = single.groupBy("w").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
-        decided = single.select("key", "span", "x", "w").join(totals, "w").groupBy("key", "span").agg(F.array_sort(F.collect_list(F.struct("x", "n", "doc"))).alias("v"))
-        decided = decided.select("key", "span", self.pack(F.col("v")).alias("verdict"))
-        found = names.join(judged.unionByName(decided), ["key", "span"], "left")
-        return found.select("key", "span", "n", "doc", "chunks", "verdict").filter(self.matters())
+        # shards hold an index in memory, so there are more of them than chunks
+        judged = plain.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(key), {8 * self.parts}) AS INT)")).groupBy("shard").applyInArrow(lambda t: self.judged(t), VERDICT_DDL)
+        if not per_key.filter(F.col("n_names") > self.hot_names).isEmpty():
+            hot = _pair(docs, several.filter(F.col("n_names") > self.hot_names).select(*pick)).applyInArrow(lambda left, right: self.texts(left, right), TEXTS_DDL)
+            single = hot.mapInArrow(self.digests, "key long, span long, x int, w binary, n long, doc long")
+            totals = single.groupBy("w").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
+            decided = single.select("key", "span", "x", "w").join(totals, "w").groupBy("key", "span").agg(F.array_sort(F.collect_list(F.struct("x", "n", "doc"))).alias("v"))
+            judged = judged.unionByName(decided.select("key", "span", self.pack(F.col("v")).alias("verdict")))
+        found = names.select("key", "span", "n", "doc", "chunks").join(judged, ["key", "span"], "left")
+        return found.filter("n > 1 OR verdict IS NOT NULL")
 
     def pack(self, v):
         raise NotImplementedError
 
-    def matters(self):
-        """Which names can lead to a removal; the rest isn't sent back."""
-        raise NotImplementedError
-
     def search(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(documents with their chunk, verdicts exploded to chunks)."""
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -203,6 +201,9 @@ class Repeats:
         names = _pair(docs, bits).applyInArrow(lambda left, right: self.named(left, right), NAMES_DDL)
         names = names.groupBy("key", "span").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "b0", "b1", "chunk")).alias("rep"), F.collect_list("chunk").alias("chunks"))
         names = names.select("key", "span", "n", "rep.doc", "rep.b0", "rep.b1", F.col("rep.chunk").alias("rep_chunk"), "chunks")
+        names = materialise(names, "repeats")
+        del bits
+        release(docs.sparkSession)  # the first phase's shuffles
         found = self.verdicts(names, docs).withColumn("chunk", F.explode("chunks")).drop("chunks")
         return docs, found
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +22,18 @@ def folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs tasks, never the phases before. Shuffle files of those phases
-    are released, as nothing refers to them any more.
+    This cuts the lineage: a lost executor costs tasks, never the phases before.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    del df
-    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer used."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

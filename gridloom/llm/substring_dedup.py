@@ -131,9 +131,6 @@ class WordRepeats(Repeats):
         flip = F.transform(word, lambda h: F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)]))
         return F.unhex(F.concat_ws("", flip))
 
-    def matters(self):
-        return F.expr("n > 1 OR verdict IS NOT NULL")
-
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 OUT_DDL = "doc_id long, n_words long, n_removed long, kept string"

@@ -126,9 +126,6 @@ class ByteRepeats(Repeats):
         pieces = F.transform(F.sequence(F.lit(0), (F.length(text) / 8 - 1).cast("int")), lambda i: F.lpad(F.conv(F.substring(text, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
         return F.unhex(F.concat_ws("", pieces))
 
-    def matters(self):
-        return F.expr("n > 1 OR verdict IS NOT NULL")
-
 
 def _covered(self: ByteRepeats, ids, data, offsets, found: Verdicts) -> np.ndarray:
     """Which bytes are covered by a repeated window."""

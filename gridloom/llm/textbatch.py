@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a batch; one longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 16
 
 _RNG = np.random.default_rng(20240917)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
