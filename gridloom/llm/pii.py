@@ -6,7 +6,6 @@ pseudonym in every document and the text around it keeps its shape:
 kind     what is found                                         what stays                   domain
 card     13 to 19 digits, single spaces or dashes between,      separators, length, Luhn     digits before the check digit
          that pass the Luhn check                              validity
-account  other runs of 13 to 19 digits                          length                       all digits
 ssn      ddd-dd-dddd that may be issued                         dashes, issuability          valid numbers
 phone    +cc (ddd) ddd-dddd and plain forms of 10 digits        country code, separators     the national digits
 ip       four octets of 0..255                                  dots, leading octet class    octets
@@ -121,16 +120,12 @@ class Pseudonyms:
         it = iter(digits)
         return "".join(next(it) if c.isdigit() else c for c in layout)
 
-    def card(self, text: str, inverse: bool = False) -> str:
+    def card(self, text: str, inverse: bool = False) -> str | None:
         d = re.sub(r"\D", "", text)
-        if is_luhn(d):
-            body = self.digits(d[:-1], b"card", inverse)
-            return self._refill(text, body + luhn_digit(body))
-        # not a card: never let it become one that passes
-        while True:
-            d = self.digits(d, b"account", inverse)
-            if not is_luhn(d):
-                return self._refill(text, d)
+        if not is_luhn(d):
+            return None
+        body = self.digits(d[:-1], b"card", inverse)
+        return self._refill(text, body + luhn_digit(body))
 
     def ssn(self, text: str, inverse: bool = False) -> str | None:
         d = text.replace("-", "")
