@@ -1,42 +1,11 @@
-"""Queries over the driver's tables, with the SQL that gives the same rows."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+"""Queries over the driver's tables, with the SQL that gives the same rows.
 
+Each query applies an operator of the library to a whole table whose columns stand in for the domain's.
+"""
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from __future__ import annotations
 
+from . import queries_geo, queries_grid, queries_points, queries_series
+from .registry import ORACLE_SQL, QUERIES, query, table
 
-@query(
-    """
-    SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS price_mean, max(l_extendedprice) AS price_max,
-           round(sqrt(power(sum(l_quantity * l_discount), 2) + power(sum(l_quantity * l_tax), 2)) / nullif(sum(l_quantity), 0), 8) AS drag_mean,
-           round(max(sqrt(l_discount * l_discount + l_tax * l_tax)), 8) AS drag_max
-    FROM lineitem GROUP BY l_returnflag
-    """
-)
-def weighted_vector_mean(spark, sf_dir):
-    m, x, y = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("n"),
-        F.round(F.avg("l_extendedprice"), 4).alias("price_mean"),
-        F.max("l_extendedprice").alias("price_max"),
-        F.round(F.sqrt(F.pow(F.sum(m * x), F.lit(2)) + F.pow(F.sum(m * y), F.lit(2))) / F.nullif(F.sum(m), F.lit(0.0)), 8).alias("drag_mean"),
-        F.round(F.max(F.sqrt(x * x + y * y)), 8).alias("drag_max"),
-    )
+__all__ = ["ORACLE_SQL", "QUERIES", "query", "table", "queries_geo", "queries_grid", "queries_points", "queries_series"]

@@ -1,0 +1 @@
+"""Readers and writers of the data model's files."""
