@@ -98,7 +98,7 @@ class Bpe:
             if a > b:
                 limit, inner = a, parts[a][1]
                 if inner == a:  # a single byte
-                    limit, a_done = b + 1, True
+                    limit = b + 1
                     inner_b = parts[b][0]
                     if inner_b == b:
                         return True

@@ -175,7 +175,8 @@ class Repeats:
 
     def verdicts(self, names: DataFrame, docs: DataFrame) -> DataFrame:
         """(key, span, n, doc, chunks, verdict): verdict is null where all runs of the key are equal."""
-        per_key = names.groupBy("key").agg(F.count("*").alias("n_names")).filter("n_names > 1")
+        # the second key follows from the first; with it the join exchanges both sides, so a hot key can be split
+        per_key = names.groupBy("key", F.shiftright("key", 63).alias("z")).agg(F.count("*").alias("n_names")).filter("n_names > 1").drop("z")
         several = names.join(per_key, "key").select(F.col("rep_chunk").alias("chunk"), "key", "span", "n", "doc", "b0", "b1", "n_names")
         pick = ("chunk", "key", "span", "n", "doc", "b0", "b1")
         plain = _pair(docs, several.filter(F.col("n_names") <= self.hot_names).select(*pick)).applyInArrow(lambda left, right: self.texts(left, right), TEXTS_DDL)
