@@ -13,7 +13,8 @@ def lit(x) -> Column:
 
 
 def clamp(x: Column, low, high) -> Column:
-    return F.greatest(lit(low), F.least(lit(high), x))
+    """x between low and high; null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(lit(low), F.least(lit(high), x)))
 
 
 def iso_to_epoch(text: Column) -> Column:

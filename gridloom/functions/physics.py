@@ -96,7 +96,7 @@ def yield_surface(p: Column, q_crossover: Column, m: Material, cut: bool = False
     """The smaller of two lines; 0 (with cut: null) below the threshold."""
     steep = (p - m.dp_threshold) * m.dp_tan
     second = q_crossover + (p - (q_crossover / m.dp_tan + m.dp_threshold)) * m.yield_tan
-    return F.when(p < m.dp_threshold, F.lit(None).cast("double") if cut else F.lit(0.0)).otherwise(F.least(steep, second))
+    return F.when(p < m.dp_threshold, F.lit(None).cast("double") if cut else F.lit(0.0)).when(p.isNotNull(), F.least(steep, second))
 
 
 def ellipse(p: Column, p_max: float, q_max: float, p_min: float = 0.0) -> Column:
@@ -117,7 +117,7 @@ def profile(z: Column, thickness: Column, surface: Column, modes: list[Column])
 def brine_linear(t: Column, salinity: float) -> Column:
     """Brine volume fraction, clipped to [0, 1]; warm ice saturates."""
     cold = F.greatest(-t, F.lit(1e-6))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(49.185) / cold + 0.532) * (salinity * 1e-3)))
+    return F.when(t.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(49.185) / cold + 0.532) * (salinity * 1e-3))))
 
 
 # Cubic coefficients of the phase functions F1, F2 on three temperature ranges.

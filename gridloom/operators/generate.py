@@ -11,6 +11,7 @@ from .. import schemas as S
 from ..functions import geo
 from ..functions.generic import byte_to_range, clamp, nearest_cell
 from ..params import Projection
+from .lineage import cut
 
 
 def tiles(spark: SparkSession, width: int, height: int, size: int) -> DataFrame:
@@ -49,10 +50,10 @@ def poisson_disk(spark: SparkSession, radius: float, width: float = 1.0, height:
     stay = None
     for _ in range(rounds):
         beaten = near(c, c, (F.col("id") != F.col("id2")) & ((F.col("rank2") < F.col("rank")) | ((F.col("rank2") == F.col("rank")) & (F.col("id2") < F.col("id")))))
-        won = c.join(beaten, "id", "left_anti")
+        won = cut(c.join(beaten, "id", "left_anti"))
         stay = won if stay is None else stay.union(won)
         c = c.join(won.select("id"), "id", "left_anti")
-        c = c.join(near(c, won, F.lit(True)), "id", "left_anti")
+        c = cut(c.join(near(c, won, F.lit(True)), "id", "left_anti"))
     return stay.select("id", "x", "y")
 
 

@@ -58,8 +58,9 @@ def has_any(mask: DataFrame, flag: int) -> DataFrame:
 
 def bounding_box(mask: DataFrame, which: Column, pad: int = 2, size: tuple[int, int] | None = None, required: bool = True) -> DataFrame:
     """(x0, x1, y0, y1) of the cells where `which` holds, padded and clamped to size; empty fails or is all 0."""
-    low = lambda c: F.greatest(F.min(c) - pad, F.lit(0))
-    high = lambda c, n: F.least(F.max(c) + pad, F.lit(n - 1)) if n else F.max(c) + pad
+    some = F.count("*") > 0
+    low = lambda c: F.when(some, F.greatest(F.min(c) - pad, F.lit(0)))
+    high = lambda c, n: F.when(some, F.least(F.max(c) + pad, F.lit(n - 1)) if n else F.max(c) + pad)
     nx, ny = size or (0, 0)
     out = mask.filter(which).agg(low("x").alias("x0"), high("x", nx).alias("x1"), low("y").alias("y0"), high("y", ny).alias("y1"))
     empty = F.raise_error(F.lit("no cell has the flag")).cast("int") if required else F.lit(0)

@@ -32,7 +32,9 @@ def asof_bracket(probes: DataFrame, frames: DataFrame, t: str, ts: str, values:
     high = F.when(has, F.coalesce("_floor._after", "_floor._f")).otherwise(F.coalesce("_ceil._after", "_ceil._f"))
     out = out.withColumn("_lo", low).withColumn("_hi", high)
     span = F.col("_hi._ts") - F.col("_lo._ts")
-    alpha = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_t") - F.col("_lo._ts")) / F.nullif(span, F.lit(0)))), F.lit(0.0))
+    # greatest and least skip nulls, so a single frame's empty span is told apart first
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_t") - F.col("_lo._ts")) / F.nullif(span, F.lit(0))))
+    alpha = F.when(span > 0, share).otherwise(F.lit(0.0))
     out = out.withColumn("alpha", F.when(F.col("_lo").isNotNull(), alpha))
     blended = [(F.col(f"_lo.{v}") * (1 - F.col("alpha")) + F.col(f"_hi.{v}") * F.col("alpha")).alias(v) for v in values]
     return out.select("_row.*", F.col("_lo._ts").alias("t0"), F.col("_hi._ts").alias("t1"), "alpha", *blended)

@@ -132,7 +132,7 @@ def brine_cubic(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(P.brine_cubic((-F.col("p_size")).cast("double"), 6.0), 8).alias("brine"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size = 20 THEN 0.0 ELSE round(p_size * 0.01 - 5, 9) END AS value, CASE WHEN p_size <> 20 THEN round(p_size * 0.01 - 5, 9) END AS strict FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size = 20 THEN 0.0 ELSE round(p_size * 0.01::DOUBLE - 5, 9) END AS value, CASE WHEN p_size <> 20 THEN round(p_size * 0.01::DOUBLE - 5, 9) END AS strict FROM part")
 def cf_unpack_fill(spark, sf_dir):
     raw = F.col("p_size").cast("double")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(X.unpack_cf(raw, 0.01, -5.0, 20.0), 9).alias("value"), F.round(X.unpack_cf(raw, 0.01, -5.0, 20.0, mode="exact"), 9).alias("strict"))

@@ -44,7 +44,7 @@ def central_difference(spark, sf_dir):
 
 @query(
     """
-    WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS m0, CAST(l_suppkey % 40 AS DOUBLE) AS m1, l_discount AS v0x, l_tax AS v0y, l_tax / 2 AS v1x, l_discount / 3 AS v1y, CAST(l_partkey % 5 AS DOUBLE) - 2 AS gx, CAST(l_orderkey % 7 AS DOUBLE) - 3 AS gy FROM lineitem),
+    WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS m0, CAST(l_suppkey % 40 AS DOUBLE) AS m1, l_discount * 1.0123457 AS v0x, l_tax * 1.0234567 AS v0y, l_tax / 2.0123457 AS v1x, l_discount / 3 AS v1y, CAST(l_partkey % 5 AS DOUBLE) - 2 AS gx, CAST(l_orderkey % 7 AS DOUBLE) - 3 AS gy FROM lineitem),
     q AS (SELECT *, m0 + m1 AS mt, sqrt(gx * gx + gy * gy) AS gn FROM p),
     r AS (SELECT *, -gx / nullif(gn, 0) AS nx, -gy / nullif(gn, 0) AS ny, (m0 * v0x + m1 * v1x) / nullif(mt, 0) AS cx, (m0 * v0y + m1 * v1y) / nullif(mt, 0) AS cy FROM q),
     s AS (SELECT *, (v0x - cx) * nx + (v0y - cy) * ny AS dn FROM r),
@@ -56,7 +56,7 @@ def central_difference(spark, sf_dir):
 def contact_impulse(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     q, d, t = (F.col(f"l_{c}") for c in ("quantity", "discount", "tax"))
-    c = SC.contact(q, (F.col("l_suppkey") % 40).cast("double"), (F.col("l_partkey") % 5).cast("double") - 2, (F.col("l_orderkey") % 7).cast("double") - 3, (d, t), (t / 2, d / 3), 0.3)
+    c = SC.contact(q, (F.col("l_suppkey") % 40).cast("double"), (F.col("l_partkey") % 5).cast("double") - 2, (F.col("l_orderkey") % 7).cast("double") - 3, (d * 1.0123457, t * 1.0234567), (t / 2.0123457, d / 3), 0.3)
     return rounded(li.select("l_orderkey", "l_linenumber", "l_partkey", c.alias("c")).select("l_orderkey", "l_linenumber", "l_partkey", "c.*"), 8)
 
 

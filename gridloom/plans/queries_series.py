@@ -263,7 +263,7 @@ def frame_statistics(spark, sf_dir):
     return rounded(D.statistics(table(spark, sf_dir, "events"), "value", ["event_type"]))
 
 
-@query("SELECT round(sum(p_size * 2.5), 4) AS volume, round(avg(p_retailprice), 6) AS strength_mean, round(avg(-p_size), 6) AS temperature_mean, CAST(min(p_size) AS DOUBLE) AS thickness_min FROM part")
+@query("SELECT round(sum(p_size * 2.5::DOUBLE), 4) AS volume, round(avg(p_retailprice), 6) AS strength_mean, round(avg(-p_size), 6) AS temperature_mean, CAST(min(p_size) AS DOUBLE) AS thickness_min FROM part")
 def sum_reductions(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("thickness"), F.col("p_retailprice").alias("xi"), (-F.col("p_size")).cast("double").alias("ts_old"))
     return rounded(D.totals(p, 2.5), 6, volume=4)

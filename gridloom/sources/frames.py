@@ -29,7 +29,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return d.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-def nearest_snapshot(names: DataFrame, wanted: int, pattern: str = r"(\d+)\D*$", name: str = "name") -> DataFrame:
+def nearest_snapshot(names: DataFrame, wanted: int, pattern: str = r"(\d+)(?:\.[A-Za-z]\w*)?$", name: str = "name") -> DataFrame:
     """The snapshot whose number is nearest, the lower of two; number 0 is left out."""
     n = F.regexp_extract(name, pattern, 1)
     d = names.filter(n != "").withColumn("n", n.cast("int")).filter("n <> 0")

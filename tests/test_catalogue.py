@@ -43,5 +43,9 @@ def test_query(spark, duck, name):
     rel = duck.sql(ORACLE_SQL[name])
     assert sorted(rel.columns) == cols
     want = ordered(rel.select(*[f'"{c}"' for c in cols]).fetchall())
+    kinds = {c: ("float" if t in ("double", "float") else "int" if t in ("int", "bigint", "smallint") else t) for c, t in df.dtypes}
+    for c, t in zip(rel.columns, rel.types, strict=True):
+        k = str(t)
+        assert ("float" if k in ("DOUBLE", "FLOAT") else "int" if k in ("INTEGER", "BIGINT", "SMALLINT") else kinds[c] if k in ("VARCHAR", "BOOLEAN") or k.startswith("TIMESTAMP") else k) == kinds[c], (c, k)
     assert len(got) == len(want)
     assert got == want
