@@ -163,3 +163,20 @@ def wrap_pack(spark, sf_dir):
     c = c.withColumn("packed", key)
     x, y = X.cell_of(F.col("packed"))
     return c.select("c_custkey", F.round(X.wrap_degrees(F.col("c_custkey") * 7.3), 6).alias("wrapped"), x.cast("long").alias("x"), y.cast("long").alias("y"), "packed")
+
+
+@query(f"WITH p AS ({_POS}), a AS (SELECT k, radians(lat) AS a, radians(80.5) AS b, radians(lon + 67.5) AS d FROM p) SELECT k, round(2 * 6371000.0 * asin(sqrt(least(1.0, power(sin((b - a) / 2), 2) + cos(a) * cos(b) * power(sin(d / 2), 2)))), 3) AS metres FROM a")
+def sphere_distance(spark, sf_dir):
+    return _positions(spark, sf_dir).select("k", F.round(geo.sphere_distance(F.col("lat"), F.col("lon"), F.lit(80.5), F.lit(-67.5)), 3).alias("metres"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS DOUBLE) AS a, 1.5::DOUBLE AS b FROM customer")
+def brace_parse(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    v = X.parse_braces(F.format_string("{{%d,%d},{1.5,2}}", "c_custkey", "c_nationkey"))
+    return c.select("c_custkey", v[0][0].alias("a"), v[1][0].alias("b"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(l_quantity + 0.5) AS INTEGER) AS cell, round((l_extendedprice - 900) / 100000, 9) AS share FROM lineitem")
+def normalise_range(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.nearest_cell(F.col("l_quantity")).alias("cell"), F.round(X.normalise(F.col("l_extendedprice"), 900.0, 100900.0), 9).alias("share"))

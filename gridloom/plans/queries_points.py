@@ -144,3 +144,51 @@ def tile_grid(spark, sf_dir):
 @query()
 def poisson_sample(spark, sf_dir):
     return G.poisson_disk(spark, 0.05, seed=7)
+
+
+@query("SELECT l_returnflag, min(l_extendedprice) AS x0, max(l_extendedprice + l_quantity) AS x1, min(l_quantity) AS y0, max(l_quantity * 2) AS y1, min(l_discount + 0.01::DOUBLE) AS resolution FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_returnflag")
+def mosaic_extent(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'")
+    boxes = li.select(F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("x1"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") * 2).alias("y1"), (F.col("l_discount") + 0.01).alias("resolution"))
+    return G.mosaic_extent(boxes).select(F.lit("A").alias("l_returnflag"), "*")
+
+
+@query("SELECT CAST(bit_or((CASE WHEN l_tax > 0.079 THEN 1 ELSE 0 END) | (CASE WHEN l_discount > 5 THEN 2 ELSE 0 END)) AS INTEGER) AS errors FROM lineitem")
+def error_bits(spark, sf_dir):
+    from ..operators.diagnostics import error_bits as bits
+
+    nan = lambda c: F.when(c, F.lit(float("nan"))).otherwise(0.0)
+    return bits(table(spark, sf_dir, "lineitem").select(nan(F.col("l_tax") > 0.079).alias("a"), nan(F.col("l_discount") > 5).alias("b")), {"a": 1, "b": 2})
+
+
+@query("WITH m AS (SELECT p_partkey AS x FROM part WHERE p_size < 30 AND p_size > 10) SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT x FROM m) AND l_partkey > 1 AND l_partkey < 1998 AND l_suppkey > 1 AND l_suppkey < 98")
+def candidate_points(spark, sf_dir):
+    from ..operators.masks import candidate_points as pick
+
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("cell_x"), F.col("l_suppkey").alias("cell_y"))
+    good = table(spark, sf_dir, "part").filter("p_size < 30 AND p_size > 10").select(F.col("p_partkey").alias("x"))
+    mask = good.join(p.select(F.col("cell_x").alias("x"), F.col("cell_y").alias("y")).distinct(), "x").withColumn("flags", F.lit(S.MASK_ANALYSIS | 3).cast("long"))
+    return pick(p, mask, 2000, 100).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query()
+def populated_points(spark, sf_dir):
+    from ..params import Projection
+
+    n = 24
+    grid = spark.range(n * n).select((F.col("id") % n).cast("int").alias("x"), F.expr(f"CAST(id DIV {n} AS INT)").alias("y"))
+    mask = grid.withColumn("flags", F.lit(S.WATER | S.ICE))
+    return G.populate_points(G.poisson_disk(spark, G.sample_radius(2.0, n), seed=5), mask, G.random_thickness(grid, 0.5, 2.5, 3), Projection(80.0, -65.0), n, n)
+
+
+@query()
+def regrid_wind(spark, sf_dir):
+    from ..operators import regrid as RG
+    from ..params import Projection
+
+    p = Projection(80.0, -65.0, (1000.0, 0.0, -15000.0, 0.0, -1000.0, 15000.0))
+    mesh = spark.range(144).select(F.expr("CAST(id DIV 12 AS INT)").alias("r"), (F.col("id") % 12).cast("int").alias("c"))
+    mesh = mesh.withColumn("lat", F.lit(79.86) + F.col("r") * 0.025).withColumn("lon", F.lit(-65.8) + F.col("c") * 0.14)
+    daily = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("t")).agg(F.avg("value").alias("v"))
+    frames = mesh.crossJoin(F.broadcast(daily)).select("t", "r", "c", F.col("v").alias("u10"), (-F.col("v")).alias("v10"), (F.col("v") + F.col("r")).alias("skt"))  # one row a day of the month
+    return rounded(RG.regrid_curvilinear(frames, RG.curvilinear_mapping(mesh, p, 30, 30, 0, 0, 30), p), 6)

@@ -454,3 +454,27 @@ def test_streams(spark, tmp_path):
     assert state == {"a": (6, 36.0, 11.0), "b": (6, 30.0, 10.0)}
     changed = run(ST.changed_frames(stream, "key", "frame"), "append", "c")
     assert sorted(r.frame for r in changed if r.key == "a") == [0, 1, 2, 3]
+
+
+def test_image_masks(spark, tmp_path):
+    """A 3 x 2 PNG written by hand: red 0, 100, 200 across, the bottom row white."""
+    import struct
+    import zlib
+
+    from gridloom.sources.images import read_image
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = b"\0" + bytes([0, 1, 2, 100, 1, 2, 200, 1, 2]) + b"\0" + b"\xff" * 9
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    px = read_image(spark, str(tmp_path))
+    assert {(r.x, r.y): (r.r, r.g, r.b) for r in px.collect()} == {(0, 1): (0, 1, 2), (1, 1): (100, 1, 2), (2, 1): (200, 1, 2), **{(x, 0): (255, 255, 255) for x in range(3)}}
+    flags = {(r.x, r.y): r.flags for r in M.merge_layers([M.layer(px, S.WATER), M.layer(px, S.ICE, threshold=150, invert=True)]).collect()}
+    assert flags == {(0, 1): 1, (1, 1): 1, (2, 1): 2, (0, 0): 2, (1, 0): 2, (2, 0): 2}
+
+
+def test_bounds_keep_nulls(spark):
+    null = F.lit(None).cast("double")
+    r = one(spark, X.clamp(null, 0.0, 1.0).alias("a"), P.brine_linear(null, 6.0).alias("b"), P.yield_surface(null, F.lit(1.0), Material()).alias("c"), X.quantise_rounded(null).alias("d"))
+    assert tuple(r) == (None,) * 4
