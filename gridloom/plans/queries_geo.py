@@ -180,3 +180,18 @@ def brace_parse(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(l_quantity + 0.5) AS INTEGER) AS cell, round((l_extendedprice - 900) / 100000, 9) AS share FROM lineitem")
 def normalise_range(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.nearest_cell(F.col("l_quantity")).alias("cell"), F.round(X.normalise(F.col("l_extendedprice"), 900.0, 100900.0), 9).alias("share"))
+
+
+@query(
+    """
+    WITH f AS (SELECT p_partkey, (p_size / 10.0 - 0.7) / (4.0 - 0.7) AS f, greatest(0.0, least(1.0, p_retailprice / 2000)) AS a FROM part),
+    i AS (SELECT *, greatest(0.0, least(1.0, f)) AS t FROM f)
+    SELECT p_partkey, round(f, 9) AS frac, round(a, 9) AS alpha, CAST(trunc(255 + (CAST(trunc(0 + 255 * t) AS INTEGER) - 255) * a) AS INTEGER) AS r FROM i
+    """
+)
+def raster_compose(spark, sf_dir):
+    from ..functions import visual as V
+
+    p = table(spark, sf_dir, "part")
+    out = V.compose(p, "thickness", F.col("p_size") / 10.0, [(0, 0, 0), (255, 255, 255)], F.col("p_retailprice") / 2000)
+    return out.select("p_partkey", F.round("frac", 9).alias("frac"), F.round("alpha", 9).alias("alpha"), F.col("rgb.r").alias("r"))
