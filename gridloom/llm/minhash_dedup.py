@@ -7,7 +7,8 @@ counted with bit operations and corrected for chance collisions, (agreement - 1/
 whose estimate is five standard deviations below the threshold go; the rest is confirmed on full sets.
 
 Only what components need is compared: documents with one set form one class; in a band's bucket each class is
-first compared with the smallest; then, for buckets that still hold several components, across them.
+first compared with the hub; then, for buckets that still hold several components, across them. Large buckets
+are split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -103,94 +104,207 @@ def _sign(shingle: int):
 SIGNED = "doc_id long, n_shingles long, low long, high long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
-def _sets(shingle: int):
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Agreeing minima of packed signatures, row by row."""
+    x = a ^ b
+    x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    return BANDS * ROWS - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+
+
+def _least_agreement(percent: int) -> float:
+    """Five standard deviations under what is expected at the threshold, chance collisions included."""
+    n, p = BANDS * ROWS, percent / 100 + (1 - percent / 100) / 2**BITS
+    return n * (p - 5 * (p * (1 - p) / n) ** 0.5)
+
+
+def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose estimate and sizes do not rule them out."""
+    bits = [f"s{k}" for k in range(4)]
+    one = signed.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"x{c}") for c in bits), F.col("n_shingles").alias("na"))
+    two = signed.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"y{c}") for c in bits), F.col("n_shingles").alias("nb"))
+    differ = " + ".join(f"bit_count(((x{c} ^ y{c}) | shiftrightunsigned(x{c} ^ y{c}, 1)) & 6148914691236517205L)" for c in bits)
+    size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    return pairs.join(one, "a").join(two, "b").filter(f"{size} AND {BANDS * ROWS} - ({differ}) >= {_least_agreement(percent)}").select("a", "b")
+
+
+def _open_pairs(percent: int, ids, n, comp, side, sig, bands, bucket: int, split: bool):
+    """For each row, which later rows it must still be compared with: likely similar, of another component, and
+    not met in an earlier band's bucket. Yields (row, rows)."""
+    least, band = _least_agreement(percent), int(np.flatnonzero(bands[0] == bucket)[0])
+    for i in range(len(ids)):
+        ok = comp[i + 1 :] != comp[i]
+        if split:
+            ok &= side[i + 1 :] != side[i]
+        j = i + 1 + np.flatnonzero(ok)
+        if len(j):
+            j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
+            j = j[_agreement(sig[j], sig[i]) >= least]
+            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+            if len(j):
+                yield i, j
+
+
+def _block(table: pa.Table):
+    table = table.sort_by("doc_id")
+    ids, n, comp, side = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component", "side"))
+    sig = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    bucket, lo, hi = (table.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
+    return table, (ids, n, comp, side, sig, bands, bucket, lo != hi)
+
+
+def _involved(percent: int):
+    """The documents of a block pair that have something to be compared with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, args = _block(table)
+        hit = np.zeros(table.num_rows, bool)
+        for i, j in _open_pairs(percent, *args):
+            hit[i] = True
+            hit[j] = True
+        return table.select(["doc_id", "bucket", "lo", "hi", "side", "component"]).filter(pa.array(hit))
+
+    return run
+
+
+def _settled(percent: int):
+    """Links of a block pair: open pairs compared on full sets, unless they have become connected."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, args = _block(table)
+        ids, comp = args[0], args[2]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("members")]
+        size = np.array([len(x) for x in sets])
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        words, code = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(words), bool)
+        label = {int(c): int(c) for c in comp}
+        found = []
+        for i, j in _open_pairs(percent, *args):
+            mark[code[start[i] : start[i] + size[i]]] = True
+            for k in j.tolist():
+                if label[int(comp[k])] == label[int(comp[i])]:
+                    continue
+                both = int(mark[code[start[k] : start[k] + size[k]]].sum())
+                if 100 * both >= percent * (size[i] + size[k] - both):
+                    found.append((int(ids[i]), int(ids[k])))
+                    old, new = label[int(comp[k])], label[int(comp[i])]
+                    label = {c: new if v == old else v for c, v in label.items()}
+            mark[code[start[i] : start[i] + size[i]]] = False
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _sets(shingle: int, schema: pa.Schema):
+    """A row for each group that needs the document: the group's fields, then doc_id and members."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            groups = batch.column("groups")
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
                 value, edges = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array([value[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=["doc", "members"])
+                members = pa.array([value[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+                own = groups.slice(i, j - i)
+                at = pa.array(np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False)))
+                flat = own.flatten()
+                arrays = [flat.field(f.name) for f in list(schema)[:-2]] + [batch.column("doc_id").slice(i, j - i).take(at), members.take(at)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
+PAIRED = pa.schema([("b", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("members", pa.binary())])
+BLOCKED = pa.schema([("bucket", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("component", pa.int64()), ("n_shingles", pa.int64()), *((f"s{k}", pa.int64()) for k in range(4)), ("bands", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("members", pa.binary())])
+BLOCKED_DDL = "bucket long, lo int, hi int, side int, component long, n_shingles long, s0 long, s1 long, s2 long, s3 long, bands array<long>, doc_id long, members binary"
+
+
 def _linked(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(table: pa.Table) -> pa.Table:
+        b, found = table.column("b")[0].as_py(), []
+        docs, members = table.column("doc").to_pylist(), table.column("members")
+        hub = np.frombuffer(members[docs.index(b)].as_py(), np.uint64)
+        for doc, x in zip(docs, members):
+            if doc != b:
+                x = np.frombuffer(x.as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(hub, x), len(hub) - 1)
+                both = int((hub[at] == x).sum())
+                if 100 * both >= percent * (len(x) + len(hub) - both):
+                    found.append(doc)
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([b] * len(found), pa.int64())})
 
     return run
 
 
-def _estimated(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose estimate is not five standard deviations below the threshold."""
-    bits = [f"s{k}" for k in range(4)]
-    one = signed.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"x{c}") for c in bits), F.col("n_shingles").alias("na"))
-    two = signed.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"y{c}") for c in bits), F.col("n_shingles").alias("nb"))
-    differ = " + ".join(f"bit_count(((x{c} ^ y{c}) | shiftrightunsigned(x{c} ^ y{c}, 1)) & 6148914691236517205L)" for c in bits)
-    n = BANDS * ROWS
-    p = percent / 100 + (1 - percent / 100) / 2**BITS
-    least = p - 5 * (p * (1 - p) / n) ** 0.5
-    size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    return pairs.join(one, "a").join(two, "b").filter(f"{size} AND {n} - ({differ}) >= {least * n}").select("a", "b")
-
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int, group: int = 256) -> DataFrame:
+    """Those pairs (a, b), materialised, whose full sets are similar enough.
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Those pairs whose full sets are similar enough."""
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc long, members binary"), "sets")
-    sets = sets.dropDuplicates(["doc"])
-    joined = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("left")), "a")
-    return materialise(joined.select("a", "b", "left", "right").mapInArrow(_linked(percent), "a long, b long"), "links")
+    Pairs are grouped by b, at most about `group` to a task's group; a document's set travels once to each group
+    that needs it. The join with the texts is a sort-merge join on purpose: what it selects grows with the
+    corpus, and it should not turn into a broadcast on small inputs.
+    """
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
+    dealt = pairs.join(salts, "b").withColumn("salt", F.expr("CAST(pmod(xxhash64(a), salts) AS INT)")).select("a", "b", "salt")
+    needs = dealt.select(F.col("a").alias("doc_id"), "b", "salt").union(dealt.select(F.col("b").alias("doc_id"), "b", "salt")).distinct()
+    needs = needs.groupBy("doc_id").agg(F.collect_list(F.struct("b", "salt")).alias("groups"))
+    sets = docs.join(needs.hint("shuffle_merge"), "doc_id").mapInArrow(_sets(shingle, PAIRED), "b long, salt int, doc long, members binary")
+    return materialise(sets.groupBy("b", "salt").applyInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document's set is its distinct shingles of `shingle`
     words, or the whole word sequence if it has fewer. Documents are linked if 100 * intersection >= percent
     * union; component_id is the smallest doc_id reachable. Null, empty and blank texts have an empty set and
     are linked with nothing. Repeated rows with one doc_id count as one document if their texts agree.
-    doc_id must be 0 or more. Empty in, empty out.
+    doc_id must be 0 or more; a row without one takes no part and returns with nulls, kept. Empty in, empty out.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless = docs.filter("doc_id IS NULL").select("doc_id", F.lit(True).alias("kept"))
+    docs = docs.filter("doc_id IS NOT NULL")
     signed = materialise(docs.mapInArrow(_sign(shingle), SIGNED), "signed")
     key = ["low", "high", "n_shingles"]
     classes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     heads = signed.withColumnRenamed("doc_id", "rep").join(classes, [*key, "rep"]).withColumnRenamed("rep", "doc_id").dropDuplicates(["doc_id"])
     heads = materialise(heads, "heads")
-    buckets = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket", F.shiftright("bucket", 63).bitwiseAND(0).alias("z")).agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub < top").select("bucket", "hub")
-    first = buckets.join(hubs, "bucket").filter("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    first = materialise(_estimated(first, heads, percent), "first")
-    links = _confirmed(first, docs, percent, shingle)
+    spread = heads.select("doc_id", F.explode("bands").alias("bucket"))
+    crowd = spread.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg(F.count("*").alias("n")).filter("n > 1").drop("z")
+    shared = materialise(spread.join(crowd, "bucket"), "shared")
     release(spark)
+    # a bucket's hub is the document with most neighbours: the source of a group of copies is nearer to
+    # each than they are to one another
+    degree = shared.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    ranked = shared.join(degree, "doc_id").select("bucket", "doc_id", F.struct(F.col("degree"), (-F.col("doc_id")).alias("minus")).alias("rank"))
+    hubs = ranked.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg((-F.max("rank")["minus"]).alias("hub")).drop("z")
+    first = shared.join(hubs, "bucket").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    first = materialise(_likely(first, heads, percent), "first")
+    links = _confirmed(first, docs, percent, shingle)
     found = connected_components(links)
-    # pairs across components that share a bucket and were not compared yet
-    label = heads.select("doc_id", "bands").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    label = label.select("doc_id", F.coalesce("component", "doc_id").alias("component"), F.explode("bands").alias("bucket"))
-    mixed = label.groupBy("bucket", F.shiftright("bucket", 63).bitwiseAND(0).alias("z")).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("bucket")
-    several = materialise(label.join(mixed, "bucket"), "several")
-    a = several.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    b = several.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    more = a.join(b, "bucket").filter("ca <> cb AND a > b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(_estimated(more, heads, percent), "more")
-    if not more.isEmpty():
+    release(spark)
+    # what is left: pairs across components that share a bucket, in blocks of buckets
+    label = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = label.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 < c1")
+    mixed = mixed.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    part = label.join(mixed, "bucket").withColumn("side", F.expr("CAST(pmod(xxhash64(doc_id), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    part = part.select("doc_id", "bucket", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    traits = ["n_shingles", "s0", "s1", "s2", "s3", "bands"]
+    part = part.join(heads.select("doc_id", *traits), "doc_id")
+    needs = materialise(part.groupBy("bucket", "lo", "hi").applyInArrow(_involved(percent), "doc_id long, bucket long, lo int, hi int, side int, component long"), "needs")
+    if not needs.isEmpty():
         # with these, every candidate pair has been compared or lies inside one component
-        found = connected_components(links.union(_confirmed(more, docs, percent, shingle)))
+        needs = needs.join(heads.select("doc_id", *traits), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "lo", "hi", "side", "component", *traits)).alias("groups"))
+        sets = docs.join(needs.hint("shuffle_merge"), "doc_id").mapInArrow(_sets(shingle, BLOCKED), BLOCKED_DDL)
+        more = materialise(sets.groupBy("bucket", "lo", "hi").applyInArrow(_settled(percent), "a long, b long"), "links")
+        found = connected_components(links.union(more))
     release(spark)
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *key).join(groups, key, "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(nameless, allowMissingColumns=True)
 
 
 def minhash_dedup(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
