@@ -216,10 +216,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, blo
 
     A null or empty text is one piece, the end id. Repeated rows are packed once each. Sequences hold at most
     `capacity` tokens and are gapless from offset 0. Empty in, empty out. The histogram (capacity x blocks
-    counts at most) is all that reaches the driver.
+    counts at most) is all that reaches the driver. Numbers of sequences are arbitrary; full pieces have negative ones.
     """
     cut = materialise(pieces(docs, capacity, path), "pieces")
-    cut = cut.withColumn("block", F.expr(f"CAST(pmod(xxhash64(doc_id, piece, ids_crc32), {blocks}) AS INT)"))
+    # a full piece fills a sequence, so it needs no rank; any unused number does, and these are negative
+    whole = cut.filter(F.col("length") == capacity).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    cut = cut.filter(F.col("length") < capacity).withColumn("block", F.expr(f"CAST(pmod(xxhash64(doc_id, piece, ids_crc32), {blocks}) AS INT)"))
     counts = {(r["length"], r["block"]): r["count"] for r in cut.groupBy("length", "block").count().collect()}
     histogram: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}
@@ -237,7 +239,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, blo
             sequence, offset = slots.find(length, first + batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), pa.array(sequence), pa.array(offset)], names=[*order, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long").unionByName(whole)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
