@@ -120,12 +120,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, k:
 
     Rows are compared when their labels are equal and not null and their dimensions agree. Vectors that are
     null, empty, zero or hold null or non-finite components, and rows without label, link with nothing. Equal
-    vectors link whatever their number; ties go to the smallest vec_id. vec_id must be 0 or more and unique.
+    vectors link whatever their number; ties go to the smallest vec_id. vec_id must be 0 or more and unique; a row
+    without one links with nothing and is kept.
     Every row is hashed and found pairs are confirmed exactly; recall is that of `plan`. Empty in, empty out.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
-    fine = F.expr("label IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(vec, x -> x <> 0)")
+    fine = F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(vec, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     good = rows.filter("fine")
     classes = materialise(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).withColumn("dim", F.size("vec")), "classes")
@@ -146,7 +147,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, k:
     classes = classes.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(classes, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     out = out.union(rows.filter("NOT fine").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:

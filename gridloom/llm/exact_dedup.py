@@ -54,8 +54,8 @@ def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
 
     Only identifiers are exchanged by digest; the texts meet the (few) dropped identifiers once.
     """
-    dropped = exact_duplicates(docs, runs, fan_in).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    dropped = exact_duplicates(docs, runs, fan_in).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), F.lit(True).alias("is_dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -185,7 +185,7 @@ class Repeats:
         if not per_key.filter(F.col("n_names") > self.hot_names).isEmpty():
             hot = _pair(docs, several.filter(F.col("n_names") > self.hot_names).select(*pick)).applyInArrow(lambda left, right: self.texts(left, right), TEXTS_DDL)
             single = hot.mapInArrow(self.digests, "key long, span long, x int, w binary, n long, doc long")
-            totals = single.groupBy("w").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
+            totals = single.groupBy("w", F.length("w").alias("z")).agg(F.sum("n").alias("n"), F.min("doc").alias("doc")).drop("z")
             decided = single.select("key", "span", "x", "w").join(totals, "w").groupBy("key", "span").agg(F.array_sort(F.collect_list(F.struct("x", "n", "doc"))).alias("v"))
             judged = judged.unionByName(decided.select("key", "span", self.pack(F.col("v")).alias("verdict")))
         found = names.select("key", "span", "n", "doc", "chunks").join(judged, ["key", "span"], "left")
@@ -209,9 +209,11 @@ class Repeats:
         return docs, found
 
     def apply(self, docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
-        """finish(self, docs table, flags): a chunk's result; flags(runs) gives the windows to remove."""
-        docs, found = self.search(docs)
-        return _pair(docs, found).applyInArrow(lambda left, right: finish(self, left, right), schema)
+        """finish(self, docs table, verdicts table): a chunk's result. Rows without doc_id come back with nulls."""
+        nameless = docs.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"))
+        docs, found = self.search(docs.filter("doc_id IS NOT NULL"))
+        out = _pair(docs, found).applyInArrow(lambda left, right: finish(self, left, right), schema)
+        return out.unionByName(nameless, allowMissingColumns=True)
 
 
 def _pair(docs: DataFrame, other: DataFrame):

@@ -186,7 +186,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     cannot clash. Result, one row a document: doc_id, n_words, n_removed and `kept` (kept words joined by one
     space), or `kept_sha256` if digest. Null and empty texts have no words; texts under `window` words are kept
     whole. Windows are judged on the input. Of equal texts the one with the smallest doc_id stays whole; rows
-    with one doc_id never remove each other. An empty table gives an empty result.
+    with one doc_id never remove each other. A row without doc_id takes no part and
+    returns with nulls. An empty table gives an empty result.
     """
     if not 1 <= gram <= window <= 4096:
         raise ValueError("1 <= gram <= window <= 4096 is needed")

@@ -181,7 +181,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     doc_id, n_bytes, n_removed, n_spans, and `spans` (byte ranges removed) with `kept` (remaining bytes), or
     `kept_sha256` instead of these two if digest. Null and empty texts count as empty: zeros and the digest of
     nothing. Texts shorter than `length` are kept whole. Of equal texts all go, as each repeats the other.
-    Repeated rows are texts of their own; a doc_id should be unique. An empty table gives an empty result.
+    Repeated rows are texts of their own; a doc_id should be unique. A row without doc_id takes no part and
+    returns with nulls. An empty table gives an empty result.
     Documents of any length are handled whole; matches never cross documents.
     """
     if not 16 <= gram <= length <= 4096:

@@ -396,3 +396,20 @@ def test_toxicity(spark, docs, none):
     assert kept.schema == docs.schema and kept.count() == docs.count()
     assert toxicity.train(none, none.select("doc_id", F.lit(1).alias("toxic"))).weights == {}
     assert toxicity.score(none, lexicon).count() == 0
+
+
+def test_rows_without_identifier(spark):
+    """Null identifiers crash nothing; each operator's docstring says what comes back."""
+    text = words(random.Random(1), 60)
+    df = spark.createDataFrame([(None, text), (1, text), (2, text), (None, None)], "doc_id long, text string")
+    one = substring_dedup.substring_dedup(df).collect()
+    assert sorted((r.doc_id or 0, r.n_removed or 0) for r in one) == [(0, 0), (0, 0), (1, 0), (2, 60)]
+    ten = suffix_array_dedup.suffix_array_dedup(df, length=100, gram=20, digest=True).collect()
+    assert sorted((r.doc_id or 0, r.n_removed or 0) for r in ten) == [(0, 0), (0, 0), (1, len(text)), (2, len(text))]
+    four = minhash_dedup.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in four) == [(0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False)]
+    assert minhash_dedup.minhash_dedup(df).count() == 3
+    assert bpe.round_trip(df).count() == 4 and packing.pack(df).count() == 4 and pii.report(df).count() == 4
+    assert toxicity.score(df, toxicity.Lexicon({}, set())).count() == 4
+    vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (4, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in embedding_dedup.near_vectors(vectors).collect()) == [(0, 0, True), (3, 1, True), (4, 1, False)]
