@@ -8,32 +8,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import exact_dedup, minhash_dedup, packing, pii, toxicity
-from gridloom.llm.shared import materialise
+from gridloom.llm.shared import materialise, small_batches
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.7 by a lexicon learnt from the labels of the query's training fold."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.train(docs, toxicity.train_rows(labels)))
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id."""
+    small_batches(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return minhash_dedup.minhash_dedup(docs)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms."""
+    small_batches(spark)
     return pii.pseudonymise(docs)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The pattern that splits text into pretokens (a fixed value of the vocabulary).
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -257,4 +259,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise
+from .shared import materialise, small_batches
 
 WIDTH = 1.2
 NEAR, FAR = 0.75, 0.32  # probability that one hash agrees at the threshold, and between unrelated vectors
@@ -151,6 +151,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, k:
 
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
@@ -151,6 +153,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = F.expr("pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 5)")
     model = train(docs.filter(fold != 0))

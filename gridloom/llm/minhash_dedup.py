@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise, release
+from .shared import materialise, release, small_batches
 from .textbatch import Prefix, Words, chunks, mix, ngram_hashes, utf8
 
 SHINGLE = 5
@@ -314,4 +314,5 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) ->
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

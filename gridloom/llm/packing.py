@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
-from .shared import materialise
+from .shared import materialise, small_batches
 
 CAPACITY = 1024
 END = 2
@@ -243,4 +243,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, blo
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

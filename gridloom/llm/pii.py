@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 ROUNDS = 8
 KEY = b"change me: the pseudonyms' secret"
 
@@ -237,4 +239,5 @@ def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_found", F.to_json("found").alias("found"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import time
 import uuid
 
@@ -19,6 +20,18 @@ def folder(spark: SparkSession) -> str:
     return at
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bound the bytes of text handed to a Python worker at once; a smaller bound set by the user stays."""
+    now = int(re.sub(r"\D", "", spark.conf.get(BATCH)) or 0)
+    unit = spark.conf.get(BATCH).strip("0123456789 ").lower()[:1]
+    now *= {"k": 2**10, "m": 2**20, "g": 2**30}.get(unit, 1)
+    if now <= 0 or now > limit:
+        spark.conf.set(BATCH, f"{limit}b")
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

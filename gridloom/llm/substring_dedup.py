@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import Repeats, Verdicts, parts_of
+from .shared import small_batches
 from .textbatch import Words, chunks, ngram_hashes, utf8
 
 WINDOW = 13
@@ -196,4 +197,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)

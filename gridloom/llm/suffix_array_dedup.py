@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import Repeats, Verdicts, parts_of
+from .shared import small_batches
 from .textbatch import byte_symbols, chunks, ngram_hashes, utf8
 
 LENGTH = 400
@@ -192,4 +193,5 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix_array_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 from .textbatch import Words, mix, ngram_hashes, utf8
 
 #: Look-alike letters and the Latin letters they stand for, in pairs of equal length.
@@ -210,6 +210,7 @@ def train_rows(labels: DataFrame) -> DataFrame:
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     lexicon = train(docs, train_rows(labels))
     held = F.expr("pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 3) = 1")
