@@ -20,9 +20,15 @@ def sort_by_cell(points: DataFrame, size_y: int, partitions: int | None = None)
 
 
 def unsorted_rows(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Number of rows whose value is under that of the row before."""
-    w = Window.orderBy(order)
-    return df.select((F.lag(value).over(w) > F.col(value)).alias("b")).agg(F.count_if(F.coalesce("b", F.lit(False))).alias("unsorted"))
+    """Number of rows whose value is under that of the row before.
+
+    Ranges of `order` are checked by their own tasks; the ranges' first and last values are then compared.
+    """
+    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.withColumn("_b", F.coalesce(F.lag(value).over(Window.partitionBy("_p").orderBy(order)) > F.col(value), F.lit(False)))
+    parts = ranged.groupBy("_p").agg(F.count_if("_b").alias("_n"), F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    edge = F.coalesce(F.lag("_last").over(Window.orderBy("_p")) > F.col("_first"), F.lit(False))
+    return parts.select("_n", edge.alias("_e")).agg(F.coalesce(F.sum("_n") + F.count_if("_e"), F.lit(0)).alias("unsorted"))
 
 
 def equal_count_split(df: DataFrame, order: Sequence[str], parts: int, bins: int = 4096) -> DataFrame:
