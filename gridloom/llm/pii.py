@@ -7,11 +7,16 @@ kind     what is found                                         what stays
 card     13 to 19 digits, single spaces or dashes between,      separators, length, Luhn     digits before the check digit
          that pass the Luhn check                              validity
 ssn      ddd-dd-dddd that may be issued                         dashes, issuability          valid numbers
-phone    +cc (ddd) ddd-dddd and plain forms of 10 digits        country code, separators     the national digits
+phone    +cc (ddd) ddd-dddd, the same without +cc, and 10       country code, separators     the national digits
+         digits alone if area and exchange codes begin with 2-9
 ip       four octets of 0..255                                  dots, leading octet class    octets
 iban     country, check digits that pass mod 97                 country, mod 97 validity     letters and digits each
 email    local@domain                                           domain's top level, dots     letters and digits each
-date     real calendar dates: yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy  layout, validity             days 1900-01-01 to 2099-12-31
+date     real calendar dates: yyyy-mm-dd (also before a T and   layout, validity             days 1900-01-01 to 2099-12-31
+         the time), dd.mm.yyyy, mm/dd/yyyy
+
+Where a match fails its check, the other kinds are tried at the same place, cards and IBANs also as the match's
+shorter prefixes that end with a group; then the scan goes on after the match's first group.
 """
 
 from __future__ import annotations
@@ -77,17 +82,21 @@ def _mod97(text: str) -> int:
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
 
-FOUND = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<ymd>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-]))"
-    r"|(?P<dmy>(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?![\w]|\.\d))"
-    r"|(?P<mdy>(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\w)|\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}(?!\w))"
-)
+KINDS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
+    "ymd": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d)|(?![\w-]))",
+    "dmy": r"(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?![\w]|\.\d)",
+    "mdy": r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
+    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<![\w.])[2-9]\d{2}[2-9]\d{6}(?!\w|[.,]\d)",
+}
+FOUND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in KINDS.items()))
+APART = {kind: re.compile(p) for kind, p in KINDS.items()}
+GROUPS = {"card": re.compile("[ -]"), "iban": re.compile(" ")}
+FIRST = re.compile(r"\w+|.", re.S)
 #: A text without any of these has nothing to find.
 MAYBE = re.compile(r"[0-9@]")
 
@@ -124,7 +133,7 @@ class Pseudonyms:
 
     def card(self, text: str, inverse: bool = False) -> str | None:
         d = re.sub(r"\D", "", text)
-        if not is_luhn(d):
+        if not 13 <= len(d) <= 19 or not is_luhn(d):
             return None
         body = self.digits(d[:-1], b"card", inverse)
         return self._refill(text, body + luhn_digit(body))
@@ -143,6 +152,11 @@ class Pseudonyms:
         m = re.match(r"\+\d{1,3}(?=[ .(-])", text)
         head = m.group() if m else ""
         rest = text[len(head) :]
+        if re.fullmatch(r"[0-9]{10}", text):  # only such numbers are found without separators
+            while True:
+                text = self.digits(text, b"phone", inverse)
+                if text[0] > "1" and text[3] > "1":
+                    return text
         return head + self._refill(rest, self.digits(re.sub(r"\D", "", rest), b"phone" + head.encode(), inverse))
 
     def ip(self, text: str, inverse: bool = False) -> str | None:
@@ -196,16 +210,30 @@ class Pseudonyms:
         if not text or not MAYBE.search(text):
             return text, counts
 
-        def put(m: re.Match) -> str:
-            kind = m.lastgroup
-            new = self.value(kind, m.group(), inverse)
-            if new is None:
-                return m.group()
-            name = "date" if kind in ("ymd", "dmy", "mdy") else kind
-            counts[name] = counts.get(name, 0) + 1
-            return new
-
-        return FOUND.sub(put, text), counts
+        out, done, at = [], 0, 0
+        while m := FOUND.search(text, at):
+            for kind, end in self._candidates(m):
+                new = self.value(kind, text[m.start() : end], inverse)
+                if new is not None:
+                    name = "date" if kind in ("ymd", "dmy", "mdy") else kind
+                    counts[name] = counts.get(name, 0) + 1
+                    out += [text[done : m.start()], new]
+                    done = at = end
+                    break
+            else:
+                at = FIRST.match(text, m.start()).end()
+        return "".join([*out, text[done:]]), counts
+
+    @staticmethod
+    def _candidates(m: re.Match):
+        """(kind, end) of what may begin where m does, m itself first, and of each kind the longest first."""
+        begin = m.start()
+        for kind in [m.lastgroup, *(k for k in KINDS if k != m.lastgroup)]:
+            own = m if kind == m.lastgroup else APART[kind].match(m.string, begin)
+            if own:
+                yield kind, own.end()
+                if kind in GROUPS:
+                    yield from ((kind, g.start()) for g in reversed([*GROUPS[kind].finditer(m.string, begin, own.end())]))
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:

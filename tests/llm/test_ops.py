@@ -356,6 +356,22 @@ def test_pii(docs, none, rows):
     assert pii.report(none).count() == 0
 
 
+def test_pii_inside_failed_matches():
+    p = pii.Pseudonyms(b"k")
+    card, spaced, ssn, phone, iban = "4111111111111111", "4111 1111 1111 1111", "123-45-6789", "555-123-4567", "BE68 5390 0754 7034"
+    cases = [("card", spaced, "{} 12/25"), ("card", spaced, "{} 123"), ("card", card, "{} 12 items"), ("card", spaced, "{}-1234 5678 9012"), ("card", spaced, "12 {}"), ("card", spaced, "12-{}")]
+    cases += [("phone", phone, "order 2020 {}"), ("phone", phone, "{} 12345"), ("ssn", ssn, "id 1234 {}"), ("ssn", ssn, "2024-13-45 {}")]
+    cases += [("iban", iban, "{} EUR"), ("iban", iban, "{} PAID TO ACME"), ("iban", iban, "XX12 {}"), ("iban", iban.replace(" ", ""), "{} EUR")]
+    cases += [("phone", "5551234567".replace("555123", "555223"), "call {}."), ("ymd", "2020-01-02", "{}T10:00"), ("ymd", "2020-01-02", "{}T10:00:00Z")]
+    for kind, value, around in cases:
+        new = p.value(kind, value)
+        text, counts = p.replace(around.format(value))
+        assert new != value and p.value(kind, new, inverse=True) == value
+        assert (text, counts) == (around.format(new), {"date" if kind == "ymd" else kind: 1}), around
+    for clean in ("1700000000 seconds", "0.5552234567", "2020-01-02x", "4111 1111 1111 1112 12/25", "BE68 5390 0754 7035 EUR"):
+        assert p.replace(clean) == (clean, {})
+
+
 def test_language(spark, none):
     rng = random.Random(6)
     stock = {"aa": ["abra", "kada", "bralo", "akad"], "bb": ["zumi", "tuzo", "mizut", "oozu"]}
