@@ -10,17 +10,26 @@ that a third of all rows share costs one entry a partition and round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 KEY = ("digest", "check", "n_chars_norm")
 
 
+def _keyed(rows: DataFrame, text: str, names: tuple[str, ...] = KEY) -> DataFrame:
+    """rows with digest, check and length of `text` under these names, in place of it."""
+    made = (F.unhex(F.sha2(text, 256)), F.xxhash64(text), F.length(text))
+    return rows.withColumns(dict(zip(names, made, strict=True))).drop(text)
+
+
+def _normal() -> Column:
+    return F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
+
+
 def with_digests(docs: DataFrame) -> DataFrame:
     """doc_id, digest, check and length of the normalised text; null counts as empty."""
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")
-    return docs.select("doc_id", text.alias("t")).select("doc_id", F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("check"), F.length("t").alias("n_chars_norm"))
+    return _keyed(docs.select("doc_id", _normal().alias("t")), "t")
 
 
 def merge_runs(digests: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
@@ -52,10 +61,19 @@ def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFr
 def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
+    Exactly the rows that `exact_duplicates` marks as not kept go: a row is told by its doc_id, null included,
+    and its text's digests, so that other rows with the doc_id of a dropped one stay.
     Only identifiers are exchanged by digest; the texts meet the (few) dropped identifiers once.
     """
-    dropped = exact_duplicates(docs, runs, fan_in).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), F.lit(True).alias("is_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    digests = with_digests(docs)
+    both = digests.join(merge_runs(digests, runs, fan_in), list(KEY)).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    dropped = both.select(F.col("doc_id").alias("_dropped_id"), *(F.col(k).alias(f"_dropped_{k}") for k in KEY)).distinct()
+    own = [f"_own_{k}" for k in KEY]
+    rows = _keyed(docs.withColumn("_own_t", _normal()), "_own_t", tuple(own))
+    same = F.col("doc_id").eqNullSafe(F.col("_dropped_id"))
+    for k in KEY:
+        same &= F.col(f"_own_{k}") == F.col(f"_dropped_{k}")
+    return rows.join(dropped, same, "left_anti").drop(*own)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -245,6 +245,17 @@ def test_exact(docs, none, rows, spark):
     assert sorted((r.keep_id is None, r.kept) for r in exact_dedup.exact_duplicates(odd).collect()) == [(False, False), (False, True), (False, True), (True, True)]
 
 
+def test_exact_drops_rows_not_identifiers(spark):
+    rows = [(None, "copy"), (1, "copy"), (None, "alone"), (None, None), (7, "copy"), (7, "own text"), (1, "other"), (1, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x"))
+    marked = exact_dedup.exact_duplicates(df).filter("kept").select("doc_id", "text_sha256").collect()
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == collections.Counter(rows[1:4] + rows[5:])
+    assert collections.Counter(map(tuple, marked)) == collections.Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in got.elements())
+
+
 def test_exact_is_native(docs):
     plan = exact_dedup.exact_duplicates(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
