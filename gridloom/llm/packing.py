@@ -50,46 +50,75 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
 
 
 def completions(room: int, left: dict[int, int], sizes: list[int], limit: int) -> list[tuple[int, ...]]:
-    """Fillings of `room` of up to four lengths, least waste first, undominated ones only.
+    """Up to `limit` fillings of `room`, of any number of lengths, least waste first, undominated ones only.
 
-    A filling is dominated by one that replaces some of its lengths by a larger single one, or that leaves
-    less waste with a superset; so fillings that could still take another length are left out.
+    Which sums can be reached by the lengths up to each size is known from bit sets, so the enumeration meets
+    no dead ends. A filling is dominated if another length would still fit, or if two of its lengths could be
+    replaced by a single one of their sum; of one sum, fillings with the largest lengths come first.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def go(room: int, top: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal steps
-        i = bisect_right(sizes, min(room, top)) - 1
-        grew = False
-        tried = 0
-        while i >= 0 and steps < limit:
-            s = sizes[i]
-            if left[s] - chosen.count(s) > 0:
-                steps += 1
-                grew = True
-                if s == room:
-                    found.append((0, (*chosen, s)))
+    sizes = [s for s in sizes[: bisect_right(sizes, room)] if left[s] > 0]
+    mask = (2 << room) - 1
+    reach = [1]  # reach[i]: the sums of the i smallest sizes
+    for s in sizes:
+        sums, most, step = reach[-1], min(left[s], room // s), 1
+        while most:
+            step = min(step, most)
+            sums |= sums << s * step & mask
+            most -= step
+            step *= 2
+        reach.append(sums)
+    out: list[tuple[int, ...]] = []
+
+    def dominated(fill: dict[int, int], waste: int) -> bool:
+        if any(left[s] > fill.get(s, 0) for s in sizes[: bisect_right(sizes, waste)]):
+            return True
+        own = list(fill)
+        for i, a in enumerate(own):
+            for b in own[i:]:
+                if (a != b or fill[a] > 1) and left.get(a + b, 0) > fill.get(a + b, 0):
                     return True
-                if len(chosen) < 3:
-                    if go(room - s, s, (*chosen, s)) and len(found) >= 8:
-                        return True
-                else:
-                    found.append((room - s, (*chosen, s)))
-                tried += 1
-                if tried >= 24:
+        return False
+
+    def fillings(total: int):
+        """Fillings of this sum, by depth first from the largest length."""
+        stack = [(total, len(sizes), ())]
+        while stack:
+            rest, i, chosen = stack.pop()
+            if not rest:
+                yield dict(chosen)
+                continue
+            more = []
+            i = min(i, bisect_right(sizes, rest))
+            while i and reach[i] >> rest & 1:  # the i smallest sizes suffice; the largest used of them is sizes[i - 1] or less
+                s = sizes[i - 1]
+                more += [(rest - s * n, i - 1, (*chosen, (s, n))) for n in range(min(left[s], rest // s), 0, -1) if reach[i - 1] >> rest - s * n & 1]
+                if len(more) > 4 * limit:
                     break
-            i -= 1
-        if not grew:
-            found.append((room, chosen))
-        return grew
-
-    go(room, room, ())
-    return [c for _, c in sorted(set(found), key=lambda x: (x[0], len(x[1]), tuple(-v for v in x[1])))]
+                i -= 1
+            stack += reversed(more)
+
+    tried = 0
+    for total in range(room, -1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        first = True
+        for fill in fillings(total):
+            tried += 1
+            if first and not out or not dominated(fill, room - total):
+                out.append(tuple(s for s, n in fill.items() for _ in range(n)))
+            first = False
+            if len(out) >= limit or tried >= 16 * limit:
+                return out
+    return out
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = 4000) -> list[tuple[tuple[int, ...], int]]:
-    """Fewest bins found for the histogram: [(lengths, times)]. The least possible is ceil(total / capacity)."""
+    """Fewest bins found for the histogram: [(lengths, times)]. The least possible is ceil(total / capacity).
+
+    The search follows the least wasteful filling of each bin and, round by round, departs from it in one more
+    place (or by one place further down the order); it ends at the least possible number of bins, when nothing is
+    left to try or after `node_limit` fillings, but not before it has packed everything once.
+    """
     counts = {s: c for s, c in counts.items() if c > 0}
     if not counts:
         return []
@@ -99,10 +128,10 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, node_limit:
     bound = -(-total // capacity)
     best = best_fit_decreasing(counts, capacity)
     best_bins = sum(t for _, t in best)
-    nodes = 0
+    nodes, cut = 0, False
 
-    def search(left: dict[int, int], plan: list, bins: int, waste: int, width: int) -> None:
-        nonlocal best, best_bins, nodes
+    def search(left: dict[int, int], plan: list, bins: int, waste: int, depart: int) -> None:
+        nonlocal best, best_bins, nodes, cut
         while True:
             nodes += 1
             sizes = sorted(s for s, c in left.items() if c)
@@ -115,17 +144,19 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, node_limit:
                 return
             top = sizes[-1]
             left[top] -= 1
-            options = completions(capacity - top, left, sizes, 400)
+            options = completions(capacity - top, left, sizes, depart + 2)
             left[top] += 1
-            branch = options[:width] if nodes < node_limit else options[:1]
-            for other in branch[1:]:
+            cut |= len(options) > depart + 1
+            for k, other in enumerate(options[1 : depart + 1], 1):
                 if best_bins == bound or nodes >= node_limit:
                     break
                 again = dict(left)
                 more, times, lost = use(again, (top, *other))
-                search(again, [*plan, more], bins + times, waste + lost, 1)
-            chosen, times, lost = use(left, (top, *branch[0]))
-            plan = [*plan, chosen] if width > 1 else plan + [chosen]
+                search(again, [*plan, more], bins + times, waste + lost, depart - k)
+            if nodes >= node_limit and depart < most:
+                return
+            chosen, times, lost = use(left, (top, *options[0]))
+            plan = [*plan, chosen]
             bins, waste = bins + times, waste + lost
 
     def use(left: dict[int, int], fill: tuple[int, ...]):
@@ -137,8 +168,13 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, node_limit:
             left[s] -= n * times
         return (fill, times), times, times * (capacity - sum(fill))
 
-    search(dict(counts), [], 0, 0, 2)
-    return best
+    most = 0
+    while True:
+        cut = False
+        search(dict(counts), [], 0, 0, most)
+        if best_bins == bound or nodes >= node_limit or not cut:
+            return best
+        most += 1
 
 
 class Slots:

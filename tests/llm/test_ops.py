@@ -343,6 +343,34 @@ def test_bin_completion():
     assert sum(t for _, t in packing.pack_histogram({44: 1, 40: 1, 30: 1, 26: 1, 31: 1, 29: 1}, 100)) == 2
 
 
+def test_bin_completion_of_many_short_lengths():
+    def bins(counts, capacity=1024, **how):
+        plan = packing.pack_histogram(counts, capacity, **how)
+        used = collections.Counter()
+        for fill, times in plan:
+            assert sum(fill) <= capacity
+            for s in fill:
+                used[s] += times
+        assert used == collections.Counter(counts)
+        return sum(t for _, t in plan)
+
+    # 200 + 6 * 137 = 1022; best fit makes 1058 of it
+    assert bins({200: 1000, 137: 6000}) == 1000
+    assert max(len(c) for c in packing.completions(824, {137: 6}, [137], 5)) == 6
+    assert packing.completions(10, {1: 3, 2: 1, 7: 1}, [1, 2, 7], 9)[0] == (7, 2, 1)
+    for seed in range(4):
+        rng = random.Random(seed)
+        counts = collections.Counter(rng.randrange(60, 200) for _ in range(3000))
+        assert bins(counts) <= -(-sum(s * c for s, c in counts.items()) // 1024) + 1
+    # a filling is complete: nothing that is left fits into its waste
+    rng = random.Random(9)
+    for _ in range(50):
+        left = {s: rng.randrange(1, 4) for s in rng.sample(range(3, 40), 8)}
+        for fill in packing.completions(100, left, sorted(left), 20):
+            spare = 100 - sum(fill)
+            assert spare >= 0 and not any(s <= spare and n > fill.count(s) for s, n in left.items())
+
+
 def test_pii(docs, none, rows):
     p = pii.Pseudonyms(b"k")
     values = [("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("phone", "+1 (017) 555-7713"), ("ip", "1.2.3.4"), ("iban", "DE89 3704 0044 0532 0130 00"), ("email", "Jo.Do3@mail7.example.com"), ("ymd", "2024-02-29"), ("dmy", "1.2.1999"), ("mdy", "12/31/2001")]
