@@ -36,6 +36,8 @@ _FOLD |= {ord(c): " " for c in "\"#%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”‘’
 #: A sign at the end of a word is punctuation, not a letter.
 _CLOSING = re.compile(r"(?<=\w)[!@$]+(?!\w)|(?<!\w)[!@$]+")
 BEGINNINGS = range(4, 9)
+#: See `train`; best of 48 settings by F1 in three-fold cross-validation on the training fold of sf0.1.
+SHARE, CHANCE, ODDS = 0.0, 1e-6, 50.0
 
 
 def fold(text: str | None) -> str:
@@ -116,35 +118,48 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic")
 
 
-def _tally(keep=None, phrases_of=None):
+def _tally(keep=None, phrases_of=None, spared=frozenset(), most: int = 100_000):
+    """Documents of each label with an item: features, of `keep` only and outside `spared` phrases; or phrases of
+    two words one of which has a feature of `phrases_of`. Counts leave in parts of about `most` items."""
+
+    def out(total):
+        rows = [(item, n if y else 0, 0 if y else n) for y, c in total.items() for item, n in c.items()]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["item", "bad", "good"])
+
     def run(batches):
+        total = {0: Counter(), 1: Counter()}
         for batch in batches:
-            total = {0: Counter(), 1: Counter()}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = fold(text).split()
                 if phrases_of is not None:
-                    found = {f" {a} {b} " for a, b in zip(words, words[1:]) if phrases_of & features((a, b))}
+                    hot = {w for w in set(words) if not phrases_of.isdisjoint(features((w,)))}
+                    found = {f" {a} {b} " for a, b in zip(words, words[1:]) if a in hot or b in hot}
                 else:
+                    if spared:
+                        inside = {j for i, (a, b) in enumerate(zip(words, words[1:])) if f" {a} {b} " in spared for j in (i, i + 1)}
+                        words = [w for i, w in enumerate(words) if i not in inside]
                     found = features(set(words))
                     if keep is not None:
                         found &= keep
                 total[int(toxic)].update(found)
-            rows = [(item, n if y else 0, 0 if y else n) for y, c in total.items() for item, n in c.items()]
-            columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["item", "bad", "good"])
+                if len(total[0]) + len(total[1]) > most:
+                    yield out(total)
+                    total = {0: Counter(), 1: Counter()}
+        yield out(total)
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_entries: int = 5_000, least: int = 4, share: float = 0.01, chance: float = 1e-9, odds: float = 100.0, extra_exceptions: tuple[str, ...] = ()) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_entries: int = 5_000, least: int = 4, share: float = SHARE, chance: float = CHANCE, odds: float = ODDS, extra_exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learn a lexicon from docs (doc_id, text) with labels (doc_id, toxic 0/1; null is left out).
 
     A bounded sample (about max_train_docs labelled rows, by a hash of doc_id) is used, so its identifiers may
-    be broadcast. Near copies are counted once. An entry is in
-    at least `least` toxic documents and a `share` of them, so many that mere
-    chance would do it with probability `chance`, and `odds` times likelier there than in
-    clean ones; of nested entries the shorter wins if it is as good. Phrases of two words around an entry
-    that clean documents use and toxic ones do not become exceptions.
+    be broadcast. Near copies are counted once. Exceptions come first: phrases of two words around a feature
+    that toxic documents have too, but never in the phrase, which clean ones use so often that mere chance would
+    do it with probability `chance`. Uses inside them count no more. An entry is then in at least `least` toxic
+    documents and a `share` of them, `odds` times likelier there than in clean ones, and so unevenly that mere
+    chance would do it with probability `chance`; of nested entries the shorter wins if it is as good.
     """
     labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = labels.count()
@@ -157,13 +172,28 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_
     bad, good = size.get(1, 0), size.get(0, 0)
     rate = (bad + 1) / (bad + good + 2)
     least = max(least, math.ceil(share * bad), math.ceil(math.log(chance) / math.log(rate)))
-    tally = "item string, bad long, good long"
-    likely = sample.filter("toxic = 1").mapInArrow(_tally(), tally).groupBy("item").agg(F.sum("bad").alias("bad")).filter(F.col("bad") >= least)
+
+    def tally(rows: DataFrame, **how) -> DataFrame:
+        return rows.mapInArrow(_tally(**how), "item string, bad long, good long").groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+    more = f"(bad + 0.05) / {bad + 1} > {{}} * (good + 0.05) / {good + 1}"
+    rare = f"bad * ln(bad / ((bad + good) * {rate})) + if(good = 0, 0, good * ln(good / ((bad + good) * {1 - rate}))) >= {-math.log(chance) - 1e-9}"
+    likely = tally(sample.filter("toxic = 1")).filter(F.col("bad") >= least)
     likely = [r["item"] for r in likely.orderBy(F.desc("bad"), "item").limit(200_000).collect()]
     if not likely:
         return Lexicon({}, set(extra_exceptions))
-    counts = sample.mapInArrow(_tally(keep=frozenset(likely)), tally).groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.filter(F.expr(f"(bad + 0.05) / {bad + 1} > {odds} * (good + 0.05) / {good + 1}"))
+    counts = tally(sample, keep=frozenset(likely)).filter(more.format(1.0))
+    uses = {r["item"]: (r["bad"], r["good"]) for r in counts.collect()}
+    # a phrase's clean uses by chance alone: each is clean with the share of the feature's documents that are
+    enough = {f: math.log(chance) / math.log(g / (b + g)) for f, (b, g) in uses.items() if g}
+    enough = {f: n for f, n in enough.items() if n <= uses[f][1]}
+    spared: set[str] = set()
+    if enough:
+        phrases = tally(sample, phrases_of=frozenset(enough)).filter(F.expr(f"bad = 0 AND good >= {min(enough.values())}"))
+        for r in phrases.orderBy(F.desc("good"), "item").limit(20 * max_entries).collect():
+            if len(spared) < max_entries and r["good"] >= min(enough.get(f, math.inf) for f in features(r["item"].split())):
+                spared.add(r["item"])
+    counts = tally(sample, keep=frozenset(uses), spared=frozenset(spared)).filter(F.col("bad") >= least).filter(more.format(odds)).filter(rare)
     rows = {r["item"]: (r["bad"], r["good"]) for r in counts.orderBy(F.desc("bad"), "item").limit(4 * max_entries).collect()}
     weights: dict[str, float] = {}
     for item, (b, g) in sorted(rows.items(), key=lambda x: (len(x[0]), x[0])):
@@ -173,10 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_
         if weight > shorter + 1e-9:
             weights[item] = min(weight, 8.0)
     best = sorted(weights, key=lambda w: (-rows[w][0], w))[:max_entries]
-    weights = {w: weights[w] for w in best}
-    phrases = sample.mapInArrow(_tally(phrases_of=frozenset(weights)), tally).groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    spared = {r["item"] for r in phrases.filter(f"bad = 0 AND good >= {least}").orderBy(F.desc("good"), "item").limit(max_entries).collect()}
-    return Lexicon(weights, spared | {f" {p.strip()} " for p in extra_exceptions})
+    return Lexicon({w: weights[w] for w in best}, spared | {f" {p.strip()} " for p in extra_exceptions})
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -453,6 +453,38 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, lexicon).count() == 0
 
 
+def test_toxicity_defaults(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        if i % 4 == 0:
+            w[rng.randrange(40)] = "grumble"
+        if i % 10 == 1:
+            w[5:7] = ["grumble", "fish"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    frame = lambda r, y: (spark.createDataFrame(r, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, toxic int"))
+    lexicon = toxicity.train(*frame(rows, labels))
+    assert lexicon.exceptions == {" grumble fish "}
+    assert lexicon.score("a grumble fish swims") == 0.0 and lexicon.score("you grumble now") >= 0.7
+    assert all(lexicon.score(t) >= 0.7 for (_, t), (_, y) in zip(rows, labels) if y)
+    assert all(lexicon.score(t) < 0.7 for (_, t), (_, y) in zip(rows, labels) if not y)
+    # a word in 0.9 % of toxic documents, and one that 0.5 % of clean documents use
+    rows, labels = [], []
+    for i in range(5000):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(12)]
+        if i % 5 == 0:
+            w[3:3] = ["zounds"] * (i < 45) + ["mildly"] * (i % 3 == 0)
+        elif i % 200 == 1:
+            w[3:3] = ["mildly"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    lexicon = toxicity.train(*frame(rows, labels))
+    assert lexicon.score("you zounds") >= 0.7 and lexicon.score("so mildly put") >= 0.7
+    assert lexicon.score("w1 of this and that") == 0.0
+
+
 def test_rows_without_identifier(spark):
     """Null identifiers crash nothing; each operator's docstring says what comes back."""
     text = words(random.Random(1), 60)
