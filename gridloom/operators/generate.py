@@ -26,19 +26,20 @@ def mosaic_extent(boxes: DataFrame) -> DataFrame:
 
 
 def poisson_disk(spark: SparkSession, radius: float, width: float = 1.0, height: float = 1.0, seed: int = 0, candidates: int = 4, rounds: int = 4, keep: Column | None = None) -> DataFrame:
-    """Points (x, y) no two of which are within the radius, by thinning.
-
-    Candidates are hashed into cells; in each round a candidate stays if its random priority is the least among the
-    candidates within the radius that are still in play and none that stayed is within it. Rounds of a
-    maximal independent set, each one binned equi-join; statistically like sequential dart throwing.
+    """Points (x, y) no two of which are within the radius, and none could be added, by thinning.
+
+    Candidates are hashed into cells; a candidate stays if its random priority is the least among the
+    candidates within the radius that are still in play and none that stayed is within it, until none is in play
+    (a maximal independent set, each step one binned equi-join). Then the squares that no single disk covers are cut
+    into 16, those still uncovered get a fresh candidate each, and so on until no square is left; statistically
+    like sequential dart throwing until nothing fits. With `keep`, where squares may never be covered, at
+    most `rounds` times.
     """
     nx, ny = math.ceil(width / radius), math.ceil(height / radius)
     u = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40))
+    inside = lambda d: d.filter((F.col("x") < width) & (F.col("y") < height) & (F.lit(True) if keep is None else keep))
     cell = F.expr(f"id DIV {candidates}")
-    c = spark.range(nx * ny * candidates).select("id", ((cell % nx + u(1)) * radius).alias("x"), ((F.floor(cell / nx) + u(2)) * radius).alias("y"), u(3).alias("rank"))
-    c = c.filter((F.col("x") < width) & (F.col("y") < height))
-    if keep is not None:
-        c = c.filter(keep)
+    c = inside(spark.range(nx * ny * candidates).select("id", ((cell % nx + u(1)) * radius).alias("x"), ((F.floor(cell / nx) + u(2)) * radius).alias("y"), u(3).alias("rank")))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     binned = lambda d: d.withColumn("bx", F.floor(F.col("x") / radius)).withColumn("by", F.floor(F.col("y") / radius))
 
@@ -47,13 +48,33 @@ def poisson_disk(spark: SparkSession, radius: float, width: float = 1.0, height:
         dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
         return binned(d).join(e, ["bx", "by"]).filter((dx * dx + dy * dy < radius * radius) & extra).select("id").distinct()
 
-    stay = None
-    for _ in range(rounds):
-        beaten = near(c, c, (F.col("id") != F.col("id2")) & ((F.col("rank2") < F.col("rank")) | ((F.col("rank2") == F.col("rank")) & (F.col("id2") < F.col("id")))))
-        won = cut(c.join(beaten, "id", "left_anti"))
-        stay = won if stay is None else stay.union(won)
-        c = c.join(won.select("id"), "id", "left_anti")
-        c = cut(c.join(near(c, won, F.lit(True)), "id", "left_anti"))
+    def thinned(c, stay):
+        while not c.isEmpty():
+            beaten = near(c, c, (F.col("id") != F.col("id2")) & ((F.col("rank2") < F.col("rank")) | ((F.col("rank2") == F.col("rank")) & (F.col("id2") < F.col("id")))))
+            won = cut(c.join(beaten, "id", "left_anti"))
+            stay = won if stay is None else stay.union(won)
+            c = c.join(won.select("id"), "id", "left_anti")
+            c = cut(c.join(near(c, won, F.lit(True)), "id", "left_anti"))
+        return stay if stay is None else cut(stay)
+
+    stay = thinned(c, None)
+    if stay is None:
+        return c.select("id", "x", "y")
+    squares = spark.range(nx * ny).select((F.col("id") % nx).alias("i"), F.expr(f"id DIV {nx}").alias("j"))
+    begin, parts, level = nx * ny * candidates, 1, 0
+    while (keep is None or level < rounds) and begin + nx * ny * (4 * parts) ** 2 < 1 << 62:
+        parts, level = 4 * parts, level + 1
+        side = radius / parts
+        squares = squares.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15)))).select((F.col("i") * 4 + F.col("k") % 4).alias("i"), (F.col("j") * 4 + F.floor(F.col("k") / 4)).alias("j"))
+        squares = squares.filter((F.col("i") * side < width) & (F.col("j") * side < height)).select("i", "j", (F.col("j") * (nx * parts) + F.col("i") + begin).alias("id"), ((F.col("i") + 0.5) * side).alias("x"), ((F.col("j") + 0.5) * side).alias("y"))
+        far = lambda b, k, end: F.greatest(F.abs(F.col(k) * side - F.col(b)), F.abs(F.least((F.col(k) + 1) * side, F.lit(end)) - F.col(b)))
+        dx, dy = far("x2", "i", width), far("y2", "j", height)
+        squares = cut(squares.join(near(squares, stay, dx * dx + dy * dy < radius * radius), "id", "left_anti"))
+        if squares.isEmpty():
+            break
+        begin += nx * ny * parts * parts
+        c = inside(squares.select("id", ((F.col("i") + u(1)) * side).alias("x"), ((F.col("j") + u(2)) * side).alias("y"), u(3).alias("rank")))
+        stay = thinned(cut(c.join(near(c, stay, F.lit(True)), "id", "left_anti")), stay)
     return stay.select("id", "x", "y")
 
 

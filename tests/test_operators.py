@@ -364,6 +364,27 @@ def test_poisson_disk(spark):
     assert d.min() >= 0.1 and len(p) > 45
 
 
+def test_poisson_disk_is_maximal(spark):
+    p = np.array([(r.x, r.y) for r in G.poisson_disk(spark, 0.05, seed=3).collect()])
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, 9)
+    g = (np.arange(300) + 0.5) / 300
+    hole = max(np.sqrt(((p[None] - np.stack([np.full(300, x), g], axis=1)[:, None]) ** 2).sum(axis=2)).min(axis=1).max() for x in g)
+    assert d.min() >= 0.05 and hole < 0.05
+    rng = np.random.default_rng(1)
+    numbers = []
+    for _ in range(2):  # sequential dart throwing
+        darts = np.empty((0, 2))
+        for q in rng.random((150_000, 2)):
+            if not len(darts) or ((darts - q) ** 2).sum(axis=1).min() >= 0.0025:
+                darts = np.vstack([darts, q])
+        numbers.append(len(darts))
+    assert abs(len(p) / np.mean(numbers) - 1) < 0.08
+    kept = G.poisson_disk(spark, 0.1, seed=3, rounds=2, keep=F.col("x") < 0.5).collect()
+    assert kept and all(r.x < 0.5 for r in kept)
+    assert G.poisson_disk(spark, 0.1, keep=F.lit(False)).count() == 0
+
+
 def test_populate(spark):
     n = 16
     grid = spark.range(n * n).select((F.col("id") % n).cast("int").alias("x"), F.expr(f"CAST(id DIV {n} AS INT)").alias("y"))
