@@ -14,7 +14,7 @@ def asof_bracket(probes: DataFrame, frames: DataFrame, t: str, ts: str, values:
     Adds t0, t1, alpha and each of `values` blended linearly. Before the first frame the first two frames bracket with alpha 0,
     after the last the last two with alpha 1; a single frame holds everywhere. Union and two
     windows over (by, time), so it needs one shuffle and no range join. `by` should split the data: without
-    it one task orders all rows (use `asof_bracket_chunked` for long series without a key).
+    it one task orders all rows.
     """
     by = list(by)
     f = frames.select(*by, F.col(ts).cast("long").alias("_t"), F.struct(F.col(ts).cast("long").alias("_ts"), *values).alias("_f"))
