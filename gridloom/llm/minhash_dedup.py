@@ -8,7 +8,8 @@ whose estimate is five standard deviations below the threshold go; the rest is c
 
 Only what components need is compared: documents with one set form one class; in a band's bucket each class is
 first compared with the hub; then, for buckets that still hold several components, across them. Large buckets
-are split into pairs of blocks.
+are split into pairs of blocks; groups and blocks are bounded in documents and in shingles, and sets leave a task
+in batches of `BATCH` bytes, so memory depends neither on a bucket's size nor on the documents' lengths (but the longest).
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import materialise, release, small_batches
-from .textbatch import Prefix, Words, chunks, mix, ngram_hashes, utf8
+from .textbatch import Words, chunks, digests, mix, ngram_hashes, utf8
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 2
+BATCH = 2 << 20  # bytes of sets in one Arrow batch
+GROUP = 1 << 18  # shingles that are compared with one hub, or that a block holds, at a time
 _RNG = np.random.default_rng(7411)
 _XOR = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -41,7 +44,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     few = np.flatnonzero((count > 0) & (count < shingle))
     if len(few):
         doc = np.concatenate([doc, few])
-        value = np.concatenate([value, Prefix(symbols).of(words.first[few], words.first[few + 1])])
+        value = np.concatenate([value, digests(symbols[i:j].tobytes() for i, j in zip(words.first[few], words.first[few + 1]))])
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
@@ -93,15 +96,15 @@ def _sign(shingle: int):
                 full[0][rows], full[1][rows] = low, high
                 bits = np.zeros((n, packed.shape[1]), np.int64)
                 bits[rows] = packed
-                bands = [None] * n
+                bands, marks = [None] * n, [None] * n
                 for r, k in zip(rows.tolist(), keys):
-                    bands[r] = k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(size), pa.array(full[0]), pa.array(full[1]), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "low", "high", "s0", "s1", "s2", "s3", "bands"])
+                    bands[r], marks[r] = k, k.astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(size), pa.array(full[0]), pa.array(full[1]), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "low", "high", "s0", "s1", "s2", "s3", "bands", "marks"])
 
     return run
 
 
-SIGNED = "doc_id long, n_shingles long, low long, high long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, low long, high long, s0 long, s1 long, s2 long, s3 long, bands array<long>, marks binary"
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,20 +121,24 @@ def _least_agreement(percent: int) -> float:
 
 
 def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose estimate and sizes do not rule them out."""
+    """Pairs (a, b) whose estimate and sizes do not rule them out, with a's number of shingles."""
     bits = [f"s{k}" for k in range(4)]
     one = signed.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"x{c}") for c in bits), F.col("n_shingles").alias("na"))
     two = signed.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"y{c}") for c in bits), F.col("n_shingles").alias("nb"))
     differ = " + ".join(f"bit_count(((x{c} ^ y{c}) | shiftrightunsigned(x{c} ^ y{c}, 1)) & 6148914691236517205L)" for c in bits)
     size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    return pairs.join(one, "a").join(two, "b").filter(f"{size} AND {BANDS * ROWS} - ({differ}) >= {_least_agreement(percent)}").select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(f"{size} AND {BANDS * ROWS} - ({differ}) >= {_least_agreement(percent)}").select("a", "b", "na")
 
 
-def _open_pairs(percent: int, ids, n, comp, side, sig, bands, bucket: int, split: bool):
+def _open_pairs(percent: int, n, comp, side, sig, marks, bucket: int, split: bool):
     """For each row, which later rows it must still be compared with: likely similar, of another component, and
-    not met in an earlier band's bucket. Yields (row, rows)."""
-    least, band = _least_agreement(percent), int(np.flatnonzero(bands[0] == bucket)[0])
-    for i in range(len(ids)):
+    not met in an earlier band's bucket. Yields (row, rows).
+
+    marks: the lower halves of the 32 band keys. That a pair is taken for met because halves agree by chance has
+    probability 7e-9, far less than that it shares no band.
+    """
+    least, band = _least_agreement(percent), int(np.flatnonzero(marks[0] == np.uint32(bucket & 0xFFFFFFFF))[0])
+    for i in range(len(n)):
         ok = comp[i + 1 :] != comp[i]
         if split:
             ok &= side[i + 1 :] != side[i]
@@ -139,18 +146,18 @@ def _open_pairs(percent: int, ids, n, comp, side, sig, bands, bucket: int, split
         if len(j):
             j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
             j = j[_agreement(sig[j], sig[i]) >= least]
-            j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+            j = j[~(marks[j, :band] == marks[i, :band]).any(axis=1)]
             if len(j):
                 yield i, j
 
 
 def _block(table: pa.Table):
     table = table.sort_by("doc_id")
-    ids, n, comp, side = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component", "side"))
+    n, comp, side = (table.column(c).to_numpy() for c in ("n_shingles", "component", "side"))
     sig = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
-    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    marks = utf8(table.column("marks"))[0].view("<u4").reshape(-1, BANDS)
     bucket, lo, hi = (table.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
-    return table, (ids, n, comp, side, sig, bands, bucket, lo != hi)
+    return table, (n, comp, side, sig, marks, bucket, lo != hi)
 
 
 def _involved(percent: int):
@@ -167,30 +174,36 @@ def _involved(percent: int):
     return run
 
 
+def _members(table: pa.Table):
+    """Row -> its set (sorted shingle hashes), read from the table's own buffers."""
+    data, offsets = utf8(table.column("members"))
+    return lambda r: data[offsets[r] : offsets[r + 1]].view("<u8")
+
+
+def _common(one: np.ndarray, two: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(one) > len(two):
+        one, two = two, one
+    return int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+
+
 def _settled(percent: int):
     """Links of a block pair: open pairs compared on full sets, unless they have become connected."""
 
     def run(table: pa.Table) -> pa.Table:
         table, args = _block(table)
-        ids, comp = args[0], args[2]
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("members")]
-        size = np.array([len(x) for x in sets])
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        words, code = np.unique(np.concatenate(sets), return_inverse=True)
-        mark = np.zeros(len(words), bool)
-        label = {int(c): int(c) for c in comp}
+        ids, size, comp, members = table.column("doc_id").to_pylist(), args[0], args[1].copy(), _members(table)
+        open_pairs = [(i, j) for i, j in _open_pairs(percent, *args)]
         found = []
-        for i, j in _open_pairs(percent, *args):
-            mark[code[start[i] : start[i] + size[i]]] = True
+        for i, j in open_pairs:
+            own = members(i)
             for k in j.tolist():
-                if label[int(comp[k])] == label[int(comp[i])]:
+                if comp[k] == comp[i]:  # connected meanwhile
                     continue
-                both = int(mark[code[start[k] : start[k] + size[k]]].sum())
+                both = _common(own, members(k))
                 if 100 * both >= percent * (size[i] + size[k] - both):
-                    found.append((int(ids[i]), int(ids[k])))
-                    old, new = label[int(comp[k])], label[int(comp[i])]
-                    label = {c: new if v == old else v for c, v in label.items()}
-            mark[code[start[i] : start[i] + size[i]]] = False
+                    found.append((ids[i], ids[k]))
+                    comp[comp == comp[k]] = comp[i]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
@@ -205,31 +218,33 @@ def _sets(shingle: int, schema: pa.Schema):
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
                 value, edges = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
-                members = pa.array([value[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
                 own = groups.slice(i, j - i)
-                at = pa.array(np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False)))
-                flat = own.flatten()
-                arrays = [flat.field(f.name) for f in list(schema)[:-2]] + [batch.column("doc_id").slice(i, j - i).take(at), members.take(at)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                at = np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False))
+                flat, docs = own.flatten(), batch.column("doc_id").slice(i, j - i)
+                volume = np.cumsum(8 * (edges[at + 1] - edges[at])) // BATCH
+                cuts = [0, *(np.flatnonzero(np.diff(volume)) + 1).tolist(), len(at)]
+                for a, b in zip(cuts, cuts[1:]):
+                    members = pa.array([value[edges[r] : edges[r + 1]].tobytes() for r in at[a:b]], pa.binary())
+                    arrays = [flat.field(f.name).slice(a, b - a) for f in list(schema)[:-2]] + [docs.take(pa.array(at[a:b])), members]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
 PAIRED = pa.schema([("b", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("members", pa.binary())])
-BLOCKED = pa.schema([("bucket", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("component", pa.int64()), ("n_shingles", pa.int64()), *((f"s{k}", pa.int64()) for k in range(4)), ("bands", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("members", pa.binary())])
-BLOCKED_DDL = "bucket long, lo int, hi int, side int, component long, n_shingles long, s0 long, s1 long, s2 long, s3 long, bands array<long>, doc_id long, members binary"
+BLOCKED = pa.schema([("bucket", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("component", pa.int64()), ("n_shingles", pa.int64()), *((f"s{k}", pa.int64()) for k in range(4)), ("marks", pa.binary()), ("doc_id", pa.int64()), ("members", pa.binary())])
+BLOCKED_DDL = "bucket long, lo int, hi int, side int, component long, n_shingles long, s0 long, s1 long, s2 long, s3 long, marks binary, doc_id long, members binary"
 
 
 def _linked(percent: int):
     def run(table: pa.Table) -> pa.Table:
         b, found = table.column("b")[0].as_py(), []
-        docs, members = table.column("doc").to_pylist(), table.column("members")
-        hub = np.frombuffer(members[docs.index(b)].as_py(), np.uint64)
-        for doc, x in zip(docs, members):
+        docs, members = table.column("doc").to_pylist(), _members(table)
+        hub = members(docs.index(b))
+        for r, doc in enumerate(docs):
             if doc != b:
-                x = np.frombuffer(x.as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(hub, x), len(hub) - 1)
-                both = int((hub[at] == x).sum())
+                x = members(r)
+                both = _common(x, hub)
                 if 100 * both >= percent * (len(x) + len(hub) - both):
                     found.append(doc)
         return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([b] * len(found), pa.int64())})
@@ -238,27 +253,29 @@ def _linked(percent: int):
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int, group: int = 256) -> DataFrame:
-    """Those pairs (a, b), materialised, whose full sets are similar enough.
+    """Those pairs (a, b, na), materialised, whose full sets are similar enough.
 
-    Pairs are grouped by b, at most about `group` to a task's group; a document's set travels once to each group
-    that needs it. The join with the texts is a sort-merge join on purpose: what it selects grows with the
-    corpus, and it should not turn into a broadcast on small inputs.
+    Pairs are grouped by b, at most about `group` pairs and `GROUP` shingles to a task's group; a document's set travels
+    once to each group that needs it, and a hub's text is read again for each 64 of its groups, so that no row holds a
+    list that grows with the corpus. The join with the texts is a sort-merge join on purpose: what it selects grows
+    with the corpus, and it should not turn into a broadcast on small inputs.
     """
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
+    salts = pairs.groupBy("b").agg(F.ceil(F.greatest(F.count("*") / group, F.sum("na") / GROUP)).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.expr("CAST(pmod(xxhash64(a), salts) AS INT)")).select("a", "b", "salt")
-    needs = dealt.select(F.col("a").alias("doc_id"), "b", "salt").union(dealt.select(F.col("b").alias("doc_id"), "b", "salt")).distinct()
-    needs = needs.groupBy("doc_id").agg(F.collect_list(F.struct("b", "salt")).alias("groups"))
+    needs = dealt.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(0).alias("part")).union(dealt.select(F.col("b").alias("doc_id"), "b", "salt", F.expr("salt DIV 64").cast("int")).distinct())
+    needs = needs.groupBy("doc_id", "part").agg(F.collect_list(F.struct("b", "salt")).alias("groups")).drop("part")
     sets = docs.join(needs.hint("shuffle_merge"), "doc_id").mapInArrow(_sets(shingle, PAIRED), "b long, salt int, doc long, members binary")
     return materialise(sets.groupBy("b", "salt").applyInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document's set is its distinct shingles of `shingle`
     words, or the whole word sequence if it has fewer. Documents are linked if 100 * intersection >= percent
     * union; component_id is the smallest doc_id reachable. Null, empty and blank texts have an empty set and
-    are linked with nothing. Repeated rows with one doc_id count as one document if their texts agree.
+    are linked with nothing. Repeated rows with one doc_id count as one document if their texts agree; if they differ,
+    each keeps its own set and equal sets still join, but only that of the smallest digest looks for near copies.
     doc_id must be 0 or more; a row without one takes no part and returns with nulls, kept. Empty in, empty out.
     """
     spark = docs.sparkSession
@@ -267,10 +284,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     docs = docs.filter("doc_id IS NOT NULL")
     signed = materialise(docs.mapInArrow(_sign(shingle), SIGNED), "signed")
     key = ["low", "high", "n_shingles"]
+    traits = ["n_shingles", "s0", "s1", "s2", "s3", "marks"]
     classes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    heads = signed.withColumnRenamed("doc_id", "rep").join(classes, [*key, "rep"]).withColumnRenamed("rep", "doc_id").dropDuplicates(["doc_id"])
+    heads = signed.withColumnRenamed("doc_id", "rep").join(classes, [*key, "rep"]).withColumnRenamed("rep", "doc_id")
+    heads = heads.groupBy("doc_id").agg(F.min(F.struct("low", "high", *traits, "bands")).alias("r")).select("doc_id", *(f"r.{c}" for c in traits), "r.bands")
     heads = materialise(heads, "heads")
-    spread = heads.select("doc_id", F.explode("bands").alias("bucket"))
+    spread = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     crowd = spread.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg(F.count("*").alias("n")).filter("n > 1").drop("z")
     shared = materialise(spread.join(crowd, "bucket"), "shared")
     release(spark)
@@ -285,17 +304,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     found = connected_components(links)
     release(spark)
     # what is left: pairs across components that share a bucket, in blocks of buckets
-    label = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = label.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 < c1")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    label = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    mixed = label.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.sum("n_shingles").alias("volume")).filter("c0 < c1")
+    mixed = mixed.select("bucket", F.ceil(F.greatest(F.col("n") / block, F.col("volume") / GROUP)).cast("int").alias("blocks"))
     part = label.join(mixed, "bucket").withColumn("side", F.expr("CAST(pmod(xxhash64(doc_id), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     part = part.select("doc_id", "bucket", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    traits = ["n_shingles", "s0", "s1", "s2", "s3", "bands"]
     part = part.join(heads.select("doc_id", *traits), "doc_id")
     needs = materialise(part.groupBy("bucket", "lo", "hi").applyInArrow(_involved(percent), "doc_id long, bucket long, lo int, hi int, side int, component long"), "needs")
     if not needs.isEmpty():
         # with these, every candidate pair has been compared or lies inside one component
-        needs = needs.join(heads.select("doc_id", *traits), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "lo", "hi", "side", "component", *traits)).alias("groups"))
+        needs = needs.join(heads.select("doc_id", *traits), "doc_id").groupBy("doc_id", F.expr("if(side = lo, hi, lo) DIV 4").alias("part"))
+        needs = needs.agg(F.collect_list(F.struct("bucket", "lo", "hi", "side", "component", *traits)).alias("groups")).drop("part")
         sets = docs.join(needs.hint("shuffle_merge"), "doc_id").mapInArrow(_sets(shingle, BLOCKED), BLOCKED_DDL)
         more = materialise(sets.groupBy("bucket", "lo", "hi").applyInArrow(_settled(percent), "a long, b long"), "links")
         if not more.isEmpty():

@@ -9,14 +9,19 @@ structure anywhere:
 2. Each chunk asks which of its distinct anchor keys exist elsewhere: sorted key fragments go to key
    buckets as packed blobs, the answer is one bit a key. A key held by a third of all documents costs
    one entry a chunk.
-3. Runs with repeated keys are named by (key, digest of the run's whole text), 128 bits together, and
-   pre-aggregated in the chunk, then across chunks.
-4. A key with one name needs no text: its runs are equal from end to end. For keys with several
+3. Runs with repeated keys are named by (key, keyed cryptographic digest of the run's text), 128 bits
+   together, and pre-aggregated in the chunk, then across chunks. The digest reads the bytes themselves, so the
+   cheaper hashes only choose anchors: where they collide, a key gets more names, never a wrong verdict.
+4. A key with one name needs no index: its runs are equal from end to end. For keys with several
    names, one representative text a name goes to a shard by key, where the operator's own index
    (suffix automaton or difference-cover suffix array) decides each window.
 5. Keys with more than `hot_names` names are decided by 128-bit digests of single windows instead,
    spread over the cluster, which is exact too and keeps shards bounded.
 6. Verdicts travel back to the chunks that hold the name and are applied to the text.
+
+A chunk sends a row to a key bucket only if it has keys there, so the rows of step 2 are never more than the distinct
+keys of all chunks, however many chunks there are. Chunks are numbered so that each has a shuffle partition of its
+own (`labels`): the largest task is one chunk, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -30,11 +35,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, release
-from .textbatch import Prefix, chunks, mix, runs, utf8
+from .textbatch import chunks, digests, mix, runs, utf8
 
 FRAGMENT = 5  # bytes of a key that are sent; the bucket number holds the rest
 
 
+@dataclass
+class Parsed:
+    """Symbols of some documents (document i owns first[i]:first[i + 1]), and where each lies in the batch's bytes
+    (begin, end) and in `text` (t0, t1), of which a run's digest is taken. order: what anchors are chosen by."""
+
+    first: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    grams: np.ndarray
+    order: np.ndarray
+    text: np.ndarray
+    t0: np.ndarray
+    t1: np.ndarray
+
+
+@dataclass
+class Runs:
+    """Runs of windows: key, document's row, first and last window (s, e), bytes in the document and in `text`."""
+
+    key: np.ndarray
+    doc: np.ndarray
+    s: np.ndarray
+    e: np.ndarray
+    b0: np.ndarray
+    b1: np.ndarray
+    t0: np.ndarray
+    t1: np.ndarray
+    text: np.ndarray
+
+    def spans(self, rows: np.ndarray) -> np.ndarray:
+        """Digest of the text of each of these runs."""
+        view = memoryview(np.ascontiguousarray(self.text))
+        return digests(view[i:j] for i, j in zip(self.t0[rows].tolist(), self.t1[rows].tolist()))
+
+
 @dataclass
 class Repeats:
     """One kind of window. `parse` turns (bytes, offsets) into a Parsed; see subclasses."""
@@ -46,8 +86,7 @@ class Repeats:
     hot_names: int = 4096
 
     # -- to be given by the operator ------------------------------------------------------------
-    def parse(self, data: np.ndarray, offsets: np.ndarray):
-        """(symbols, first, byte start of each symbol, byte end of each symbol, grams, order)."""
+    def parse(self, data: np.ndarray, offsets: np.ndarray) -> Parsed:
         raise NotImplementedError
 
     def shard(self, names: pa.Table) -> list[bytes]:
@@ -58,29 +97,27 @@ class Repeats:
         raise NotImplementedError
 
     # -- the common part --------------------------------------------------------------------------
-    def runs_of(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-        """Arrays of the runs of some documents: key, span, doc row, s, e, symbols' places."""
-        symbols, first, begin, end, grams, order = self.parse(data, offsets)
-        doc, s, e, a = runs(order, grams, first, self.window, self.gram)
+    def runs_of(self, data: np.ndarray, offsets: np.ndarray) -> Runs:
+        p = self.parse(data, offsets)
+        doc, s, e, a = runs(p.order, p.grams, p.first, self.window, self.gram)
         if not len(doc):
             none = np.zeros(0, np.int64)
-            return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none, none
-        key = grams[a]
-        span = mix(Prefix(symbols).of(s, e + self.window) + (a - s).astype(np.uint64) * np.uint64(4097))
-        return key, span, doc, s, e, s - first[doc], begin[s] - offsets[doc], end[e + self.window - 1] - offsets[doc]
+            return Runs(none.astype(np.uint64), *[none] * 7, p.text)
+        last = e + self.window - 1
+        return Runs(p.grams[a], doc, s, e, p.begin[s] - offsets[doc], p.end[last] - offsets[doc], p.t0[s], p.t1[last], p.text)
 
-    def all_runs(self, table: pa.Table):
-        """(key, span, doc_id, e - s, first window, byte from, byte to) of a chunk's documents."""
-        out = []
+    def pieces(self, table: pa.Table):
+        """(doc_ids, bytes, offsets) of a few documents at a time."""
         for batch in table.select(["doc_id", "text"]).to_batches():
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = utf8(batch.column("text"))
             for i, j in chunks(offsets):
-                key, span, doc, s, e, rel, b0, b1 = self.runs_of(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out.append((key, span, ids[i:j][doc].astype(np.int64), e - s, rel, b0, b1))
-        if not out:
-            return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 5
-        return tuple(np.concatenate(x) for x in zip(*out))
+                yield ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+    def keys_of(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Key and doc_id of each run of a chunk's documents."""
+        out = [(r.key, ids[r.doc]) for ids, data, offsets in self.pieces(table) for r in [self.runs_of(data, offsets)]]
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def split(self, key: np.ndarray, doc: np.ndarray):
         """Distinct keys sorted by (bucket, fragment), which of them the chunk itself repeats, buckets."""
@@ -98,8 +135,7 @@ class Repeats:
         return unique[order], count[order] > 1, bucket[order].astype(np.int64), fragment[order]
 
     def questions(self, table: pa.Table) -> pa.Table:
-        key, _, doc, *_ = self.all_runs(table)
-        unique, _, bucket, fragment = self.split(key, doc)
+        unique, _, bucket, fragment = self.split(*self.keys_of(table))
         chunk = table.column("chunk")[0].as_py()
         edges = np.searchsorted(bucket, np.arange(self.parts + 1))
         packed = np.ascontiguousarray(fragment.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :FRAGMENT]
@@ -126,8 +162,7 @@ class Repeats:
         """The chunk's names: runs whose keys occur elsewhere, pre-aggregated by (key, span)."""
         if not docs.num_rows:
             return NAMES.empty_table()
-        key, span, doc, more, rel, b0, b1 = self.all_runs(docs)
-        unique, twice, bucket, _ = self.split(key, doc)
+        unique, twice, bucket, _ = self.split(*self.keys_of(docs))
         live = twice.copy()
         edges = np.searchsorted(bucket, np.arange(self.parts + 1))
         for b, blob in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
@@ -136,10 +171,17 @@ class Repeats:
         active = np.sort(unique[live])
         if not len(active):
             return NAMES.empty_table()
-        keep = active[np.minimum(np.searchsorted(active, key), len(active) - 1)] == key
-        key, span, doc, more, rel, b0, b1 = (x[keep] for x in (key, span, doc, more, rel, b0, b1))
+        out = []
+        for ids, data, offsets in self.pieces(docs):
+            r = self.runs_of(data, offsets)
+            keep = np.flatnonzero(active[np.minimum(np.searchsorted(active, r.key), len(active) - 1)] == r.key)
+            if len(keep):
+                out.append((r.key[keep], r.spans(keep), ids[r.doc[keep]], r.b0[keep], r.b1[keep]))
+        if not out:
+            return NAMES.empty_table()
+        key, span, doc, b0, b1 = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((b0, doc, span, key))
-        key, span, doc, more, rel, b0, b1 = (x[order] for x in (key, span, doc, more, rel, b0, b1))
+        key, span, doc, b0, b1 = (x[order] for x in (key, span, doc, b0, b1))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
         at = np.flatnonzero(new)
@@ -197,7 +239,8 @@ class Repeats:
     def search(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(documents with their chunk, verdicts exploded to chunks)."""
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        docs = docs.withColumn("chunk", F.expr(f"CAST(pmod(xxhash64(doc_id), {self.parts}) AS INT)"))
+        names = ",".join(map(str, labels(self.parts).tolist()))
+        docs = docs.withColumn("chunk", F.expr(f"element_at(CAST(split('{names}', ',') AS ARRAY<INT>), CAST(pmod(xxhash64(doc_id), {self.parts}) AS INT) + 1)"))
         bits = docs.groupBy("chunk").applyInArrow(lambda t: self.questions(t), "chunk int, bucket int, keys binary").groupBy("bucket").applyInArrow(self.answers, "chunk int, bucket int, bits binary")
         names = _pair(docs, bits).applyInArrow(lambda left, right: self.named(left, right), NAMES_DDL)
         names = names.groupBy("key", "span").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "b0", "b1", "chunk")).alias("rep"), F.collect_list("chunk").alias("chunks"))
@@ -228,6 +271,30 @@ VERDICT = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("verdict", pa.b
 VERDICT_DDL = "key long, span long, verdict binary"
 
 
+def _partition(values: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition Spark puts each 32-bit integer into: its Murmur3 hash (seed 42) modulo `parts`."""
+
+    def turn(x, n):
+        return x << np.uint32(n) | x >> np.uint32(32 - n)
+
+    h = turn(values.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).astype(np.int32).astype(np.int64) % parts
+
+
+def labels(parts: int) -> np.ndarray:
+    """For each of `parts` shuffle partitions the smallest integer that lands in it."""
+    out, first, step = np.full(parts, -1, np.int64), 0, 16 * parts
+    while (out < 0).any():
+        at, row = np.unique(_partition(np.arange(first, first + step), parts), return_index=True)
+        new = out[at] < 0
+        out[at[new]] = first + row[new]
+        first += step
+    return out
+
+
 class Verdicts:
     """Look-up of (key, span) among a chunk's verdicts."""
 
@@ -239,6 +306,9 @@ class Verdicts:
         again = np.argsort(self.code, kind="stable")
         self.order, self.code = self.order[again], self.code[again]
         self.key, self.span = key[self.order], span[self.order]
+        self.keys = np.unique(key)
+        _, same = np.unique(self.code, return_counts=True)
+        self.ties = int(same.max(initial=1)) - 1
         self.n = table.column("n").to_numpy()[self.order]
         self.doc = table.column("doc").to_numpy()[self.order]
         column = table.column("verdict").combine_chunks()
@@ -248,15 +318,22 @@ class Verdicts:
     def _code(key: np.ndarray, span: np.ndarray) -> np.ndarray:
         return mix(key * np.uint64(0x9E3779B97F4A7C15) + span)
 
-    def find(self, key: np.ndarray, span: np.ndarray) -> np.ndarray:
-        """Row of each, or -1."""
-        if not len(self.code) or not len(key):
-            return np.full(len(key), -1)
-        code = self._code(key, span)
-        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return np.where((self.key[at] == key) & (self.span[at] == span), at, -1)
+    def find(self, found: Runs) -> np.ndarray:
+        """Row of each run, or -1."""
+        out = np.full(len(found.key), -1)
+        if not len(self.code) or not len(out):
+            return out
+        rows = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, found.key), len(self.keys) - 1)] == found.key)
+        if len(rows):
+            key, span = found.key[rows], found.spans(rows)
+            at = np.minimum(np.searchsorted(self.code, code := self._code(key, span)), len(self.code) - 1)
+            for step in range(self.ties):  # rows of one code stand together
+                at = np.where((self.code[at] == code) & ((self.key[at] != key) | (self.span[at] != span)), np.minimum(at + 1, len(self.code) - 1), at)
+            out[rows] = np.where((self.key[at] == key) & (self.span[at] == span), at, -1)
+        return out
 
 
 def parts_of(spark) -> int:
     """Chunks, key buckets and shards: the session's number of shuffle partitions, which is sized to the input."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) if spark.conf.get("spark.sql.adaptive.enabled") == "true" else None
+    return max(2, int(own or spark.conf.get("spark.sql.shuffle.partitions")))

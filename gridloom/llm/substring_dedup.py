@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Repeats, Verdicts, parts_of
+from .repeats import Parsed, Repeats, Verdicts, parts_of
 from .shared import small_batches
-from .textbatch import Words, chunks, ngram_hashes, utf8
+from .textbatch import Words, ngram_hashes
 
 WINDOW = 13
 GRAM = 3
@@ -110,7 +110,8 @@ class WordRepeats(Repeats):
             short = (words.end - words.start <= 4).astype(np.uint64)
             total = np.concatenate([[np.uint64(0)], np.cumsum(short)])
             order |= np.minimum(total[self.gram :] - total[: -self.gram], np.uint64(3)) << np.uint64(62)
-        return symbols, words.first, words.start, words.end, grams, order
+        text, place = words.spaced()
+        return Parsed(words.first, words.start, words.end, grams, order, text, place, place + words.end - words.start)
 
     def windows_of(self, text):
         words = text.split()
@@ -143,37 +144,32 @@ def _finish(digest: bool):
     def finish(self: WordRepeats, docs: pa.Table, right: pa.Table) -> pa.Table:
         found, rows = Verdicts(right), []
         valid = np.asarray(found.verdict.is_valid()) if len(found.code) else np.zeros(0, bool)
-        for batch in docs.select(["doc_id", "text"]).to_batches():
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            data, offsets = utf8(batch.column("text"))
-            for i, j in chunks(offsets):
-                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                words = Words(part, off)
-                edge = np.zeros(len(words.start) + 1, np.int64)
-                key, span, doc, s, e, *_ = self.runs_of(ids[i:j], part, off)
-                row = found.find(key, span)
-                own = ids[i:j][doc]
-                hit = np.flatnonzero(row >= 0)
-                if len(hit):
-                    whole = hit[~valid[row[hit]]]
-                    whole = whole[found.doc[row[whole]] < own[whole]]
-                    np.add.at(edge, s[whole], 1)
-                    np.add.at(edge, e[whole] + self.window, -1)
-                    for r in hit[valid[row[hit]]]:
-                        low = np.frombuffer(found.verdict[int(row[r])].as_py(), "<i8")
-                        at = s[r] + np.flatnonzero(low < own[r])
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + self.window, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                raw, base = part.tobytes(), words.first
-                for r in range(j - i):
-                    a, b = base[r], base[r + 1]
-                    out = gone[a:b]
-                    tokens = raw[off[r] : off[r + 1]].split()
-                    if out.any():
-                        tokens = [tokens[k] for k in np.flatnonzero(~out)]
-                    kept = b" ".join(tokens)
-                    rows.append((int(ids[i + r]), int(b - a), int(b - a) - len(tokens), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+        for ids, part, off in self.pieces(docs):
+            words = Words(part, off)
+            edge = np.zeros(len(words.start) + 1, np.int64)
+            runs = self.runs_of(part, off)
+            s, e, own, row = runs.s, runs.e, ids[runs.doc], found.find(runs)
+            hit = np.flatnonzero(row >= 0)
+            if len(hit):
+                whole = hit[~valid[row[hit]]]
+                whole = whole[found.doc[row[whole]] < own[whole]]
+                np.add.at(edge, s[whole], 1)
+                np.add.at(edge, e[whole] + self.window, -1)
+                for r in hit[valid[row[hit]]]:
+                    low = np.frombuffer(found.verdict[int(row[r])].as_py(), "<i8")
+                    at = s[r] + np.flatnonzero(low < own[r])
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + self.window, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            raw, base = part.tobytes(), words.first
+            for r in range(len(ids)):
+                a, b = base[r], base[r + 1]
+                out = gone[a:b]
+                tokens = raw[off[r] : off[r + 1]].split()
+                if out.any():
+                    tokens = [tokens[k] for k in np.flatnonzero(~out)]
+                kept = b" ".join(tokens)
+                rows.append((int(ids[r]), int(b - a), int(b - a) - len(tokens), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
         schema = DIGEST if digest else OUT
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Repeats, Verdicts, parts_of
+from .repeats import Parsed, Repeats, Verdicts, parts_of
 from .shared import small_batches
-from .textbatch import byte_symbols, chunks, ngram_hashes, utf8
+from .textbatch import byte_symbols, ngram_hashes, utf8
 
 LENGTH = 400
 GRAM = 128
@@ -98,7 +98,7 @@ class ByteRepeats(Repeats):
         symbols = byte_symbols(data)
         grams = ngram_hashes(symbols, self.gram)
         at = np.arange(len(data) + 1)
-        return symbols, offsets, at, at + 1, grams, grams
+        return Parsed(offsets, at, at + 1, grams, grams, data, at, at + 1)
 
     def windows_of(self, text):
         return [text[i : i + self.window] for i in range(len(text) - self.window + 1)]
@@ -128,11 +128,11 @@ class ByteRepeats(Repeats):
         return F.unhex(F.concat_ws("", pieces))
 
 
-def _covered(self: ByteRepeats, ids, data, offsets, found: Verdicts) -> np.ndarray:
+def _covered(self: ByteRepeats, data, offsets, found: Verdicts) -> np.ndarray:
     """Which bytes are covered by a repeated window."""
     edge = np.zeros(len(data) + 1, np.int64)
-    key, span, doc, s, e, _, _, _ = self.runs_of(ids, data, offsets)
-    row = found.find(key, span)
+    runs = self.runs_of(data, offsets)
+    s, e, row = runs.s, runs.e, found.find(runs)
     hit = np.flatnonzero(row >= 0)
     valid = np.asarray(found.verdict.is_valid()) if len(found.code) else np.zeros(0, bool)
     whole = hit[~valid[row[hit]] | (found.n[row[hit]] > 1)] if len(hit) else hit
@@ -157,18 +157,14 @@ DIGEST = pa.schema([*list(OUT)[:4], ("kept_sha256", pa.string())])
 def _finish(digest: bool):
     def finish(self: ByteRepeats, docs: pa.Table, right: pa.Table) -> pa.Table:
         found, rows = Verdicts(right), []
-        for batch in docs.select(["doc_id", "text"]).to_batches():
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            data, offsets = utf8(batch.column("text"))
-            for i, j in chunks(offsets):
-                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                gone = _covered(self, ids[i:j], part, off, found)
-                for r in range(j - i):
-                    own, out = part[off[r] : off[r + 1]], gone[off[r] : off[r + 1]]
-                    step = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
-                    kept = own[~out].tobytes() if len(step) else own.tobytes()
-                    head = (int(ids[i + r]), len(own), len(own) - len(kept), len(step) // 2)
-                    rows.append((*head, hashlib.sha256(kept).hexdigest()) if digest else (*head, [{"start": int(a), "stop": int(b)} for a, b in step.reshape(-1, 2)], kept))
+        for ids, part, off in self.pieces(docs):
+            gone = _covered(self, part, off, found)
+            for r in range(len(ids)):
+                own, out = part[off[r] : off[r + 1]], gone[off[r] : off[r + 1]]
+                step = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
+                kept = own[~out].tobytes() if len(step) else own.tobytes()
+                head = (int(ids[r]), len(own), len(own) - len(kept), len(step) // 2)
+                rows.append((*head, hashlib.sha256(kept).hexdigest()) if digest else (*head, [{"start": int(a), "stop": int(b)} for a, b in step.reshape(-1, 2)], kept))
         schema = DIGEST if digest else OUT
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 

@@ -6,6 +6,8 @@ byte is a handful of numpy passes and no Python object is made for a word or a w
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,13 +16,19 @@ CHUNK_BYTES = 3 << 16
 
 _RNG = np.random.default_rng(20240917)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RNG.integers(1, 2**62)) * 2 + 1
 _WORD_BASE = int(_RNG.integers(1, 2**62)) * 2 + 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SECRET = _RNG.bytes(32)
+_KEYS = _RNG.integers(0, 2**64, 8, dtype=np.uint64)
+
+
+def digests(parts) -> np.ndarray:
+    """Keyed 64-bit digest of each bytes-like object: equal digests mean equal bytes, also for texts made to collide."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8, key=_SECRET).digest() for x in parts]), "<u8")
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +39,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up = np.full(size, np.uint64(base % 2**64))
         down = np.full(size, np.uint64(pow(base, -1, 2**64)))
         up[0] = down[0] = 1
-        have = _POWERS[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if size <= CHUNK_BYTES + 1:
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -98,12 +108,33 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _powers(_BASE, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
-        raw = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64))
+        """64 bits a word: a permutation of the bytes and length of words up to 7 bytes, so these never collide; sums of
+        differently keyed permutations of 7 bytes each up to 56 bytes; the keyed digest of longer words."""
+        size = self.end - self.start
+        lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.data, np.zeros(8, np.uint8)]), 8)
+        out = np.zeros(len(size), np.uint64)
+        rows, left = np.arange(len(size)), size
+        for k, key in enumerate(_KEYS):
+            few = np.minimum(left, 7).astype(np.uint64)
+            lane = lanes[self.start[rows] + 7 * k].view("<u8").ravel()
+            out[rows] += mix((lane & ((np.uint64(1) << few * np.uint64(8)) - np.uint64(1)) | few << np.uint64(56)) ^ key)
+            rows = rows[left > 7]
+            if not len(rows):
+                return out
+            left = size[rows] - 7 * (k + 1)
+        raw = self.data
+        out[rows] = digests(raw[i:j].tobytes() for i, j in zip(self.start[rows].tolist(), self.end[rows].tolist()))
+        return out
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes with one space between words of a document, where each word begins there)."""
+        space = _SPACE[self.data]
+        keep = ~space
+        keep[1:] |= keep[:-1].copy()
+        place = np.cumsum(keep)[self.start] - 1 if len(self.start) else self.start
+        text = self.data[keep]
+        text[_SPACE[text]] = 0x20
+        return text, place
 
 
 def ngram_hashes(symbols: np.ndarray, n: int) -> np.ndarray:
@@ -111,6 +142,8 @@ def ngram_hashes(symbols: np.ndarray, n: int) -> np.ndarray:
     m = len(symbols)
     if m < n:
         return np.zeros(0, np.uint64)
+    if m > CHUNK_BYTES + n:  # long texts piece by piece
+        return np.concatenate([ngram_hashes(symbols[i : i + CHUNK_BYTES + n - 1], n) for i in range(0, m - n + 1, CHUNK_BYTES)])
     up, down = _powers(_WORD_BASE, m + 1)
     total = np.zeros(m + 1, np.uint64)
     np.cumsum(symbols * up[:m], out=total[1:])
@@ -121,19 +154,6 @@ def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
-class Prefix:
-    """Prefix sums that give the hash of any range of symbols."""
-
-    def __init__(self, symbols: np.ndarray):
-        m = len(symbols)
-        up, self.down = _powers(_WORD_BASE, m + 1)
-        self.total = np.zeros(m + 1, np.uint64)
-        np.cumsum(symbols * up[:m], out=self.total[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
 def window_argmin(order: np.ndarray, width: int) -> np.ndarray:
     """Leftmost position of the least value in each window of `width` values.
 

@@ -168,7 +168,7 @@ def test_minhash_settles_cross_component_pairs():
     shared = sorted(set(bands[0].tolist()) & set(bands[1].tolist()))
     first = next(int(k) for k in bands[0] if int(k) in shared)
     rows = [0, 1]
-    table = pa.table({"bucket": [first] * 2, "lo": pa.array([0, 0], pa.int32()), "hi": pa.array([0, 0], pa.int32()), "side": pa.array([0, 0], pa.int32()), "component": [5, 9], "n_shingles": [int(edges[r + 1] - edges[r]) for r in rows], **{f"s{k}": packed[rows, k] for k in range(4)}, "bands": [bands[r].tolist() for r in rows], "doc_id": [5, 9], "members": [value[edges[r] : edges[r + 1]].tobytes() for r in rows]})
+    table = pa.table({"bucket": [first] * 2, "lo": pa.array([0, 0], pa.int32()), "hi": pa.array([0, 0], pa.int32()), "side": pa.array([0, 0], pa.int32()), "component": [5, 9], "n_shingles": [int(edges[r + 1] - edges[r]) for r in rows], **{f"s{k}": packed[rows, k] for k in range(4)}, "marks": [bands[r].astype("<u4").tobytes() for r in rows], "doc_id": [5, 9], "members": [value[edges[r] : edges[r + 1]].tobytes() for r in rows]})
     assert minhash_dedup._involved(75)(table).num_rows == 2
     assert minhash_dedup._settled(75)(table).to_pylist() == [{"a": 5, "b": 9}]
 
@@ -500,3 +500,72 @@ def test_rows_without_identifier(spark):
     assert toxicity.score(df, toxicity.Lexicon({}, set())).count() == 4
     vectors = spark.createDataFrame([(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (4, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in embedding_dedup.near_vectors(vectors).collect()) == [(0, 0, True), (3, 1, True), (4, 1, False)]
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_made_to_collide(spark):
+    """Thue-Morse words and their complements, which polynomials modulo a power of two can't tell apart."""
+    few = [f"word{k}" for k in range(12)]
+    rows = []
+    for k, n in enumerate((64, 512, 1024, 2048)):
+        for side, letters in enumerate(("ab", "ba")):
+            rows.append((10 * k + side, " ".join([f"{w}x{n}" for w in few[:6]] + [thue_morse(n, letters)] + [f"{w}y{n}" for w in few[:6]])))
+            rows.append((10 * k + 2 + side, thue_morse(n, letters)))
+            rows.append((10 * k + 4 + side, " ".join(thue_morse(n, letters))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, t in sorted(rows):
+        w = t.split()
+        for p in range(len(w) - 12):
+            first.setdefault(tuple(w[p : p + 13]), i)
+    for r in substring_dedup.substring_dedup(df).collect():
+        w = dict(rows)[r.doc_id].split()
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < r.doc_id for q in range(p, p + 13)}
+        assert r.n_removed == len(gone), r.doc_id
+    near = collected(minhash_dedup.near_duplicates(df))
+    for i, t in rows:
+        if i % 10 < 4:
+            assert near[i].component_id == i and near[i].n_shingles == len(shingles(t))
+    count = collections.Counter(t.encode()[p : p + 400] for _, t in rows for p in range(len(t) - 399))
+    for r in suffix_array_dedup.suffix_array_dedup(df, digest=True).collect():
+        b = dict(rows)[r.doc_id].encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 399):
+            if count[b[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        assert r.n_removed == int(gone.sum()), r.doc_id
+
+
+def test_word_hashes_tell_words_apart():
+    from gridloom.llm import textbatch
+
+    rng = random.Random(12)
+    stock = ["".join(rng.choice("ab\0\xff") for _ in range(rng.choice([1, 2, 7, 8, 14, 15, 56, 57, 200]))) for _ in range(3000)]
+    data = np.frombuffer(" ".join(stock).encode("latin-1"), np.uint8)
+    w = textbatch.Words(data, np.array([0, len(data)]))
+    seen = dict(zip(w.hashes().tolist(), (data[a:b].tobytes() for a, b in zip(w.start, w.end))))
+    assert len(seen) == len(set(stock))
+    text, place = textbatch.Words(np.frombuffer(b"  a\t\nbc d", np.uint8), np.array([0, 9])).spaced()
+    assert (text.tobytes(), place.tolist()) == (b"a bc d", [0, 2, 5])
+
+
+def test_each_chunk_has_a_partition(spark):
+    from gridloom.llm import repeats
+
+    for parts in (2, 7, 100):
+        own = repeats.labels(parts)
+        at = spark.createDataFrame([(int(x),) for x in own], "chunk int").select(F.expr(f"pmod(hash(chunk), {parts})")).collect()
+        assert [r[0] for r in at] == list(range(parts))
+
+
+def test_sets_leave_in_bounded_batches():
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(20_000))
+    groups = [{"b": b, "salt": 0} for b in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "a b c d e f"]), pa.array([groups, groups[:1]], pa.list_(pa.struct([("b", pa.int64()), ("salt", pa.int32())])))], names=["doc_id", "text", "groups"])
+    out = list(minhash_dedup._sets(5, minhash_dedup.PAIRED)([batch]))
+    assert sum(b.num_rows for b in out) == 201 and max(b.nbytes for b in out) < 2 * minhash_dedup.BATCH
