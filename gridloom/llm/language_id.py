@@ -1,14 +1,13 @@
 """Language identification by words first, then by progressively shorter character n-grams.
 
 A word that the model knows is scored by its log frequency in each language; an unseen word by the longest
-character n-grams (4, 3, 2, then 1, with word boundaries) of which the model knows any. The model is a
-bounded table (`max_words`, `max_grams`), so it may be broadcast whatever the corpus; it is counted over a
-bounded sample of labelled rows (`max_train_docs`, by a hash of doc_id).
+character n-grams (4, 3, 2, then 1, with word boundaries) of which the model knows any. The model holds all words and
+n-grams that occur `least` times in a bounded sample of labelled rows (`max_train_docs`, by a hash of doc_id), so
+its size does not grow with the corpus and it may be sent to every task.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import materialise, sampled, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -108,31 +107,32 @@ class Model:
         return self.langs[best], float(e[best] / e.sum())
 
 
-def train(labelled: DataFrame, max_train_docs: int = 5_000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
-    """Fit on rows (doc_id, text, lang); rows without text or lang are left out.
+def train(labelled: DataFrame, max_train_docs: int = 2_000, least: int = 2) -> Model:
+    """Fit on rows (doc_id, text, lang); rows without text or lang are left out, rows without doc_id used.
 
     At most about max_train_docs rows are used, those with the smallest hash of doc_id, so the choice does
-    not depend on how the table is partitioned.
+    not depend on how the table is partitioned; items seen fewer than `least` times in them are left out.
     """
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    n = labelled.filter("lang IS NOT NULL").count()
-    if n > max_train_docs:
-        usable = usable.filter(F.expr(f"pmod(xxhash64(doc_id), 1048576) < {int(1048576 * max_train_docs / n)}"))
+    usable = sampled(usable, usable.select("lang").count(), max_train_docs)
     counts = usable.select("lang", "text").mapInArrow(_count, "lang string, kind int, item string, n long")
-    counts = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "counts")
     items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
     totals = {(r["kind"], r["lang"]): (r["n"], r["v"]) for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    words = items.filter("kind = 0 AND total > 1").orderBy(F.desc("total"), "item").limit(max_words).collect()
-    short = items.filter("kind > 0 AND total > 1").orderBy(F.desc("total"), "kind", "item").limit(max_grams).collect()
+    known = items.filter(F.col("total") >= least).select("kind", "item", "by").toArrow().sort_by([("kind", "ascending"), ("item", "ascending")])
     langs = sorted({lang for _, lang in totals})
     at = {lang: i for i, lang in enumerate(langs)}
     index: dict[int, dict[str, int]] = {k: {} for k in (0, *ORDERS)}
-    table = np.empty((len(words) + len(short), len(langs)))
-    for i, r in enumerate([*words, *short]):
-        index[r["kind"]][r["item"]] = i
-        table[i] = [math.log(0.5 / (totals.get((r["kind"], lang), (0, 0))[0] + 1.0)) for lang in langs]
-        for b in r["by"]:
-            table[i, at[b["lang"]]] = math.log((b["n"] + 0.5) / (totals[(r["kind"], b["lang"])][0] + 1.0))
+    kinds, by = known.column("kind").to_numpy(), known.column("by").combine_chunks()
+    table = np.zeros((len(kinds), len(langs)))
+    row = np.repeat(np.arange(len(kinds)), by.value_lengths().to_numpy(zero_copy_only=False))
+    table[row, np.array([at[lang] for lang in by.flatten().field("lang").to_pylist()], np.int64)] = by.flatten().field("n").to_numpy()
+    size = np.ones((max(ORDERS) + 1, len(langs)))
+    for (kind, lang), (n, _) in totals.items():
+        size[kind, at[lang]] += n
+    table = np.log((table + 0.5) / size[kinds])
+    for i, (kind, item) in enumerate(zip(kinds.tolist(), known.column("item").to_pylist(), strict=True)):
+        index[kind][item] = i
     docs = np.array([totals.get((0, lang), (0, 0))[0] + 1.0 for lang in langs])
     return Model(langs, np.log(docs / docs.sum()) if len(langs) else docs, index, table)
 

@@ -4,11 +4,13 @@ What is packed is a histogram of lengths, at most `capacity` entries whatever th
 on the driver and the corpus never does. Bins are filled from the largest remaining length: its undominated
 completions are enumerated best first, a branch is cut as soon as the waste so far shows that it can't beat
 the incumbent (best-fit decreasing), and a chosen filling is used as often as the counts allow. Documents
-then take the slots of their length by rank; ranks are counted by blocks, without gathering a length's rows.
+then take the slots of their length by rank; a length's ranks are counted by blocks of bounded size, of which there
+are as many as its rows need, and only the histogram reaches the driver.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary
+from .bpe import default_vocabulary, load
 from .shared import materialise, small_batches
 
 CAPACITY = 1024
 END = 2
+#: tiktoken gives up on white space of about a million characters; texts with this much go to this package's encoder.
+BLANKS = re.compile(r"\s{100000}")
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -53,8 +57,8 @@ def completions(room: int, left: dict[int, int], sizes: list[int], limit: int) -
     """Up to `limit` fillings of `room`, of any number of lengths, least waste first, undominated ones only.
 
     Which sums can be reached by the lengths up to each size is known from bit sets, so the enumeration meets
-    no dead ends. A filling is dominated if another length would still fit, or if two of its lengths could be
-    replaced by a single one of their sum; of one sum, fillings with the largest lengths come first.
+    no dead ends. A filling is dominated if another length would still fit, if one of its lengths could be replaced by
+    a larger one, or two of them by a single one of their sum; of one sum, fillings with the largest lengths come first.
     """
     sizes = [s for s in sizes[: bisect_right(sizes, room)] if left[s] > 0]
     mask = (2 << room) - 1
@@ -73,6 +77,9 @@ def completions(room: int, left: dict[int, int], sizes: list[int], limit: int) -
         if any(left[s] > fill.get(s, 0) for s in sizes[: bisect_right(sizes, waste)]):
             return True
         own = list(fill)
+        for a in own:
+            if any(left[s] > fill.get(s, 0) for s in sizes[bisect_right(sizes, a) : bisect_right(sizes, a + waste)]):
+                return True
         for i, a in enumerate(own):
             for b in own[i:]:
                 if (a != b or fill[a] > 1) and left.get(a + b, 0) > fill.get(a + b, 0):
@@ -225,6 +232,12 @@ def _encoding(path: str):
     return _ENCODINGS[path]
 
 
+def _ids(text: str, path: str) -> np.ndarray:
+    if len(text) >= 100_000 and BLANKS.search(text):
+        return load(path).encode(text)
+    return _encoding(path).encode_to_numpy(text, allowed_special="all")
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -233,11 +246,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or default_vocabulary()
 
     def run(batches):
-        encoding = _encoding(path)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(np.asarray(encoding.encode_to_numpy(text or "", allowed_special="all"), "<u4"), np.array([END], "<u4"))
+                ids = np.append(np.asarray(_ids(text or "", path), "<u4"), np.array([END], "<u4"))
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
@@ -247,32 +259,31 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, blocks: int = 256) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, block_rows: int = 100_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for docs (doc_id, text; others ignored).
 
-    A null or empty text is one piece, the end id. Repeated rows are packed once each. Sequences hold at most
-    `capacity` tokens and are gapless from offset 0. Empty in, empty out. The histogram (capacity x blocks
-    counts at most) is all that reaches the driver. Numbers of sequences are arbitrary; full pieces have negative ones.
+    A null or empty text is one piece, the end id. Repeated rows are packed once each. Texts of any length, of white
+    space only too, are cut whole. Sequences hold at most `capacity` tokens and are gapless from offset 0. Empty in,
+    empty out. The histogram (`capacity` counts at most) is all that reaches the driver; a length is ranked in blocks of
+    about `block_rows` rows. Numbers of sequences are arbitrary; full pieces have negative ones.
     """
     cut = materialise(pieces(docs, capacity, path), "pieces")
     # a full piece fills a sequence, so it needs no rank; any unused number does, and these are negative
     whole = cut.filter(F.col("length") == capacity).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    cut = cut.filter(F.col("length") < capacity).withColumn("block", F.expr(f"CAST(pmod(xxhash64(doc_id, piece, ids_crc32), {blocks}) AS INT)"))
-    counts = {(r["length"], r["block"]): r["count"] for r in cut.groupBy("length", "block").count().collect()}
-    histogram: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for (length, block), n in sorted(counts.items()):
-        base[length, block] = histogram.get(length, 0)
-        histogram[length] = base[length, block] + n
+    cut = cut.filter(F.col("length") < capacity)
+    histogram = {int(r["length"]): r["count"] for r in cut.groupBy("length").count().collect()}
     slots = Slots(pack_histogram(histogram, capacity))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     order = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    blocks = [-(-histogram.get(s, 0) // block_rows) or 1 for s in range(capacity)]
+    cut = cut.withColumn("block", F.expr(f"CAST(pmod(xxhash64(doc_id, piece, ids_crc32), element_at(CAST(split('{','.join(map(str, blocks))}', ',') AS ARRAY<INT>), CAST(length AS INT) + 1)) AS INT)"))
+    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = cut.groupBy("length", "block").count().select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    ranked = ranked.join(first, ["length", "block"]).select(*order, (F.col("first") + F.col("rank")).alias("rank"))
 
     def place(batches):
         for batch in batches:
-            length = batch.column("length").to_numpy()
-            first = np.fromiter((base[k] for k in zip(length.tolist(), batch.column("block").to_pylist())), np.int64, len(length))
-            sequence, offset = slots.find(length, first + batch.column("rank").to_numpy())
+            sequence, offset = slots.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), pa.array(sequence), pa.array(offset)], names=[*order, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long").unionByName(whole)

@@ -7,13 +7,18 @@ kind     what is found                                         what stays
 card     13 to 19 digits, single spaces or dashes between,      separators, length, Luhn     digits before the check digit
          that pass the Luhn check                              validity
 ssn      ddd-dd-dddd that may be issued                         dashes, issuability          valid numbers
-phone    +cc (ddd) ddd-dddd, the same without +cc, and 10       country code, separators     the national digits
-         digits alone if area and exchange codes begin with 2-9
-ip       four octets of 0..255                                  dots, leading octet class    octets
+phone    +cc (ddd) ddd-dddd, the same without +cc or without    country code, separators,    the national digits; of ten
+         the blank, and 10 digits alone if area and exchange    whether area and exchange    digits with +1 or without
+         codes begin with 2-9                                   begin with 2-9               code the same ones
+ip       four octets of 0..255                                  dots, private and loopback   the other bits
+                                                                networks
 iban     country, check digits that pass mod 97                 country, mod 97 validity     letters and digits each
 email    local@domain                                           domain's top level, dots     letters and digits each
-date     real calendar dates: yyyy-mm-dd (also before a T and   layout, validity             days 1900-01-01 to 2099-12-31
-         the time), dd.mm.yyyy, mm/dd/yyyy
+date     real calendar dates: yyyy-mm-dd (also before a T and   layout, validity, whether    days 1900-01-01 to 2099-12-31
+         the time), dd.mm.yyyy, mm/dd/yyyy, also with single    day and month have one or
+         digits in the last two                                 two digits
+
+The value is permuted, not its spelling: one date, card, account or phone number has one pseudonym in all its layouts.
 
 Where a match fails its check, the other kinds are tried at the same place, cards and IBANs also as the match's
 shorter prefixes that end with a group; then the scan goes on after the match's first group.
@@ -34,6 +39,12 @@ from .shared import small_batches
 
 ROUNDS = 8
 KEY = b"change me: the pseudonyms' secret"
+#: The session's setting that holds the secret key; KEY is only for tests and trials.
+SETTING = "spark.gridloom.pii.key"
+
+
+def key_of(spark) -> bytes:
+    return (spark.conf.get(SETTING, None) or KEY.decode()).encode()
 
 
 class Feistel:
@@ -82,6 +93,9 @@ def _mod97(text: str) -> int:
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
 
+#: Private and loopback networks: first address and number of free bits.
+NETWORKS = ((10 << 24, 24), (127 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16))
+
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -91,7 +105,7 @@ KINDS = {
     "mdy": r"(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
-    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<![\w.])[2-9]\d{2}[2-9]\d{6}(?!\w|[.,]\d)",
+    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<![\w.])[2-9]\d{2}[2-9]\d{6}(?!\w|[.,]\d)",
 }
 FOUND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in KINDS.items()))
 APART = {kind: re.compile(p) for kind, p in KINDS.items()}
@@ -148,23 +162,32 @@ class Pseudonyms:
             if ok(d):
                 return self._refill(text, d)
 
+    def _within(self, value: int, size: int, tweak: bytes, inverse: bool, group) -> int:
+        """A permutation of range(size) that keeps group(value): the walk goes on until it is back in the group."""
+        own = group(value)
+        while True:
+            value = self.feistel.permute(value, size, tweak, inverse)
+            if group(value) == own:
+                return value
+
     def phone(self, text: str, inverse: bool = False) -> str:
-        m = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+        m = re.match(r"\+\d{1,3}(?=[ .(-])|\+1(?=\d{10}$)", text)
         head = m.group() if m else ""
         rest = text[len(head) :]
-        if re.fullmatch(r"[0-9]{10}", text):  # only such numbers are found without separators
-            while True:
-                text = self.digits(text, b"phone", inverse)
-                if text[0] > "1" and text[3] > "1":
-                    return text
-        return head + self._refill(rest, self.digits(re.sub(r"\D", "", rest), b"phone" + head.encode(), inverse))
+        digits = re.sub(r"\D", "", rest)
+        if len(digits) == 10 and head in ("", "+1") and not rest.startswith("+"):
+            new = self._within(int(digits), 10**10, b"phone", inverse, lambda v: v // 10**9 > 1 and v // 10**6 % 10 > 1)
+            return head + self._refill(rest, f"{new:010d}")
+        return head + self._refill(rest, self.digits(digits, b"phone" + head.encode(), inverse))
 
     def ip(self, text: str, inverse: bool = False) -> str | None:
         octets = text.split(".")
         if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
             return None
         value = int.from_bytes(bytes(map(int, octets)), "big")
-        return ".".join(map(str, self.feistel.permute(value, 2**32, b"ip", inverse).to_bytes(4, "big")))
+        network = lambda v: next((net for net, bits in NETWORKS if v >> bits == net >> bits), None)
+        new = self._within(value, 2**32, b"ip", inverse, network) if network(value) is None else network(value) + self.feistel.permute(value - network(value), 2 ** dict(NETWORKS)[network(value)], b"ip%d" % network(value), inverse)
+        return ".".join(map(str, new.to_bytes(4, "big")))
 
     def iban(self, text: str, inverse: bool = False) -> str | None:
         s = text.replace(" ", "")
@@ -189,15 +212,13 @@ class Pseudonyms:
             return None
         if not 0 <= day < _DAYS:
             return None
-        # a one-digit day or month must stay one where the layout says so: walk to a date that fits
-        widths = [len(p) for p in parts]
-        while True:
-            day = self.feistel.permute(day, _DAYS, b"date", inverse)
+        def digits(day: int) -> tuple[bool, bool]:
             new = datetime.date.fromordinal(day + _DAY0)
-            values = [getattr(new, {"y": "year", "m": "month", "d": "day"}[c]) for c in order]
-            if all(len(str(v)) <= w for v, w in zip(values, widths)):
-                it = iter(str(v).zfill(w) for v, w in zip(values, widths))
-                return re.sub(r"\d+", lambda _: next(it), text)
+            return new.day > 9, new.month > 9
+
+        new = datetime.date.fromordinal(self._within(day, _DAYS, b"date", inverse, digits) + _DAY0)
+        it = iter(str(getattr(new, {"y": "year", "m": "month", "d": "day"}[c])).zfill(len(p)) for c, p in zip(order, parts))
+        return re.sub(r"\d+", lambda _: next(it), text)
 
     def value(self, kind: str, text: str, inverse: bool = False) -> str | None:
         if kind in ("ymd", "dmy", "mdy"):
@@ -240,8 +261,8 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with personal data in `text` replaced; all rows, columns and their order stay.
 
     Null stays null, empty stays empty; n_chars and other columns are not recomputed (lengths of characters
-    do not change, but for IP addresses). Whole texts are scanned. Equal values get equal pseudonyms in all
-    documents; `Pseudonyms(key).value(kind, text, inverse=True)` leads back. Empty in, empty out.
+    do not change, but for IP addresses). Texts of any length are scanned whole; repeated rows and rows without
+    doc_id are rows like others; other columns may have any names. Equal values get equal pseudonyms in all documents; `Pseudonyms(key).value(kind, text, inverse=True)` leads back. Empty in, empty out.
     """
     at = docs.columns.index("text")
 
@@ -268,4 +289,4 @@ def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_found", F.to_json("found").alias("found"))
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"), key_of(spark)).select("doc_id", "text", "n_found", F.to_json("found").alias("found"))

@@ -8,18 +8,22 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where it is unset (local tests)."""
+    """The session's spark.checkpoint.dir; a folder of our own only where it is unset and the session is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/gridloom"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+HASH_RANGE = 2**62
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -44,6 +48,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sampled(rows: DataFrame, n: int, most: int, key: str = "doc_id") -> DataFrame:
+    """About `most` of n rows, those with the smallest hash of `key`, so the choice does not depend on partitions."""
+    return rows if n <= most else rows.filter(F.expr(f"(xxhash64({key}) & {HASH_RANGE - 1}L) < {HASH_RANGE * most // n}L"))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer used."""
     for _ in range(2):

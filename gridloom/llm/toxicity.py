@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import materialise, sampled, small_batches
 from .textbatch import Words, mix, ngram_hashes, utf8
 
 #: Look-alike letters and the Latin letters they stand for, in pairs of equal length.
@@ -151,22 +151,20 @@ def _tally(keep=None, phrases_of=None, spared=frozenset(), most: int = 100_000):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_entries: int = 5_000, least: int = 4, share: float = SHARE, chance: float = CHANCE, odds: float = ODDS, extra_exceptions: tuple[str, ...] = ()) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, least: int = 4, share: float = SHARE, chance: float = CHANCE, odds: float = ODDS, extra_exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learn a lexicon from docs (doc_id, text) with labels (doc_id, toxic 0/1; null is left out).
 
-    A bounded sample (about max_train_docs labelled rows, by a hash of doc_id) is used, so its identifiers may
-    be broadcast. Near copies are counted once. Exceptions come first: phrases of two words around a feature
+    A bounded sample (about max_train_docs labelled documents, by a hash of doc_id) is used, so its identifiers may
+    be broadcast, and what is learnt is bounded by it. A document with several labels is toxic if one says so. Near
+    copies are counted once. Exceptions come first: phrases of two words around a feature
     that toxic documents have too, but never in the phrase, which clean ones use so often that mere chance would
     do it with probability `chance`. Uses inside them count no more. An entry is then in at least `least` toxic
     documents and a `share` of them, `odds` times likelier there than in clean ones, and so unevenly that mere
     chance would do it with probability `chance`; of nested entries the shorter wins if it is as good.
     """
-    labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    n = labels.count()
-    if n > max_train_docs:
-        labels = labels.filter(F.expr(f"pmod(xxhash64(doc_id), 1048576) < {int(1048576 * max_train_docs / n)}"))
-    labels = labels.limit(2 * max_train_docs)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "text", "toxic")
+    labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    labels = sampled(labels, labels.count(), max_train_docs)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "toxic")
     sample = materialise(_without_copies(sample), "toxicity")
     size = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
@@ -179,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_
     more = f"(bad + 0.05) / {bad + 1} > {{}} * (good + 0.05) / {good + 1}"
     rare = f"bad * ln(bad / ((bad + good) * {rate})) + if(good = 0, 0, good * ln(good / ((bad + good) * {1 - rate}))) >= {-math.log(chance) - 1e-9}"
     likely = tally(sample.filter("toxic = 1")).filter(F.col("bad") >= least)
-    likely = [r["item"] for r in likely.orderBy(F.desc("bad"), "item").limit(200_000).collect()]
+    likely = [r["item"] for r in likely.select("item").collect()]
     if not likely:
         return Lexicon({}, set(extra_exceptions))
     counts = tally(sample, keep=frozenset(likely)).filter(more.format(1.0))
@@ -190,11 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_
     spared: set[str] = set()
     if enough:
         phrases = tally(sample, phrases_of=frozenset(enough)).filter(F.expr(f"bad = 0 AND good >= {min(enough.values())}"))
-        for r in phrases.orderBy(F.desc("good"), "item").limit(20 * max_entries).collect():
-            if len(spared) < max_entries and r["good"] >= min(enough.get(f, math.inf) for f in features(r["item"].split())):
+        for r in phrases.collect():
+            if r["good"] >= min(enough.get(f, math.inf) for f in features(r["item"].split())):
                 spared.add(r["item"])
     counts = tally(sample, keep=frozenset(uses), spared=frozenset(spared)).filter(F.col("bad") >= least).filter(more.format(odds)).filter(rare)
-    rows = {r["item"]: (r["bad"], r["good"]) for r in counts.orderBy(F.desc("bad"), "item").limit(4 * max_entries).collect()}
+    rows = {r["item"]: (r["bad"], r["good"]) for r in counts.collect()}
     weights: dict[str, float] = {}
     for item, (b, g) in sorted(rows.items(), key=lambda x: (len(x[0]), x[0])):
         weight = math.log((b + 0.05) / (bad + 1)) - math.log((g + 0.05) / (good + 1))
@@ -202,8 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, max_
         shorter = max((weights.get(word[:k], 0.0) for k in range(BEGINNINGS.start + 1, len(word) + 1)), default=0.0)
         if weight > shorter + 1e-9:
             weights[item] = min(weight, 8.0)
-    best = sorted(weights, key=lambda w: (-rows[w][0], w))[:max_entries]
-    return Lexicon({w: weights[w] for w in best}, spared | {f" {p.strip()} " for p in extra_exceptions})
+    return Lexicon(weights, spared | {f" {p.strip()} " for p in extra_exceptions})
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -297,7 +297,7 @@ def test_bpe_query(docs, none, rows, tokenizer):
 
 
 def test_packing(docs, none, rows, tokenizer):
-    got = packing.pack(docs, blocks=4).collect()
+    got = packing.pack(docs, block_rows=3).collect()
     by = collections.defaultdict(list)
     for r in got:
         by[r.doc_id].append(r)
@@ -569,3 +569,175 @@ def test_sets_leave_in_bounded_batches():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "a b c d e f"]), pa.array([groups, groups[:1]], pa.list_(pa.struct([("b", pa.int64()), ("salt", pa.int32())])))], names=["doc_id", "text", "groups"])
     out = list(minhash_dedup._sets(5, minhash_dedup.PAIRED)([batch]))
     assert sum(b.num_rows for b in out) == 201 and max(b.nbytes for b in out) < 2 * minhash_dedup.BATCH
+
+
+def test_sample_threshold():
+    """The share of rows that is sampled never rounds to nothing."""
+    from gridloom.llm.shared import HASH_RANGE
+
+    for n in (3_000, 10**6, 5 * 10**9, 10**11, 10**13):
+        for most in (2_000, 20_000):
+            if n > most:
+                assert abs(HASH_RANGE * most // n / HASH_RANGE * n / most - 1) < 1e-3
+
+
+def test_sampled_rows(spark):
+    from gridloom.llm.shared import sampled
+
+    df = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    got = sampled(df, 200_000, 5_000)
+    assert 4_500 < got.count() < 5_500
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in sampled(df.repartition(7), 200_000, 5_000).collect())
+    assert sampled(df, 200_000, 200_000).count() == 200_000
+
+
+def test_packing_of_white_space(spark, tokenizer):
+    text = "a" + " " * 2_000_000 + "b"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "x" * 300_000), (3, "\n" * 150_000)], "doc_id long, text string")
+    got = packing.pack(df).collect()
+    for i in (1, 2, 3):
+        ids = np.array(tokenizer.encode(dict(df.collect())[i], add_special_tokens=False).ids + [2], "<u4")
+        own = [r for r in got if r.doc_id == i]
+        assert sum(r.length for r in own) == len(ids) * (2 if i == 1 else 1)
+        assert {(r.start, r.ids_crc32) for r in own} == {(r.start, zlib.crc32(ids[r.start : r.start + r.length].tobytes())) for r in own}
+
+
+def test_dominated_fillings():
+    # 6 could be 7 without loss of room: only the filling with 7 is undominated
+    assert packing.completions(8, {6: 1, 7: 1}, [6, 7], 9) == [(7,)]
+
+
+def test_labels_of_one_document(spark):
+    rows = [(i, ("zounds " if i % 4 == 0 else "") + f"w{i} v{i}") for i in range(200)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows] + [(0, 0), (4, 0), (1, None)] * 3
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.train(d, y).score("you zounds") >= 0.7
+
+
+def test_long_and_repeated_rows(spark):
+    """Very long texts, repeated rows and null identifiers in the operators that read row by row."""
+    rng = random.Random(4)
+    long = words(rng, 60_000, 3000)
+    rows = [(1, long), (1, long), (None, long), (2, "abra kada " * 30_000), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i % 7 if i % 5 else None, t, lang) for i in range(40) for t, lang in (("abra kada bralo", "aa"), ("zumi tuzo oozu", "bb"))], "doc_id long, text string, lang string")
+    got = language_id.identify(df, language_id.train(labelled)).collect()
+    assert len(got) == 6 and {r.lang_pred for r in got if r.doc_id == 2} == {"aa", "und"}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) == 1
+    found = pii.report(spark.createDataFrame([(5, f"{long} 123-45-6789"), (5, f"{long} 123-45-6789"), (None, "a@b.org")], "doc_id long, text string")).collect()
+    assert [r.n_found for r in found] == [1, 1, 1] and found[0].text == found[1].text
+    assert {r.n_tokens for r in bpe.round_trip(df).collect() if r.doc_id == 1}.__len__() == 1
+    scores = toxicity.score(df, toxicity.Lexicon({" kada ": 3.0}, set())).collect()
+    assert len(scores) == 6 and max(r.score for r in scores if r.doc_id == 2) >= 0.7
+    near = minhash_dedup.near_duplicates(df.filter("doc_id IS NOT NULL")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in near) == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 3)]
+
+
+def test_pii_links_layouts():
+    p = pii.Pseudonyms(b"k")
+    bare = lambda s: re.sub(r"\D", "", s)
+    day = lambda kind, s: tuple(int(x) for c in "ymd" for x, k in zip(re.split(r"\D", s), kind) if k == c)
+    for y, m, d in ((2024, 1, 5), (1999, 12, 31), (1950, 11, 2), (2001, 3, 14)):
+        layouts = [("ymd", f"{y}-{m:02d}-{d:02d}"), ("dmy", f"{d:02d}.{m:02d}.{y}"), ("dmy", f"{d}.{m}.{y}"), ("mdy", f"{m}/{d}/{y}"), ("mdy", f"{m:02d}/{d:02d}/{y}")]
+        new = {day(kind, p.value(kind, v)) for kind, v in layouts}
+        assert len(new) == 1 and new != {(y, m, d)}
+        for kind, v in layouts:
+            assert p.value(kind, p.value(kind, v), inverse=True) == v
+    for area, rest in (("555", "223-4567"), ("555", "123-4567"), ("017", "555-7713")):
+        forms = [f"{area}-{rest}", f"({area}) {rest}", f"({area}){rest}", f"+1 {area}-{rest}", f"+1 ({area}) {rest}", f"{area}.{rest.replace('-', '.')}", f"+1{area}{rest.replace('-', '')}"]
+        forms += [area + rest.replace("-", "")] * (area[0] > "1" and rest[0] > "1")
+        found = [p.replace(f"call {v} now") for v in forms]
+        assert all(counts == {"phone": 1} for _, counts in found), found
+        assert len({bare(text)[-10:] for text, _ in found}) == 1
+        for v in forms:
+            assert p.value("phone", p.value("phone", v), inverse=True) == v
+    assert p.replace("+44 20 7946 0958")[0].startswith("+44 ")
+    for v, head in (("10.0.0.1", "10."), ("192.168.7.9", "192.168."), ("127.0.0.1", "127."), ("172.20.1.1", "172."), ("8.8.8.8", "")):
+        new = p.value("ip", v)
+        assert new != v and new.startswith(head) and p.value("ip", new, inverse=True) == v
+    assert not p.value("ip", "8.8.8.8").startswith(("10.", "127."))
+
+
+def test_pii_query_against_planting(spark, tmp_path):
+    """Random texts with planted values: exactly these are replaced, alike in all documents, with the session's key."""
+    rng, p = random.Random(11), pii.Pseudonyms(b"own key")
+    card = lambda d: d + pii.luhn_digit(d)
+    values = [("card", card("".join(rng.choice("123456789") for _ in range(15)))) for _ in range(20)]
+    values += [("ssn", f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}") for _ in range(20)]
+    values += [("email", f"u{k}.x@mail{k}.example.org") for k in range(20)] + [("ip", f"{rng.randrange(1, 250)}.{k}.{k}.7") for k in range(20)]
+    values += [("ymd", f"{rng.randrange(1950, 2030)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}") for _ in range(20)] + [("phone", f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}") for _ in range(20)]
+    rows, want = [], {}
+    for i in range(120):
+        text, new = [], []
+        for _ in range(rng.randrange(0, 9)):
+            kind, v = rng.choice(values)
+            text += [words(rng, rng.randrange(1, 9)), v]
+            new += [text[-2], p.value(kind, v)]
+        rows.append((i, " ".join(text) + "."))
+        want[i] = (" ".join(new) + ".", len(text) // 2)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(pii.SETTING, "own key")
+    try:
+        got = pii.op5_pii(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(pii.SETTING)
+    assert {r.doc_id: (r.text, r.n_found) for r in got} == want
+
+
+def test_language_against_brute_force(spark):
+    """The same decisions from plain counts."""
+    rng = random.Random(16)
+    stock = {"aa": ["abra", "kada", "bralo", "akad"], "bb": ["zumi", "tuzo", "mizut", "oozu"], "cc": ["abzu", "kato", "lomi"]}
+    rows = [(i, " ".join("".join(rng.choices(stock[lang], k=2)) for _ in range(rng.randrange(1, 20))) + ".", lang) for i in range(90) for lang in [rng.choice(list(stock))]]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    parts = lambda w, n: [f"^{w}$"[i : i + n] if n > 1 else w[i : i + n] for i in range(len(w) + (3 if n > 1 else 1) - n)]
+    count = collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        for w in re.findall("[a-z]+", t.lower()):
+            count[0, lang][w] += 1
+            for n in (1, 2, 3, 4):
+                count[n, lang].update(parts(w, n))
+    langs = sorted(stock)
+    size = {k: sum(c.values()) for k, c in count.items()}
+    known = lambda n, item: sum(count[n, lang][item] for lang in langs) >= 2
+    log = lambda n, item: np.array([np.log((count[n, lang][item] + 0.5) / (size[n, lang] + 1)) for lang in langs])
+    prior = np.array([size[0, lang] + 1 for lang in langs])
+    probes = [(k, " ".join("".join(rng.choices(sum(stock.values(), []) + ["q", "é"], k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 6)))) for k in range(60)]
+    want = {}
+    for k, t in probes:
+        total = np.log(prior / prior.sum())
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            if known(0, w):
+                total = total + log(0, w)
+            else:
+                for n in (4, 3, 2, 1):
+                    own = [log(n, g) for g in parts(w, n) if known(n, g)]
+                    if own:
+                        total = total + np.mean(own, axis=0)
+                        break
+        e = np.exp(total - total.max())
+        want[k] = (langs[int(np.argmax(e))], float(e.max() / e.sum()))
+    got = collected(language_id.identify(spark.createDataFrame(probes, "doc_id long, text string"), model))
+    assert {k: r.lang_pred for k, r in got.items()} == {k: w[0] for k, w in want.items()}
+    assert all(abs(got[k].score - w[1]) < 1e-9 for k, w in want.items())
+
+
+def test_toxicity_against_brute_force(spark):
+    """Scores from a scan of every place of the folded text for every entry."""
+    rng = random.Random(17)
+    lexicon = toxicity.Lexicon({" grum": 1.5, " grumble ": 4.0, " zounds ": 2.0, " zo": 0.5, " oaf ": 3.0}, {" grumble fish ", " mild oaf "})
+    stock = ["grumble", "GRUMBLE!", "grumbly", "fish", "zounds", "z0unds", "zoo", "oaf", "o\u0430f", "mild", "a", "b,"]
+    rows = [(i, " ".join(rng.choices(stock, k=rng.randrange(0, 14)))) for i in range(200)]
+
+    def score(text):
+        t = toxicity.fold(text)
+        spared = [(i, i + len(e) - 1) for e in lexicon.exceptions for i in range(len(t)) if t.startswith(e, i)]
+        best = {}
+        for e, w in lexicon.weights.items():
+            for i in range(len(t)):
+                if t.startswith(e, i) and not any(a <= i < b for a, b in spared):
+                    best[i] = max(best.get(i, 0), w)
+        return 1 - np.exp(-sum(best.values()) / (1 + 0.1 * np.log1p(t.count(" ")))) if best else 0.0
+
+    got = collected(toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), lexicon))
+    assert all(abs(got[i].score - score(t)) < 1e-9 for i, t in rows) and sum(r.score > 0 for r in got.values()) > 100
