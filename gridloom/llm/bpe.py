@@ -26,9 +26,10 @@ from .shared import small_batches
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The pattern that splits text into pretokens (a fixed value of the vocabulary).
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: The same for ASCII text.
+#: The same for ASCII text, where the standard library's faster expressions can say it; tests hold both against the library.
 SPLIT_ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 CACHE = 250_000
+NEVER = 1 << 62
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -77,6 +78,7 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self._fits: dict[tuple[int, int], bool] = {}
+        self._edges: tuple[dict, dict] = ({}, {})
         self._seen: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def fits(self, left: int, right: int) -> bool:
@@ -88,34 +90,36 @@ class Bpe:
             known = self._fits[left, right] = self._check(left, right)
         return known
 
-    def _check(self, a: int, b: int) -> bool:
-        parts, pair = self.parts, self.pair
-        # the border's tokens at each age: undo the younger of both sides' last merges, and look whether
-        # the two that then touch would have merged before that side's merge took place
-        limit = len(parts) + 1
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token's outermost piece on one side (0 left, 1 right) while the merges build it: (piece, until), from
+        the single byte to the whole token. A piece is there until the merge numbered `until` takes it."""
+        known = self._edges[side].get(token)
+        if known is None:
+            inner = self.parts[token][side]
+            known = [(token, NEVER)]
+            if inner != token:
+                *before, (last, _) = self._edge(inner, side)
+                known = [*before, (last, token), *known]
+            self._edges[side][token] = known
+        return known
+
+    def _check(self, left: int, right: int) -> bool:
+        """Plays the merges of both tokens in the order of their numbers. They stay apart unless, at some time, the two
+        pieces that touch form a pair whose merge comes before the next merge on either side; of merges with one number
+        the leftmost comes first, so on the right it may also be the same."""
+        ends, begins = self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
         while True:
-            merged = pair.get((a, b))
-            if merged is not None and merged < limit:
+            (a, a_until), (b, b_until) = ends[i], begins[j]
+            merge = self.pair.get((a, b), NEVER)
+            if merge < a_until and merge <= b_until:
                 return False
-            if a > b:
-                limit, inner = a, parts[a][1]
-                if inner == a:  # a single byte
-                    limit = b + 1
-                    inner_b = parts[b][0]
-                    if inner_b == b:
-                        return True
-                    b = inner_b
-                else:
-                    a = inner
+            if a_until == b_until == NEVER:
+                return True
+            if a_until <= b_until:
+                i += 1
             else:
-                limit, inner = b + 1, parts[b][0]
-                if inner == b:
-                    limit, inner_a = a, parts[a][1]
-                    if inner_a == a:
-                        return True
-                    a = inner_a
-                else:
-                    b = inner
+                j += 1
 
     def encode_bytes(self, word: bytes) -> list[int]:
         n = len(word)
