@@ -25,11 +25,18 @@ WIDTH = 1.2
 NEAR, FAR = 0.75, 0.32  # probability that one hash agrees at the threshold, and between unrelated vectors
 
 
-def plan(n: int, miss: float = 0.002, crowd: int = 2000) -> tuple[int, int]:
+CROWD, MISS = 2000, 0.002
+
+
+def plan(n: int, miss: float = MISS, crowd: int = CROWD) -> tuple[int, int]:
     """(k, tables): hashes a table so that about `crowd` unrelated vectors of n share a bucket, and tables so
     that a pair at the threshold is missed with probability `miss`."""
-    k = max(4, math.ceil(math.log(max(n, 1) / crowd) / -math.log(FAR))) if n > crowd else 4
-    return k, math.ceil(math.log(miss) / math.log(1 - NEAR**k))
+    k = max(1, math.ceil(math.log(max(n, 1) / crowd) / -math.log(FAR)))
+    return k, tables_of(k, miss)
+
+
+def tables_of(k: int, miss: float = MISS) -> int:
+    return math.ceil(math.log(miss) / math.log(1 - NEAR**k))
 
 
 class Hashes:
@@ -58,15 +65,16 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
-def _hashed(k: int, tables: int):
+def _hashed(miss: float):
     def run(batches):
         for batch in batches:
-            for dim in sorted(set(batch.column("dim").to_pylist())):
-                part = batch.filter(pa.compute.equal(batch.column("dim"), dim))
+            for dim, k in sorted(set(zip(batch.column("dim").to_pylist(), batch.column("k").to_pylist()))):
+                part = batch.filter(pa.compute.and_(pa.compute.equal(batch.column("dim"), dim), pa.compute.equal(batch.column("k"), k)))
+                tables = tables_of(k, miss)
                 codes = Hashes(dim, k, tables).codes(_unit(_matrix(part.column("vec"))))
                 for t in range(tables):
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("label"), part.column("dim"), pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(codes[:, t]))], names=["rep", "label", "dim", "t", "code"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "label", "dim", "k")), pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(codes[:, t]))], names=["rep", "label", "dim", "k", "t", "code"])
 
     return run
 
@@ -84,13 +92,13 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _compared(k: int, tables: int, cosine: float):
+def _compared(miss: float, cosine: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending"), ("side", "ascending")])
         rep, m, side = (table.column(c).to_numpy() for c in ("rep", "m", "side"))
-        t = table.column("t")[0].as_py()
+        t, k = table.column("t")[0].as_py(), table.column("k")[0].as_py()
         v = _matrix(table.column("vec"))
-        codes = Hashes(v.shape[1], k, tables).codes(_unit(v))[:, :t]
+        codes = Hashes(v.shape[1], k, tables_of(k, miss)).codes(_unit(v))[:, :t]
         norm = np.sqrt((v * v).sum(axis=1))
         links = np.zeros(len(rep), np.int64)
         ii, jj = [], []
@@ -115,14 +123,15 @@ def _compared(k: int, tables: int, cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, k: int | None = None, tables: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, miss: float = MISS, crowd: int = CROWD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label; others are ignored).
 
     Rows are compared when their labels are equal and not null and their dimensions agree. Vectors that are
     null, empty, zero or hold null or non-finite components, and rows without label, link with nothing. Equal
     vectors link whatever their number; ties go to the smallest vec_id. vec_id must be 0 or more and unique; a row
     without one links with nothing and is kept.
-    Every row is hashed and found pairs are confirmed exactly; recall is that of `plan`. Empty in, empty out.
+    Every row is hashed and found pairs are confirmed exactly. A label's hashes a table and tables follow from the number
+    of its vectors (`plan`), so that small labels are shipped to few tables; recall is that of `plan`. Empty in, empty out.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
@@ -130,16 +139,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, k:
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     good = rows.filter("fine")
     classes = materialise(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).withColumn("dim", F.size("vec")), "classes")
-    if k is None or tables is None:
-        k, tables = plan(classes.count())
-    hashed = classes.select("rep", "label", "dim", "vec").mapInArrow(_hashed(k, tables), "rep long, label string, dim int, t int, code long")
-    bucket = ["label", "dim", "t", "code"]
+    n = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    n = n.select("label", "dim", F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / crowd) / -math.log(FAR))).cast("int").alias("k"))
+    hashed = classes.select("rep", "label", "dim", "vec").join(n, ["label", "dim"]).select("rep", "label", "dim", "k", "vec").mapInArrow(_hashed(miss), "rep long, label string, dim int, k int, t int, code long")
+    bucket = ["label", "dim", "k", "t", "code"]
     sizes = hashed.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     member = hashed.join(sizes, bucket).withColumn("own", F.expr("CAST(pmod(xxhash64(rep), blocks) AS INT)"))
     member = member.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     member = member.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).withColumn("side", F.col("own"))
     member = member.join(classes.select("rep", "vec", "m"), "rep").select(*bucket, "lo", "hi", "side", "rep", "m", "vec")
-    found = member.groupBy(*bucket, "lo", "hi").applyInArrow(_compared(k, tables, cosine), "rep long, links long, root long")
+    found = member.groupBy(*bucket, "lo", "hi").applyInArrow(_compared(miss, cosine), "rep long, links long, root long")
     found = materialise(found, "near")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

@@ -196,7 +196,7 @@ def test_embeddings(spark, block):
     rows += [(200 + k, rows[3][1], rows[3][2]) for k in range(7)]
     rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] + [1.0] * 15, 1), (303, [None] + [1.0] * 15, 1), (304, [], 1), (305, [1.0] * 8, 1), (306, [float("inf")] + [1.0] * 15, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit("x")).withColumn("code", F.lit(1))
-    got = collected(embedding_dedup.near_vectors(df, block=block, tables=60), "vec_id")
+    got = collected(embedding_dedup.near_vectors(df, block=block), "vec_id")
     fine = [(i, np.array(v, float), c) for i, v, c in rows if c is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and np.any(v)]
     links = collections.defaultdict(set)
     for i, v, c in fine:
@@ -229,6 +229,28 @@ def test_embedding_recall():
         assert (h.codes(a) == h.codes(b)).any(axis=1).mean() > 0.95
 
 
+def test_embedding_recall_of_the_query(spark, tmp_path):
+    """Planted pairs of cosine 0.93 to 0.97 among unrelated vectors, through the registered query and its own plan."""
+    rng = np.random.default_rng(10)
+    n, dim = 20_000, 64
+    v = embedding_dedup._unit(rng.standard_normal((n, dim)))
+    other = embedding_dedup._unit(rng.standard_normal((n // 4, dim)))
+    other = embedding_dedup._unit(other - (other * v[: n // 4]).sum(axis=1)[:, None] * v[: n // 4])
+    cosine = rng.uniform(0.9302, 0.97, n // 4)[:, None]
+    v[n // 4 : n // 2] = cosine * v[: n // 4] + np.sqrt(1 - cosine**2) * other
+    label = np.arange(n) % (n // 4) % 3 // 2  # one label holds two thirds of the rows
+    spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(n)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in embedding_dedup.op3_embedding_dedup(spark, str(tmp_path)).collect()}
+    linked = total = 0
+    for a in range(0, n, 2000):
+        i, j = np.nonzero((v[a : a + 2000] @ v.T >= 0.93) & (label[a : a + 2000, None] == label[None, :]))
+        ok = i + a < j
+        total += int(ok.sum())
+        linked += sum(got[x].component_id == got[y].component_id for x, y in zip((i[ok] + a).tolist(), j[ok].tolist()))
+    assert total >= n // 4 and linked >= 0.99 * total
+    assert sum(r.n_links for r in got.values()) >= 0.99 * 2 * total
+
+
 def test_exact(docs, none, rows, spark):
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
     groups = collections.defaultdict(list)
