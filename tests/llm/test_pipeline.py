@@ -85,3 +85,36 @@ def test_digests(spark):
     assert all(r.kept_sha256 == hashlib.sha256(b" ".join(docs[r.doc_id].encode().split())).hexdigest() for r in one)
     ten = queries.QUERIES["op10_suffix_array_dedup"](spark, SF).filter("n_removed = 0").collect()
     assert all(r.kept_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest() for r in ten)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, clashing names, nulls, blanks, ties, repeated rows and long white space go through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = ("digest", "low", "component", "bucket", "rank", "length", "block", "toxic", "score", "_own_digest_")
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(None, None), (1, None), (2, ""), (3, " \n"), (4, "\t "), (5, long), (5, long), (6, long), (7, long + " more"), (None, long), (None, "own text of a row without number"), (8, "mail a@b.org on 2020-01-02"), (9, "x" + " " * 1_200_000 + "y")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    wide = docs
+    for c in more:
+        wide = wide.withColumn(c, docs["doc_id"].cast("string"))
+    spark.createDataFrame([(5, 1, 0), (5, None, None), (77, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {"toxicity": 13, "exact_dedup": 8, "near_dedup": 11, "pii": 13}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, wide.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        out = stage(spark, wide, str(tmp_path))
+        if name == "packing":
+            assert out.select("doc_id").distinct().count() == 10
+        else:
+            assert empty.columns == out.columns == wide.columns
+            assert out.count() == kept[name], name
+    now = wide
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    assert now.filter("piece = 0").count() == 7
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
