@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     written to the shared folder each round.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e = materialise(e, "edges")
+    e = materialise(e, "edges", light=True)
     for _ in range(rounds):
         if _stars(e):
             break
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         low = _least(large, "u", "v").withColumnRenamed("least", "m")
         near = large.join(low, "u")
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges")
+        e = materialise(small, "edges", light=True)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()

@@ -116,7 +116,7 @@ def train(labelled: DataFrame, max_train_docs: int = 2_000, least: int = 2) -> M
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     usable = sampled(usable, usable.select("lang").count(), max_train_docs)
     counts = usable.select("lang", "text").mapInArrow(_count, "lang string, kind int, item string, n long")
-    counts = materialise(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "counts")
+    counts = materialise(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "counts", light=True)
     items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
     totals = {(r["kind"], r["lang"]): (r["n"], r["v"]) for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     known = items.filter(F.col("total") >= least).select("kind", "item", "by").toArrow().sort_by([("kind", "ascending"), ("item", "ascending")])

@@ -282,16 +282,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nameless = docs.filter("doc_id IS NULL").select("doc_id", F.lit(True).alias("kept"))
     docs = docs.filter("doc_id IS NOT NULL")
-    signed = materialise(docs.mapInArrow(_sign(shingle), SIGNED), "signed")
+    signed = materialise(docs.mapInArrow(_sign(shingle), SIGNED), "signed", scan=True)
     key = ["low", "high", "n_shingles"]
     traits = ["n_shingles", "s0", "s1", "s2", "s3", "marks"]
     classes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     heads = signed.withColumnRenamed("doc_id", "rep").join(classes, [*key, "rep"]).withColumnRenamed("rep", "doc_id")
     heads = heads.groupBy("doc_id").agg(F.min(F.struct("low", "high", *traits, "bands")).alias("r")).select("doc_id", *(f"r.{c}" for c in traits), "r.bands")
-    heads = materialise(heads, "heads")
+    heads = materialise(heads, "heads", light=True)
     spread = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     crowd = spread.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg(F.count("*").alias("n")).filter("n > 1").drop("z")
-    shared = materialise(spread.join(crowd, "bucket"), "shared")
+    shared = materialise(spread.join(crowd, "bucket"), "shared", light=True)
     release(spark)
     # a bucket's hub is the document with most neighbours: the source of a group of copies is nearer to
     # each than they are to one another
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     ranked = shared.join(degree, "doc_id").select("bucket", "doc_id", F.struct(F.col("degree"), (-F.col("doc_id")).alias("minus")).alias("rank"))
     hubs = ranked.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg((-F.max("rank")["minus"]).alias("hub")).drop("z")
     first = shared.join(hubs, "bucket").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    first = materialise(_likely(first, heads, percent), "first")
+    first = materialise(_likely(first, heads, percent), "first", light=True)
     links = _confirmed(first, docs, percent, shingle)
     found = connected_components(links)
     release(spark)

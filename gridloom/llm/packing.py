@@ -267,7 +267,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, blo
     empty out. The histogram (`capacity` counts at most) is all that reaches the driver; a length is ranked in blocks of
     about `block_rows` rows. Numbers of sequences are arbitrary; full pieces have negative ones.
     """
-    cut = materialise(pieces(docs, capacity, path), "pieces")
+    cut = materialise(pieces(docs, capacity, path), "pieces", scan=True)
     # a full piece fills a sequence, so it needs no rank; any unused number does, and these are negative
     whole = cut.filter(F.col("length") == capacity).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     cut = cut.filter(F.col("length") < capacity)

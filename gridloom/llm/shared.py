@@ -36,15 +36,29 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
         spark.conf.set(BATCH, f"{limit}b")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+MERGE = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def materialise(df: DataFrame, label: str, scan: bool = False, light: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs tasks, never the phases before.
+    This cuts the lineage: a lost executor costs tasks, never the phases before. Files are kept few: scan says that df
+    is one pass over its input, of which a task then takes up to four splits; light says that its last stage is
+    cheap, so that adaptive execution may merge its partitions up to the advisory size even if cores then idle.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    if scan:
+        splits = df.rdd.getNumPartitions()
+        df = df.coalesce(max(1, min(splits, max(2 * spark.sparkContext.defaultParallelism, splits // 4))))
+    before = spark.conf.get(MERGE)
+    if light:
+        spark.conf.set(MERGE, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(MERGE, before)
     return spark.read.schema(schema).parquet(path)
 
 
