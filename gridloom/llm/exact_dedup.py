@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 SPACE = r"[\x20\x09-\x0D]+"
 KEY = ("digest", "check", "n_chars_norm")
 
@@ -52,7 +54,7 @@ def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFr
     empty. The row with the smallest doc_id stays. Rows that repeat that doc_id and text stay too; a row
     without doc_id stays only if its text has no row with one (keep_id is then null). Empty in, empty out.
     """
-    digests = with_digests(docs)
+    digests = materialise(with_digests(docs), "digests", scan=True)  # texts are read, normalised and hashed once
     merged = merge_runs(digests, runs, fan_in)
     out = digests.join(merged, list(KEY))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -65,7 +67,7 @@ def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
     and its text's digests, so that other rows with the doc_id of a dropped one stay.
     Only identifiers are exchanged by digest; the texts meet the (few) dropped identifiers once.
     """
-    digests = with_digests(docs)
+    digests = materialise(with_digests(docs), "digests", scan=True)
     both = digests.join(merge_runs(digests, runs, fan_in), list(KEY)).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     dropped = both.select(F.col("doc_id").alias("_dropped_id"), *(F.col(k).alias(f"_dropped_{k}") for k in KEY)).distinct()
     own = [f"_own_{k}" for k in KEY]
