@@ -157,24 +157,27 @@ def direction_bin(bearing: Column, bins: int = 16) -> Column:
 STEPS = (1 / 60, 2 / 60, 5 / 60, 10 / 60, 15 / 60, 20 / 60, 30 / 60, 1, 2, 3, 4, 5, 10, 15, 20, 30)
 
 
-def nice_step(span: float, lines: int = 6) -> float:
+def graticule_step(span: float, lines: int = 6) -> float:
     """The step nearest to span / lines, the smaller of equals."""
-    return min(STEPS, key=lambda c: abs(c - span / lines))
+    return sorted(STEPS, key=lambda c: (abs(c * lines - span), c))[0]
 
 
-def nice_ticks(low: float, high: float, step: float) -> list[float]:
-    first = math.ceil(low / step - 1e-9)
-    last = math.floor((high + 1e-9) / step)
-    return [round(k * step, 10) for k in range(first, last + 1)]
-
-
-def format_degrees(value: float, step: float, positive: str, negative: str) -> str:
-    side, value = (positive if value >= 0 else negative), abs(value)
-    if step >= 1 - 1e-9:
-        return f"{value:g}°{side}"
-    minutes = round((value - math.floor(value + 1e-9)) * 60)
-    degrees = math.floor(value + 1e-9) + minutes // 60
-    minutes %= 60
+def graticule(low: float, high: float, step: float) -> list[float]:
+    """The multiples of step from low to high, ends included up to rounding."""
+    k = math.ceil(low / step - 1e-9)
+    out = []
+    while k * step <= high + 1e-9:
+        out.append(round(k * step, 10))
+        k += 1
+    return out
+
+
+def degree_label(value: float, step: float, positive: str, negative: str) -> str:
+    """Whole degrees, or degrees and arc minutes where the step is under a degree; the side instead of a sign."""
+    side = negative if value < 0 else positive
+    if step > 1 - 1e-9:
+        return f"{abs(value):g}°{side}"
+    degrees, minutes = divmod(round(abs(value) * 60), 60)
     return f"{degrees}°{minutes:02d}'{side}" if degrees else f"{minutes}'{side}"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.generic import cell_index
+from .lineage import cut
 
 
 def sort_by_cell(points: DataFrame, size_y: int, partitions: int | None = None) -> DataFrame:
@@ -31,13 +32,14 @@ def unsorted_rows(df: DataFrame, order: str, value: str) -> DataFrame:
     return parts.select("_n", edge.alias("_e")).agg(F.coalesce(F.sum("_n") + F.count_if("_e"), F.lit(0)).alias("unsorted"))
 
 
-def equal_count_split(df: DataFrame, order: Sequence[str], parts: int, bins: int = 4096) -> DataFrame:
+def equal_count_split(df: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
     """Adds part (0..parts-1) so that parts hold equal counts in the given order, larger remainders first.
 
     Ranks are global without a global sort: rows are cut into ordered ranges, each range is numbered by its own task and
-    the ranges' counts give the offsets.
+    the ranges' counts give the offsets. The ranges are kept as a checkpoint, as they are used twice and a second
+    cut (by another sample, or of other columns) need not be the same.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_n").over(Window.partitionBy()).alias("_t"))
@@ -59,6 +61,11 @@ def needs_repartition(points: DataFrame, disabled: Column, capacity: int, most_d
     return points.agg(((F.count_if(disabled) / F.nullif(n, F.lit(0)) > most_disabled) | ((F.lit(capacity) - n) / float(capacity) < least_free)).alias("repartition"))
 
 
+def extent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(c_min, c_max) of each column over all rows."""
+    return df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+
+
 def seeded_sample(df: DataFrame, key: Sequence[str], k: int, seed: int = 0) -> DataFrame:
     """k rows by a seeded hash order, the same at each run."""
     return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(k)

@@ -14,21 +14,25 @@ def regular_lookup(points: DataFrame, raster: DataFrame, lat: str, lon: str, val
     """Bilinear values of a regular raster (r, c, values) at points, joined on cell keys.
 
     mode masked: null corners drop out and the other weights are renormalised; strict: any null corner gives null;
-    zero: a point outside gives 0. `on` joins further keys (a frame); `inclusive` counts a point in the last row
+    zero: a point outside gives 0; clamped: a point outside takes the nearest edge's value and `outside` is true. `on` joins further keys (a frame); `inclusive` counts a point in the last row
     or column as inside. `key` identifies a point (all columns if not given). The raster is exploded to the four
     points' cells, not searched: the join is an equi-join on (r, c), whatever the sizes.
     """
     y = (F.col(lat) - origin[0]) / step[0]
     x = (F.col(lon) - origin[1]) / step[1]
-    r0, c0 = F.floor(y).cast("int"), F.floor(x).cast("int")
     rows, cols = shape
+    key = list(key) or points.columns
+    if mode == "clamped":
+        points = points.withColumn("outside", ~(y.between(0, rows - 1) & x.between(0, cols - 1)))
+        key, inclusive = [*key, "outside"], True
+        y, x = F.greatest(F.lit(0.0), F.least(F.lit(rows - 1.0), y)), F.greatest(F.lit(0.0), F.least(F.lit(cols - 1.0), x))
+    r0, c0 = F.floor(y).cast("int"), F.floor(x).cast("int")
     inside = (r0 >= 0) & (c0 >= 0) & ((y <= rows - 1) & (x <= cols - 1) if inclusive else (r0 < rows - 1) & (c0 < cols - 1))
     if inclusive:
         r0, c0 = F.least(r0, F.lit(rows - 2)), F.least(c0, F.lit(cols - 2))
     dr, dc = y - r0, x - c0
     weights = {(0, 0): (1 - dr) * (1 - dc), (0, 1): (1 - dr) * dc, (1, 0): dr * (1 - dc), (1, 1): dr * dc}
     fan = F.when(inside, F.array(*[F.struct((r0 + a).alias("r"), (c0 + b).alias("c"), weights[a, b].alias("w")) for a, b in CORNERS]))
-    key = list(key) or points.columns
     at = points.withColumn("_k", F.explode_outer(fan)).select("*", "_k.*").drop("_k")
     joined = at.join(raster.select(*on, "r", "c", *[F.col(v).alias(f"_{v}") for v in value]), [*on, "r", "c"], "left")
     out = []
@@ -141,6 +145,18 @@ def add_rasters(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequenc
     return a.join(other, list(keys), "left").select(*keys, *[(F.coalesce(F.col(v), F.lit(0.0)) + F.coalesce(F.col(f"_{v}"), F.lit(0.0))).alias(v) for v in values])
 
 
+def snapped(df: DataFrame, coordinate: str, index: str, origin: float, step: float) -> DataFrame:
+    """Adds the integer index of a coordinate that is nearly a multiple of step from origin; half a step off fails."""
+    at = (F.col(coordinate) - origin) / step
+    off = F.abs(at - F.round(at)) > 0.25
+    return df.withColumn(index, F.when(off, F.raise_error(F.lit(f"{coordinate} is not on the grid")).cast("int")).otherwise(F.round(at).cast("int")))
+
+
+def mean_over(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Mean of a value over the other axes (depth); nulls and NaN don't count, and all of them give null."""
+    return df.groupBy(*by).agg(F.avg(F.when(~F.isnan(F.col(value)), F.col(value))).alias(value))
+
+
 def with_missing(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Absent variables are added as 0, nulls become 0."""
     for v in values:

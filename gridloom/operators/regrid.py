@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.generic import unwrap_longitude
+from ..functions.generic import hours_1950_to_epoch, unpack_cf, unwrap_longitude
 from ..params import Projection
 from . import raster as R
+from .timeseries import nearest_in_time
 
 
 def grid_positions(df: DataFrame, p: Projection, offset_x: int, offset_y: int, image_height: int) -> DataFrame:
@@ -69,6 +70,27 @@ def regrid_regular(frames: DataFrame, cells: DataFrame, p: Projection, origin: t
     return out.select(*on, "i", "j", vx.alias("vx"), vy.alias("vy"), F.col("sithick").alias("thickness"))
 
 
+def ocean_frames(currents: DataFrame, tides: DataFrame | None, thickness: DataFrame | None, scale: float = 1.0, offset: float = 0.0, fill: float = -32767.0) -> DataFrame:
+    """(t, r, c, uo, vo, sithick) of three ocean tables with packed values and time axes of their own.
+
+    currents: hours_1950, r, c, uo, vo; tides: hours_1950, r, c, utide, vtide; thickness: hours_1950, r, c, sithick.
+    Values are unpacked, missing ones 0; tides are added at equal times; each frame takes the thickness nearest in time.
+    """
+    def plain(d: DataFrame, values: Sequence[str]) -> DataFrame:
+        out = d.select(hours_1950_to_epoch(F.col("hours_1950")).alias("t"), "r", "c", *[unpack_cf(F.col(v), scale, offset, fill).alias(v) for v in values])
+        return R.with_missing(out, values)
+
+    out = plain(currents, ["uo", "vo"])
+    if tides is not None:
+        out = R.add_rasters(out, plain(tides, ["utide", "vtide"]).withColumnsRenamed({"utide": "uo", "vtide": "vo"}), ["t", "r", "c"], ["uo", "vo"])
+    if thickness is None:
+        return out.withColumn("sithick", F.lit(0.0))
+    ice = plain(thickness, ["sithick"])
+    times = nearest_in_time(out.select("t").distinct(), ice.select(F.col("t").alias("ts")).distinct().withColumn("_", F.lit(0)), "t", "ts", ["_"]).select("t", "nearest_ts")  # one row a frame
+    near = times.join(ice.withColumnRenamed("t", "nearest_ts"), "nearest_ts").drop("nearest_ts")
+    return R.with_missing(out.join(near, ["t", "r", "c"], "left"), ["sithick"]).select("t", "r", "c", "uo", "vo", "sithick")
+
+
 def register_image(image: DataFrame, pixels: DataFrame, source: Projection, width: int, height: int, band: str = "v") -> DataFrame:
     """A source image (r, c, band) sampled at target pixels (x, y, lat, lon), bilinear, null outside."""
     px, py = geo.lonlat_to_pixel(source, F.col("lat"), F.col("lon"))

@@ -108,6 +108,27 @@ def contact(m0: Column, m1: Column, gx: Column, gy: Column, v0: tuple[Column, Co
     return F.struct(out0[0].alias("v0x"), out0[1].alias("v0y"), out1[0].alias("v1x"), out1[1].alias("v1y"))
 
 
+def with_contact(df: DataFrame, m0: Column, m1: Column, gx: Column, gy: Column, v0: tuple[Column, Column], v1: tuple[Column, Column], friction: float) -> DataFrame:
+    """df with the columns of `contact`, v0x, v0y, v1x, v1y, in steps that each use the last one's columns.
+
+    One expression would repeat its parts some thousand times, more than generated code may hold.
+    """
+    c, keep = F.col, df.columns
+    over = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    df = df.withColumns({"_m0": m0, "_m1": m1, "_gx": gx, "_gy": gy, "_ax": v0[0], "_ay": v0[1], "_bx": v1[0], "_by": v1[1]})
+    df = df.withColumns({"_m": c("_m0") + c("_m1"), "_g": F.sqrt(c("_gx") * c("_gx") + c("_gy") * c("_gy"))})
+    df = df.withColumns({f"_n{k}": over(-c(f"_g{k}"), c("_g")) for k in "xy"} | {f"_c{k}": over(c("_m0") * c(f"_a{k}") + c("_m1") * c(f"_b{k}"), c("_m")) for k in "xy"})
+    df = df.withColumn("_normal", (c("_ax") - c("_cx")) * c("_nx") + (c("_ay") - c("_cy")) * c("_ny"))
+    df = df.withColumns({f"_s{k}": c(f"_a{k}") - c(f"_c{k}") - c("_normal") * c(f"_n{k}") for k in "xy"})
+    df = df.withColumn("_length", F.sqrt(c("_sx") * c("_sx") + c("_sy") * c("_sy")))
+    meets = (c("_m0") >= c("_m") * 1e-3) & (c("_m1") >= c("_m") * 1e-3) & (c("_g") >= 1e-10) & (c("_normal") > 0)
+    slides = lambda k: c(f"_a{k}") - c("_normal") * c(f"_n{k}") - over(c("_normal") * friction * c(f"_s{k}"), c("_length"))
+    df = df.withColumns({"_meets": F.coalesce(meets, F.lit(False))} | {f"_f{k}": F.when(c("_length") <= c("_normal") * friction, c(f"_c{k}")).otherwise(slides(k)) for k in "xy"})
+    new = {f"v0{k}": F.when(c("_meets"), c(f"_f{k}")).otherwise(c(f"_a{k}")) for k in "xy"}
+    new |= {f"v1{k}": F.when(c("_meets"), c(f"_b{k}") - over(c("_m0") * (c(f"_f{k}") - c(f"_a{k}")), c("_m1"))).otherwise(c(f"_b{k}")) for k in "xy"}
+    return df.select(*keep, *[v.alias(n) for n, v in new.items()])
+
+
 def contact_nodes(nodes: DataFrame, m: Material, g: Grid) -> DataFrame:
     """Contact at nodes where both fields have mass; gradients come from four equi-joins on sparse cells."""
     mass = nodes.groupBy("i", "j").agg(*[F.coalesce(F.max(F.when(F.col("field") == k, F.col(c))), F.lit(0.0)).alias(f"{c}{k}") for k in (0, 1) for c in ("mass", "vx", "vy")], F.max("region").alias("region"))
@@ -118,8 +139,8 @@ def contact_nodes(nodes: DataFrame, m: Material, g: Grid) -> DataFrame:
     edge = (F.col("i") <= 0) | (F.col("i") >= g.size_x - 1) | (F.col("j") <= 0) | (F.col("j") >= g.size_y - 1)
     land = ~F.coalesce(F.col("region"), F.lit(0)).isin(S.REGION_MODELLED, S.REGION_OPEN)
     gx, gy = (F.when(edge | land, F.lit(0.0)).otherwise(F.col(c)) for c in ("gx", "gy"))
-    both = both.withColumn("c", contact(F.col("mass0"), F.col("mass1"), gx, gy, (F.col("vx0"), F.col("vy0")), (F.col("vx1"), F.col("vy1")), m.friction))
-    out = both.select("i", "j", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"mass{k}").alias("mass"), F.col(f"c.v{k}x").alias("vx"), F.col(f"c.v{k}y").alias("vy")) for k in (0, 1)])).alias("n")).select("i", "j", "n.*")
+    both = with_contact(both, F.col("mass0"), F.col("mass1"), gx, gy, (F.col("vx0"), F.col("vy0")), (F.col("vx1"), F.col("vy1")), m.friction)
+    out = both.select("i", "j", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"mass{k}").alias("mass"), F.col(f"v{k}x").alias("vx"), F.col(f"v{k}y").alias("vy")) for k in (0, 1)])).alias("n")).select("i", "j", "n.*")
     return out.filter("mass <> 0")
 
 
@@ -161,6 +182,12 @@ def step(points: DataFrame, forcing: DataFrame, m: Material, g: Grid, time: floa
     return grid_to_points(points, nodes, forcing, m, g, double_grid, fracture)
 
 
+def farthest_move(points: DataFrame, cell_x: str = "home_x", cell_y: str = "home_y") -> DataFrame:
+    """(farthest): the most cells, along either axis, that an enabled point has moved from its home cell; 0 if none."""
+    move = F.greatest(F.abs(F.col("cell_x") - F.col(cell_x)), F.abs(F.col("cell_y") - F.col(cell_y)))
+    return points.agg(F.coalesce(F.max(F.when(~has(F.col("flags"), S.DISABLED), move)), F.lit(0)).alias("farthest"))
+
+
 def render_frame(points: DataFrame, m: Material, g: Grid) -> DataFrame:
     """All visualised planes in one aggregation: mass-weighted means, density and status fractions by cell."""
     f = _fe()

@@ -40,6 +40,11 @@ def asof_bracket(probes: DataFrame, frames: DataFrame, t: str, ts: str, values:
     return out.select("_row.*", F.col("_lo._ts").alias("t0"), F.col("_hi._ts").alias("t1"), "alpha", *blended)
 
 
+def sorted_union(*arrays: Column) -> Column:
+    """All values of some arrays, each once, in order."""
+    return F.array_sort(F.array_distinct(F.concat(*arrays)))
+
+
 def covered(t: Column, first: Column, last: Column, value: Column) -> Column:
     """value inside the series' span, 0 outside."""
     return F.when(t.between(first, last), value).otherwise(F.lit(0.0))
@@ -73,6 +78,35 @@ def exact_time(frames: DataFrame, ts: str, index: str, wanted: int) -> DataFrame
     return row.select(F.coalesce(F.col(ts), F.raise_error(F.lit(f"frame {wanted} is out of range")).cast("long")).alias(ts))
 
 
+def check_files(paths: Sequence[str]) -> None:
+    """Fails if a path occurs twice."""
+    twice = sorted({p for p in paths if list(paths).count(p) > 1})
+    if twice:
+        raise ValueError(f"given more than once: {twice}")
+
+
+def mesh_differences(files: Sequence[DataFrame], on: Sequence[str] = ("r", "c"), values: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """(file_seq, on): cells of each file's mesh that the first file lacks, has elsewhere, or that only it has."""
+    body = F.struct(*values)
+    first = files[0].select(*on, body.alias("_a")).distinct()
+    out = []
+    for k, d in enumerate(files[1:], 1):
+        both = first.join(d.select(*on, body.alias("_b")).distinct(), list(on), "full")
+        out.append(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(F.lit(k).alias("file_seq"), *on).distinct())
+    one = files[0].select(F.lit(0).alias("file_seq"), *on).limit(0)
+    for d in out:
+        one = one.union(d)
+    return one
+
+
+def one_mesh(files: Sequence[DataFrame], **how) -> Sequence[DataFrame]:
+    """The files; fails unless all have the first one's mesh."""
+    bad = [r["file_seq"] for r in mesh_differences(files, **how).select("file_seq").distinct().collect()]  # one row a file
+    if bad:
+        raise ValueError(f"files {sorted(bad)} have another mesh")
+    return files
+
+
 def timeline(files: Sequence[DataFrame], ts: str = "t") -> DataFrame:
     """Concatenation of files' frames in the order given: file_seq, local_idx, global_idx beside the columns.
 

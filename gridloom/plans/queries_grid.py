@@ -56,8 +56,8 @@ def central_difference(spark, sf_dir):
 def contact_impulse(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     q, d, t = (F.col(f"l_{c}") for c in ("quantity", "discount", "tax"))
-    c = SC.contact(q, (F.col("l_suppkey") % 40).cast("double"), (F.col("l_partkey") % 5).cast("double") - 2, (F.col("l_orderkey") % 7).cast("double") - 3, (d * 1.0123457, t * 1.0234567), (t / 2.0123457, d / 3), 0.3)
-    return rounded(li.select("l_orderkey", "l_linenumber", "l_partkey", c.alias("c")).select("l_orderkey", "l_linenumber", "l_partkey", "c.*"), 8)
+    out = SC.with_contact(li, q, (F.col("l_suppkey") % 40).cast("double"), (F.col("l_partkey") % 5).cast("double") - 2, (F.col("l_orderkey") % 7).cast("double") - 3, (d * 1.0123457, t * 1.0234567), (t / 2.0123457, d / 3), 0.3)
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "v0x", "v0y", "v1x", "v1y"), 8)
 
 
 @query("SELECT CAST(greatest(min(c_nationkey) - 2, 0) AS INTEGER) AS x0, CAST(least(max(c_nationkey) + 2, 24) AS INTEGER) AS x1, CAST(greatest(min(CAST(trunc(c_acctbal) AS INTEGER)) - 2, 0) AS INTEGER) AS y0, CAST(least(max(CAST(trunc(c_acctbal) AS INTEGER)) + 2, 9000) AS INTEGER) AS y1 FROM customer WHERE c_mktsegment = 'BUILDING'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -59,9 +60,18 @@ def node_update_drag(spark, sf_dir):
     return rounded(out.select("i", "j", "vx", "vy"), 8)
 
 
-def _states(spark, sf_dir):
+#: lineitem with one row of those that share a point's number.
+_ONE = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_extendedprice DESC, l_suppkey, l_discount, l_tax, l_quantity, l_returnflag) = 1)"
+
+
+def _one(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey").orderBy(F.desc("l_extendedprice"), "l_suppkey", "l_discount", "l_tax", "l_quantity", "l_returnflag")
+    return table(spark, sf_dir, "lineitem").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+
+
+def _states(spark, sf_dir, li=None):
     """Full point rows from lineitem."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem") if li is None else li
     zero, one = F.lit(0.0), F.lit(1.0)
     values = {
         "point_id": F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_partkey"), "cell_x": F.col("l_partkey") % 58 + 3, "cell_y": F.col("l_suppkey") % 58 + 3,

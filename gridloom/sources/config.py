@@ -16,9 +16,9 @@ def _read(path: str) -> dict:
 
 
 def load_config(path: str, read: Callable[[str], dict] = _read) -> dict:
-    """A JSON document merged over its parents: the child's keys win, objects are merged key by key.
+    """A JSON document over its parents: a member that the child has replaces the parent's, objects as a whole.
 
-    A parent is named by ParentConfig, relative to the child's file. A cycle, a chain of over 20 documents
+    A parent is named by ParentConfig, relative to the child's file. A cycle, a chain of over 20 parents
     and a document that is not an object are errors.
     """
     chain, seen = [], set()
@@ -27,7 +27,7 @@ def load_config(path: str, read: Callable[[str], dict] = _read) -> dict:
         name = str(PurePosixPath(at))
         if name in seen:
             raise ValueError(f"configuration cycle at {name}")
-        if len(chain) >= DEPTH:
+        if len(chain) > DEPTH:
             raise ValueError("configuration chain is too deep")
         seen.add(name)
         doc = read(at)
@@ -38,7 +38,7 @@ def load_config(path: str, read: Callable[[str], dict] = _read) -> dict:
         at = _resolve(PurePosixPath(at).parent, parent) if parent else None
     out: dict = {}
     for doc in reversed(chain):
-        out = merge(out, {k: v for k, v in doc.items() if k != PARENT})
+        out |= {k: v for k, v in doc.items() if k != PARENT}
     return out
 
 
@@ -52,13 +52,6 @@ def _resolve(folder: PurePosixPath, name: str) -> str:
     return str(PurePosixPath(*parts))
 
 
-def merge(parent: dict, child: dict) -> dict:
-    out = dict(parent)
-    for k, v in child.items():
-        out[k] = merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
-    return out
-
-
 def get(doc: dict, key: str, kind: type, default=None):
     """A typed value; an empty string disables the key, a number of the wrong kind is an error."""
     value = doc.get(key, default)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.generic import has
+from ..operators.layout import sort_by_cell
+from ..operators.masks import verify_points
 
 FRAME_NAME = r"^(frame_|f)(\d+)\.(h5|parquet)$"
 
@@ -37,12 +40,12 @@ def nearest_snapshot(names: DataFrame, wanted: int, pattern: str = r"(\d+)(?:\.[
 
 
 def write_frames(cells: DataFrame, folder: str, mode: str = "overwrite", values: Sequence[str] | None = None) -> None:
-    """Cells partitioned by frame; statuses are stored as truncated bytes."""
+    """Cells partitioned by frame, a file for each 512 columns; statuses are stored as truncated bytes."""
     fractions = [c for c in ("crushed", "cracked", "tension", "shear", "crush") if c in cells.columns]
     cells = cells.withColumns({c: (F.col(c) * 255).cast("short") for c in fractions})
     if values:
         cells = cells.select("frame", "i", "j", *values)
-    cells.repartition("frame").write.mode(mode).partitionBy("frame").option("compression", "zstd").parquet(folder)
+    cells.repartition("frame", F.floor(F.col("i") / 512)).write.mode(mode).partitionBy("frame").option("compression", "zstd").parquet(folder)
 
 
 def read_frames(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None, values: Sequence[str] | None = None) -> DataFrame:
@@ -65,19 +68,27 @@ def read_frames(spark: SparkSession, folder: str, first: int | None = None, last
 
 
 def write_snapshot(points: DataFrame, folder: str, number: int, **attributes) -> None:
-    """Points of one snapshot and a one-row table of attributes."""
-    points.withColumn("snapshot", F.lit(number)).write.mode("append").partitionBy("snapshot").option("compression", "zstd").parquet(f"{folder}/points")
+    """Points of one snapshot and a one-row table of attributes. Written again, a snapshot replaces the earlier one."""
+    replace = {"partitionOverwriteMode": "dynamic", "compression": "zstd"}
+    points.withColumn("snapshot", F.lit(number)).write.mode("overwrite").options(**replace).partitionBy("snapshot").parquet(f"{folder}/points")
     row = {"number": number, "n_points": points.count()} | attributes
-    points.sparkSession.createDataFrame([tuple(row.values())], list(row)).withColumn("snapshot", F.lit(number)).write.mode("append").partitionBy("snapshot").parquet(f"{folder}/attributes")
+    points.sparkSession.createDataFrame([tuple(row.values())], list(row)).withColumn("snapshot", F.lit(number)).write.mode("overwrite").options(**replace).partitionBy("snapshot").parquet(f"{folder}/attributes")
 
 
-def read_snapshot(spark: SparkSession, folder: str, number: int, columns: Sequence[str] | None = None) -> DataFrame:
-    """Enabled points of one snapshot; missing columns are an error."""
+def read_snapshot(spark: SparkSession, folder: str, number: int, columns: Sequence[str] | None = None, capacity: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """Enabled points of one snapshot; missing columns are an error, and more points than `capacity`.
+
+    With the grid's `size` the points are verified (see `verify_points`) and sorted by cell.
+    """
     d = spark.read.parquet(f"{folder}/points").filter(F.col("snapshot") == number)
     missing = {f.name for f in S.POINTS} - set(d.columns)
     if missing:
         raise ValueError(f"the snapshot lacks {sorted(missing)}")
+    if capacity is not None and (n := snapshot_attributes(spark, folder, number).first()["n_points"]) > capacity:
+        raise ValueError(f"the snapshot holds {n} points, there is room for {capacity}")
     d = d.filter(~has(F.col("flags"), S.DISABLED))
+    if size:
+        d = sort_by_cell(verify_points(d, *size), size[1])
     return d.select(*(columns or [f.name for f in S.POINTS]))
 
 
@@ -85,12 +96,35 @@ def snapshot_attributes(spark: SparkSession, folder: str, number: int) -> DataFr
     return spark.read.parquet(f"{folder}/attributes").filter(F.col("snapshot") == number)
 
 
+def flag_counts(points: DataFrame) -> DataFrame:
+    """(n, cracked, tension, shear, crush, disabled): points, and those with each status bit."""
+    bits = {"cracked": S.CRACKED, "tension": S.TENSION, "shear": S.SHEAR, "crush": S.CRUSH, "disabled": S.DISABLED}
+    return points.agg(F.count("*").alias("n"), *[F.count_if(has(F.col("flags"), b)).alias(c) for c, b in bits.items()])
+
+
+def write_cloud(points: DataFrame, folder: str, **attributes) -> None:
+    """A generated point cloud and what it was made with, for `read_cloud`."""
+    write_grid(points, folder, **attributes)
+
+
+def read_cloud(spark: SparkSession, folder: str, **attributes) -> DataFrame | None:
+    """The cached cloud if it was made with these attributes, else None."""
+    try:
+        made = spark.read.parquet(f"{folder}/attributes").first().asDict()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return spark.read.parquet(f"{folder}/grid") if made == attributes else None
+
+
 def frame_of_step(step: int, steps_a_frame: int) -> int:
     return step // steps_a_frame
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=S.SERIES, header=True)
+    """A temperature series in the order of its times."""
+    return spark.read.csv(path, schema=S.SERIES, header=True).orderBy("epoch_unix")
 
 
 def write_series(df: DataFrame, path: str) -> None:

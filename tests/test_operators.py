@@ -104,8 +104,8 @@ def test_generic(spark):
     assert (r.d, r.e, r.f, r.g) == ("Day -1  Hour 23", "Day 01  Hour 01", 1800 - 631152000, "May 01, 2024, 00h UTC")
     assert (r.h, r.i, r.j, round(r.k, 6)) == (-10.0, 10.0, 0, 0.0)
     assert tuple(r.l) == (127, 5, 1) and r.m == [[1.0, 2.0], [3.0, 4.5]] and r.n == [0, 0.25, 0.5, 0.75, 1] and r.o == 3.0 and r.p == 3
-    assert X.nice_step(12) == 2 and X.nice_ticks(74.2, 84.5, 3) == [75, 78, 81, 84]
-    assert X.format_degrees(-80.5, 0.5, "N", "S") == "80°30'S" and X.format_degrees(75, 3, "N", "S") == "75°N"
+    assert X.graticule_step(12) == 2 and X.graticule(74.2, 84.5, 3) == [75, 78, 81, 84]
+    assert X.degree_label(-80.5, 0.5, "N", "S") == "80°30'S" and X.degree_label(75, 3, "N", "S") == "75°N"
     s = [tuple(x.s) if x.s else None for x in spark.createDataFrame([("p 1 0 5",), ("q 2 3",), ("# no",)], "l string").select(X.parse_state_line(F.col("l")).alias("s")).collect()]
     assert s == [("p", 1, 0.0, 5.0), ("q", 1, 2.0, 3.0), None]
 
@@ -406,7 +406,7 @@ def test_config(tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/child.json").write_text(json.dumps({"ParentConfig": "../base.json", "a": 2, "o": {"y": 3}, "l": ["p", ""], "e": ""}))
     doc = C.load_config(str(tmp_path / "sub/child.json"))
-    assert doc == {"a": 2, "o": {"x": 1, "y": 3}, "m": "f", "l": ["p", ""], "e": ""}
+    assert doc == {"a": 2, "o": {"y": 3}, "m": "f", "l": ["p", ""], "e": ""}
     assert C.get(doc, "a", float) == 2.0 and C.get(doc, "e", str, "d") is None and C.get(doc, "z", int, 7) == 7 and C.get_list(doc, "l") == ["p"] and C.get_list(doc, "m") == ["f"]
     (tmp_path / "loop.json").write_text(json.dumps({"ParentConfig": "loop.json"}))
     with pytest.raises(ValueError, match="cycle"):
@@ -499,3 +499,47 @@ def test_bounds_keep_nulls(spark):
     null = F.lit(None).cast("double")
     r = one(spark, X.clamp(null, 0.0, 1.0).alias("a"), P.brine_linear(null, 6.0).alias("b"), P.yield_surface(null, F.lit(1.0), Material()).alias("c"), X.quantise_rounded(null).alias("d"))
     assert tuple(r) == (None,) * 4
+
+
+def test_equal_count_split_keeps_every_row(spark):
+    n = 200_000
+    df = spark.range(n).select(F.col("id"), ((F.col("id") * 7919) % n).alias("v"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("more"), (F.col("id") / 3).alias("x"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = L.equal_count_split(df, ["v"], 7)
+        got = out.groupBy("part").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.countDistinct("id").alias("ids")).orderBy("part").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.n for r in got] == [r.ids for r in got] and sum(r.n for r in got) == n and {r.n for r in got} <= {n // 7, n // 7 + 1}
+    assert all(a.high < b.low for a, b in zip(got, got[1:])) and out.columns == [*df.columns, "part"]
+
+
+def test_config_chain_depth_and_files():
+    docs = {str(k): {"k": k, "o": {str(k): k}} | ({"ParentConfig": str(k + 1)} if k < 20 else {}) for k in range(21)}
+    assert C.load_config("0", docs.__getitem__) == {"k": 0, "o": {"0": 0}}
+    docs["20"]["ParentConfig"], docs["21"] = "21", {}
+    with pytest.raises(ValueError, match="deep"):
+        C.load_config("0", docs.__getitem__)
+    from gridloom.operators import timeseries as TS
+
+    with pytest.raises(ValueError, match="more than once"):
+        TS.check_files(["a", "b", "a"])
+
+
+def test_one_mesh(spark):
+    from gridloom.operators import timeseries as TS
+
+    a = spark.createDataFrame([(0, 0, 1.0, 2.0), (0, 1, 1.0, 3.0)], "r int, c int, lat double, lon double")
+    assert TS.one_mesh([a, a, a])
+    with pytest.raises(ValueError, match=r"\[2\]"):
+        TS.one_mesh([a, a, a.limit(1)])
+
+
+def test_contact_in_steps(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(rng.uniform(-1, 1, (200, 8)).tolist(), [*"abcdefgh"])
+    args = (F.abs("a"), F.abs("b"), F.col("c"), F.col("d"), (F.col("e"), F.col("f")), (F.col("g"), F.col("h")), 0.3)
+    want = df.select(SC.contact(*args).alias("c")).select("c.*").collect()
+    got = SC.with_contact(df, *args).select("v0x", "v0y", "v1x", "v1y").collect()
+    assert np.allclose(np.array(got), np.array(want), atol=1e-12)
