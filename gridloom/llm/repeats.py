@@ -114,13 +114,13 @@ class Repeats:
             for i, j in chunks(offsets):
                 yield ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
-    def keys_of(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Key and doc_id of each run of a chunk's documents."""
-        out = [(r.key, ids[r.doc]) for ids, data, offsets in self.pieces(table) for r in [self.runs_of(data, offsets)]]
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def all_runs(self, table: pa.Table) -> list[tuple[np.ndarray, Runs]]:
+        """(doc_ids, runs) of a chunk's documents, a few at a time."""
+        return [(ids, self.runs_of(data, offsets)) for ids, data, offsets in self.pieces(table)]
 
-    def split(self, key: np.ndarray, doc: np.ndarray):
-        """Distinct keys sorted by (bucket, fragment), which of them the chunk itself repeats, buckets."""
+    def split(self, found: list[tuple[np.ndarray, Runs]]):
+        """Distinct keys sorted by (bucket, fragment), which of them the chunk itself repeats, buckets, fragments."""
+        key, doc = (np.concatenate(x) for x in zip(*((r.key, ids[r.doc]) for ids, r in found)))
         buckets = np.uint64(self.parts)
         if self.by_document and len(key):
             order = np.lexsort((doc, key))
@@ -135,7 +135,7 @@ class Repeats:
         return unique[order], count[order] > 1, bucket[order].astype(np.int64), fragment[order]
 
     def questions(self, table: pa.Table) -> pa.Table:
-        unique, _, bucket, fragment = self.split(*self.keys_of(table))
+        unique, _, bucket, fragment = self.split(self.all_runs(table))
         chunk = table.column("chunk")[0].as_py()
         edges = np.searchsorted(bucket, np.arange(self.parts + 1))
         packed = np.ascontiguousarray(fragment.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :FRAGMENT]
@@ -162,7 +162,8 @@ class Repeats:
         """The chunk's names: runs whose keys occur elsewhere, pre-aggregated by (key, span)."""
         if not docs.num_rows:
             return NAMES.empty_table()
-        unique, twice, bucket, _ = self.split(*self.keys_of(docs))
+        runs = self.all_runs(docs)
+        unique, twice, bucket, _ = self.split(runs)
         live = twice.copy()
         edges = np.searchsorted(bucket, np.arange(self.parts + 1))
         for b, blob in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
@@ -172,8 +173,7 @@ class Repeats:
         if not len(active):
             return NAMES.empty_table()
         out = []
-        for ids, data, offsets in self.pieces(docs):
-            r = self.runs_of(data, offsets)
+        for ids, r in runs:
             keep = np.flatnonzero(active[np.minimum(np.searchsorted(active, r.key), len(active) - 1)] == r.key)
             if len(keep):
                 out.append((r.key[keep], r.spans(keep), ids[r.doc[keep]], r.b0[keep], r.b1[keep]))
