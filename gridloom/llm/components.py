@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise
 
 
 def _least(pairs: DataFrame, node: str, other: str) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         low = _least(large, "u", "v").withColumnRenamed("least", "m")
         near = large.join(low, "u")
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "edges", light=True)
+        before, e = e, materialise(small, "edges", light=True)
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()

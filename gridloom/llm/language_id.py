@@ -114,7 +114,7 @@ def train(labelled: DataFrame, max_train_docs: int = 2_000, least: int = 2) -> M
     not depend on how the table is partitioned; items seen fewer than `least` times in them are left out.
     """
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    usable = sampled(usable, usable.select("lang").count(), max_train_docs)
+    usable = sampled(usable, labelled.filter("lang IS NOT NULL").select("lang").count(), max_train_docs)
     counts = usable.select("lang", "text").mapInArrow(_count, "lang string, kind int, item string, n long")
     counts = materialise(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "counts", light=True)
     items = counts.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))

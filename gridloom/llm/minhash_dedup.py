@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise, release, small_batches
+from .shared import discard, materialise, release, small_batches
 from .textbatch import Words, chunks, digests, mix, ngram_hashes, utf8
 
 SHINGLE = 5
@@ -302,6 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     first = materialise(_likely(first, heads, percent), "first", light=True)
     links = _confirmed(first, docs, percent, shingle)
     found = connected_components(links)
+    discard(first)
     release(spark)
     # what is left: pairs across components that share a bucket, in blocks of buckets
     label = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
@@ -310,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     part = label.join(mixed, "bucket").withColumn("side", F.expr("CAST(pmod(xxhash64(doc_id), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     part = part.select("doc_id", "bucket", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     part = part.join(heads.select("doc_id", *traits), "doc_id")
-    needs = materialise(part.groupBy("bucket", "lo", "hi").applyInArrow(_involved(percent), "doc_id long, bucket long, lo int, hi int, side int, component long"), "needs")
+    part_of = needs = materialise(part.groupBy("bucket", "lo", "hi").applyInArrow(_involved(percent), "doc_id long, bucket long, lo int, hi int, side int, component long"), "needs")
     if not needs.isEmpty():
         # with these, every candidate pair has been compared or lies inside one component
         needs = needs.join(heads.select("doc_id", *traits), "doc_id").groupBy("doc_id", F.expr("if(side = lo, hi, lo) DIV 4").alias("part"))
@@ -319,6 +320,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
         more = materialise(sets.groupBy("bucket", "lo", "hi").applyInArrow(_settled(percent), "a long, b long"), "links")
         if not more.isEmpty():
             found = connected_components(links.union(more))
+        discard(more)
+    discard(links, part_of, shared, heads)
     release(spark)
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *key).join(groups, key, "left")

@@ -59,7 +59,27 @@ def materialise(df: DataFrame, label: str, scan: bool = False, light: bool = Fal
         df.write.parquet(path)
     finally:
         spark.conf.set(MERGE, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables whose readers have all been written themselves."""
+    for df in tables:
+        _, path = _WRITTEN.pop(id(df), (None, None))
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def clear() -> None:
+    """Delete all materialised tables of this process; only once no result that was returned is read any more."""
+    discard(*(df for df, _ in list(_WRITTEN.values())))
 
 
 def sampled(rows: DataFrame, n: int, most: int, key: str = "doc_id") -> DataFrame:
