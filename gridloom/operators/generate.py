@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ def tiles(spark: SparkSession, width: int, height: int, size: int) -> DataFrame:
     return t.select("tx", "ty", (F.col("tx") * size).alias("x0"), (F.col("ty") * size).alias("y0"), F.least((F.col("tx") + 1) * size, F.lit(width)).alias("x1"), F.least((F.col("ty") + 1) * size, F.lit(height)).alias("y1"))
 
 
-def mosaic_extent(boxes: DataFrame) -> DataFrame:
-    return boxes.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("resolution").alias("resolution"))
+def mosaic_extent(boxes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The box around all boxes, by mosaic if `by` names columns, and the finest resolution."""
+    return boxes.groupBy(*by).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("resolution").alias("resolution"))
 
 
 def poisson_disk(spark: SparkSession, radius: float, width: float = 1.0, height: float = 1.0, seed: int = 0, candidates: int = 4, rounds: int = 4, keep: Column | None = None) -> DataFrame:

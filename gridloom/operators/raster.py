@@ -92,16 +92,18 @@ def inside_quad(p00: Column, p01: Column, p10: Column, p11: Column, px: Column,
     return F.when(left, every(lambda s: s >= 0)).otherwise(every(lambda s: s <= 0))
 
 
-def cells_in_quads(q: DataFrame, size_x: int, size_y: int, by: Sequence[str] = ()) -> DataFrame:
+def cells_in_quads(q: DataFrame, size_x: int, size_y: int, by: Sequence[str] = (), most: int = 1_000_000) -> DataFrame:
     """(i, j, r, c): the quad of each grid cell, of several the last by (r, c).
 
     A quad is exploded to the integer cells of its bounding box and tested there, so no pair of a cell and a
-    far quad is made.
+    far quad is made. A quad whose box has over `most` cells is taken for a fault of the mesh and fails.
     """
     xs, ys = ([F.col(f"{p}.{a}") for p in ("p00", "p01", "p10", "p11")] for a in "xy")
     lo_i, hi_i = F.greatest(F.lit(0), F.floor(F.least(*xs))).cast("int"), F.least(F.lit(size_x - 1), F.ceil(F.greatest(*xs))).cast("int")
     lo_j, hi_j = F.greatest(F.lit(0), F.floor(F.least(*ys))).cast("int"), F.least(F.lit(size_y - 1), F.ceil(F.greatest(*ys))).cast("int")
     at = q.withColumn("_a", lo_i).withColumn("_b", hi_i).withColumn("_c", lo_j).withColumn("_d", hi_j).filter("_a <= _b AND _c <= _d")
+    cells = (F.col("_b") - F.col("_a") + 1).cast("long") * (F.col("_d") - F.col("_c") + 1)
+    at = at.withColumn("_b", F.when(cells > most, F.raise_error(F.lit(f"a quad covers over {most} cells")).cast("int")).otherwise(F.col("_b")))
     at = at.withColumn("i", F.explode(F.sequence("_a", "_b"))).withColumn("j", F.explode(F.sequence("_c", "_d")))
     hit = at.filter(inside_quad(F.col("p00"), F.col("p01"), F.col("p10"), F.col("p11"), F.col("i").cast("double"), F.col("j").cast("double")))
     return hit.groupBy(*by, "i", "j").agg(F.max(F.struct("r", "c")).alias("_q")).select(*by, "i", "j", "_q.r", "_q.c")

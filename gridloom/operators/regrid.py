@@ -39,7 +39,8 @@ def curvilinear_mapping(mesh: DataFrame, p: Projection, size_x: int, size_y: int
 
 def regrid_curvilinear(frames: DataFrame, mapping: DataFrame, p: Projection, wind: bool = True, temperature: bool = True) -> DataFrame:
     """(t, i, j, vx, vy, temperature) of frames (t, r, c, u10, v10, skt): four corner joins on (r, c), blended in
-    the quad, wind turned from the quad's axes to geographic to grid axes."""
+    the quad, wind turned from the quad's axes to geographic to grid axes. Cells outside the mesh have no row; `densify`
+    a frame with 0 where a dense grid is needed."""
     values = (["u10", "v10"] if wind else []) + (["skt"] if temperature else [])
     corner = frames.select("t", "r", "c", *values)
     out = mapping

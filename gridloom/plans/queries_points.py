@@ -87,9 +87,33 @@ def _states(spark, sf_dir, li=None):
     return p.withColumns({"stored_p": P.pressure(SOFT, f), "stored_q": P.shear_stress(SOFT, f)})
 
 
-@query()
+_KINK = SOFT.shear + SOFT.fracture_tan * (SOFT.shear + SOFT.dp_tan * SOFT.dp_threshold) / (SOFT.dp_tan - SOFT.fracture_tan)
+
+
+def _surface(x: str) -> str:
+    return f"CASE WHEN {x} < {SOFT.dp_threshold!r} THEN 0.0 ELSE least(({x} - {SOFT.dp_threshold!r}) * {SOFT.dp_tan!r}, kink + {SOFT.yield_tan!r} * ({x} - {SOFT.dp_threshold!r} - kink / {SOFT.dp_tan!r})) END"
+
+
+@query(
+    f"""
+    WITH s AS (SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS point_id, CASE WHEN l_returnflag = 'R' THEN {S.CRACKED} ELSE 0 END::BIGINT AS f0, l_discount / 20 + 0.997 AS a, l_tax / 30 AS b, 0.0::DOUBLE AS c, 1.001 - l_tax / 25 AS d, l_discount / 10 AS g0 FROM {_ONE}),
+    t AS (SELECT *, a * d - b * c AS j, a * a + b * b AS xx, a * c + b * d AS xy, c * c + d * d AS yy FROM s),
+    u AS (SELECT *, {-SOFT.kappa / 2!r} * (j * j - 1) AS p, sqrt(2) * {SOFT.mu!r} / j * sqrt((xx - yy) * (xx - yy) / 2 + 2 * xy * xy) AS q, {SOFT.c_residual!r} + {SOFT.c_start - SOFT.c_residual!r} * exp(-g0 / {SOFT.gamma_star!r}) AS soft FROM t),
+    v AS (SELECT *, {SOFT.compressive!r} * soft AS cap, {_KINK!r} * soft AS kink, CASE WHEN p <= 0 THEN {SOFT.shear / SOFT.tensile!r} * (p + {SOFT.tensile!r}) ELSE {SOFT.shear!r} + {SOFT.fracture_tan!r} * p END AS env FROM u),
+    w AS (SELECT *, f0 = 0 AND (p < {-SOFT.tensile!r} OR NOT (q <= env AND p <= {SOFT.compressive!r})) AS breaks FROM v),
+    x AS (SELECT *, CASE WHEN breaks THEN {S.CRACKED} | CASE WHEN p < 0 THEN {S.TENSION} WHEN p > {SOFT.compressive!r} THEN {S.CRUSH} ELSE {S.SHEAR} END ELSE f0 END AS f1, (f0 <> 0 OR breaks) AND p < {SOFT.dp_threshold!r} AS pulled, (f0 <> 0 OR breaks) AND p >= {SOFT.dp_threshold!r} AND q > {_surface("p")} AS flow FROM w),
+    y AS (SELECT *, CASE WHEN pulled THEN {S.CRACKED} | {S.TENSION} WHEN flow AND p > cap THEN {S.CRACKED} | {S.CRUSH} WHEN flow THEN {S.CRACKED} | {S.SHEAR} ELSE f1 END AS flags, CASE WHEN flow THEN least(p, cap) ELSE 0.0 END AS pn FROM x),
+    z AS (SELECT *, CASE WHEN pulled THEN q * {SOFT.relaxation(GRID.dt)!r} WHEN flow THEN least({_surface("pn")} + (q - ({_surface("pn")})) * {SOFT.relaxation(GRID.dt)!r}, env) ELSE 0.0 END AS qn, sqrt(greatest(1 - 2 * pn / {SOFT.kappa!r}, 0)) AS jn,
+      (atan2(c + b, a - d) + atan2(c - b, a + d)) / 2 AS tu, (atan2(c + b, a - d) - atan2(c - b, a + d)) / 2 AS tv, sqrt((a + d) / 2 * (a + d) / 2 + (c - b) / 2 * (c - b) / 2) AS big, sqrt((a - d) / 2 * (a - d) / 2 + (c + b) / 2 * (c + b) / 2) AS small FROM y),
+    r AS (SELECT *, CASE WHEN q > 1e-12 THEN qn / q ELSE 0.0 END * ((big + small) * (big + small) - (big - small) * (big - small)) / 2 AS dev FROM z),
+    o AS (SELECT *, sqrt(greatest(sqrt(jn * jn + dev * dev) + dev, 1e-12)) AS t0, sqrt(greatest(sqrt(jn * jn + dev * dev) - dev, 1e-12)) * CASE WHEN big - small < 0 THEN -1 ELSE 1 END AS t1, pulled OR flow AS moved FROM r)
+    SELECT point_id, flags::BIGINT AS flags, round(CASE WHEN moved THEN least(jn / j, 100.0) ELSE 1.0 END, 8) AS jp_inv, round(CASE WHEN flow THEN g0 + (q - qn) / {2 * SOFT.mu!r} ELSE g0 END, 8) AS gamma_p,
+      round(CASE WHEN moved THEN cos(tu) * t0 * cos(tv) + sin(tu) * t1 * sin(tv) ELSE a END, 8) AS fe00, round(CASE WHEN moved THEN cos(tu) * t0 * sin(tv) - sin(tu) * t1 * cos(tv) ELSE b END, 8) AS fe01,
+      round(CASE WHEN moved THEN sin(tu) * t0 * cos(tv) - cos(tu) * t1 * sin(tv) ELSE c END, 8) AS fe10, round(CASE WHEN moved THEN sin(tu) * t0 * sin(tv) + cos(tu) * t1 * cos(tv) ELSE d END, 8) AS fe11 FROM o
+    """
+)
 def plastic_return(spark, sf_dir):
-    out = plastic_update(_states(spark, sf_dir), SOFT, GRID.dt)
+    out = plastic_update(_states(spark, sf_dir, _one(spark, sf_dir)), SOFT, GRID.dt)
     return rounded(out.select("point_id", "flags", "jp_inv", "gamma_p", "fe00", "fe01", "fe10", "fe11"), 8)
 
 
@@ -156,11 +180,11 @@ def poisson_sample(spark, sf_dir):
     return G.poisson_disk(spark, 0.05, seed=7)
 
 
-@query("SELECT l_returnflag, min(l_extendedprice) AS x0, max(l_extendedprice + l_quantity) AS x1, min(l_quantity) AS y0, max(l_quantity * 2) AS y1, min(l_discount + 0.01::DOUBLE) AS resolution FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_returnflag")
+@query("SELECT l_returnflag, min(l_extendedprice) AS x0, max(l_extendedprice + l_quantity) AS x1, min(l_quantity) AS y0, max(l_quantity * 2) AS y1, min(l_discount + 0.01::DOUBLE) AS resolution FROM lineitem GROUP BY l_returnflag")
 def mosaic_extent(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'")
-    boxes = li.select(F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("x1"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") * 2).alias("y1"), (F.col("l_discount") + 0.01).alias("resolution"))
-    return G.mosaic_extent(boxes).select(F.lit("A").alias("l_returnflag"), "*")
+    li = table(spark, sf_dir, "lineitem")
+    boxes = li.select("l_returnflag", F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("x1"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") * 2).alias("y1"), (F.col("l_discount") + 0.01).alias("resolution"))
+    return G.mosaic_extent(boxes, by=["l_returnflag"])
 
 
 @query("SELECT CAST(bit_or((CASE WHEN l_tax > 0.079 THEN 1 ELSE 0 END) | (CASE WHEN l_discount > 5 THEN 2 ELSE 0 END)) AS INTEGER) AS errors FROM lineitem")

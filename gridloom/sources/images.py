@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA = "path string, x int, y int, r int, g int, b int"
 
 
-def read_image(spark: SparkSession, path: str, flip: bool = True) -> DataFrame:
+def read_image(spark: SparkSession, path: str, flip: bool = True, skip: bool = False) -> DataFrame:
     """(path, x, y, r, g, b) of PNG or JPEG files; y counts from the bottom if flip.
 
-    Undecodable files are skipped. One file's pixels leave its task in slices of rows, so a task holds one
+    A file that can't be decoded is an error that names it, or left out if `skip`. One file's pixels leave its task in slices of rows, so a task holds one
     decoded image at a time.
     """
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
+    images = spark.read.format("image").option("dropInvalid", skip).load(path)
     images = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches):
         for batch in batches:
             for origin, h, w, n, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if h < 0:
+                    raise ValueError(f"{origin} is not an image")
                 bands = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 for top in range(0, h, 256):
                     part = bands[top : top + 256]
