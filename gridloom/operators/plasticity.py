@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..params import Material
@@ -94,13 +96,15 @@ def return_map(v: dict[str, np.ndarray], m: Material, dt: float) -> dict[str, np
 
 
 def plastic_update(points: DataFrame, m: Material, dt: float) -> DataFrame:
-    """Return mapping of points whose stored_p, stored_q hold the trial state. All other columns stay."""
-    names = points.columns
+    """Return mapping of points whose stored_p, stored_q hold the trial state. All other columns stay, in the JVM."""
+    kinds = {c: points.schema[c].dataType for c in COLUMNS}
 
-    def run(batches):
-        for batch in batches:
-            v = {c: batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in COLUMNS}
-            new = return_map(v, m, dt) if batch.num_rows else v
-            yield pa.RecordBatch.from_arrays([pa.array(new[c], batch.column(i).type) if c in COLUMNS else batch.column(i) for i, c in enumerate(names)], schema=batch.schema)
+    @F.arrow_udf(T.StructType([T.StructField(c, t) for c, t in kinds.items()]))
+    def mapped(state: pa.Array) -> pa.Array:
+        old = dict(zip(COLUMNS, state.flatten()))
+        v = {c: x.to_numpy(zero_copy_only=False) for c, x in old.items()}
+        new = return_map(v, m, dt) if len(state) else v
+        return pa.StructArray.from_arrays([pa.array(new[c], old[c].type) for c in COLUMNS], names=list(COLUMNS))
 
-    return points.mapInArrow(run, points.schema)
+    out = points.withColumn("_new", mapped(F.struct(*COLUMNS)))
+    return out.select(*[F.col(f"_new.{c}").alias(c) if c in COLUMNS else F.col(c) for c in points.columns])
