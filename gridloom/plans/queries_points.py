@@ -195,14 +195,14 @@ def error_bits(spark, sf_dir):
     return bits(table(spark, sf_dir, "lineitem").select(nan(F.col("l_tax") > 0.079).alias("a"), nan(F.col("l_discount") > 5).alias("b")), {"a": 1, "b": 2})
 
 
-@query("WITH m AS (SELECT p_partkey AS x FROM part WHERE p_size < 30 AND p_size > 10) SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT x FROM m) AND l_partkey > 1 AND l_partkey < 1998 AND l_suppkey > 1 AND l_suppkey < 98")
+@query("WITH m AS (SELECT DISTINCT p_partkey % 300 AS x FROM part WHERE p_size < 30 AND p_size > 10), p AS (SELECT *, l_partkey % 300 AS x, l_suppkey % 50 AS y FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey FROM p WHERE x IN (SELECT x FROM m) AND x > 1 AND x < 298 AND y > 1 AND y < 48")
 def candidate_points(spark, sf_dir):
     from ..operators.masks import candidate_points as pick
 
-    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("cell_x"), F.col("l_suppkey").alias("cell_y"))
-    good = table(spark, sf_dir, "part").filter("p_size < 30 AND p_size > 10").select(F.col("p_partkey").alias("x"))
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 300).alias("cell_x"), (F.col("l_suppkey") % 50).alias("cell_y"))
+    good = table(spark, sf_dir, "part").filter("p_size < 30 AND p_size > 10").select((F.col("p_partkey") % 300).alias("x")).distinct()
     mask = good.join(p.select(F.col("cell_x").alias("x"), F.col("cell_y").alias("y")).distinct(), "x").withColumn("flags", F.lit(S.MASK_ANALYSIS | 3).cast("long"))
-    return pick(p, mask, 2000, 100).select("l_orderkey", "l_linenumber", "l_partkey")
+    return pick(p, mask, 300, 50).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query()
