@@ -51,7 +51,10 @@ def covered(t: Column, first: Column, last: Column, value: Column) -> Column:
 
 
 def nearest_in_time(probes: DataFrame, frames: DataFrame, t: str, ts: str, keep: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The frame nearest to each probe; of two at one distance the earlier. Adds nearest_ts and `keep`."""
+    """The frame nearest to each probe; of two at one distance the earlier. Adds nearest_ts and `keep`.
+
+    `by` should split the data: without it one task orders all rows, so give times only (see `ocean_frames`).
+    """
     by = list(by)
     f = frames.select(*by, F.col(ts).cast("long").alias("_t"), F.lit(0).alias("_probe"), F.struct(F.col(ts).cast("long").alias("nearest_ts"), *keep).alias("_f"))
     p = probes.select(*by, F.col(t).cast("long").alias("_t"), F.lit(1).alias("_probe"), F.struct(*probes.columns).alias("_row"))
@@ -145,7 +148,10 @@ def moving_average(df: DataFrame, t: str, y: str, out: str, n: int, by: Sequence
 
 
 def window_samples(df: DataFrame, t: str, seconds: float) -> int:
-    """Rows in a window of so many seconds at the median spacing, odd and at least 1."""
+    """Rows in a window of so many seconds at the median spacing, odd and at least 1.
+
+    For one series: its times are ordered in one task and the median is returned to the driver.
+    """
     step = df.select((F.col(t) - F.lag(t).over(Window.orderBy(t))).alias("d")).agg(F.median("d")).first()[0]
     n = max(1, round(seconds / step)) if step else 1
     return n + 1 - n % 2

@@ -543,3 +543,36 @@ def test_contact_in_steps(spark):
     want = df.select(SC.contact(*args).alias("c")).select("c.*").collect()
     got = SC.with_contact(df, *args).select("v0x", "v0y", "v1x", "v1y").collect()
     assert np.allclose(np.array(got), np.array(want), atol=1e-12)
+
+
+def test_clamped_lookup(spark):
+    from gridloom.operators import raster as R
+
+    raster = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(3) for c in range(3)], "r int, c int, v double")
+    p = spark.createDataFrame([(1, 0.5, 0.5), (2, -4.0, 1.0), (3, 9.0, 9.0)], "k int, y double, x double")
+    got = {r.k: (r.v, r.outside) for r in R.regular_lookup(p, raster, "y", "x", ["v"], (0.0, 0.0), (1.0, 1.0), (3, 3), mode="clamped", key=["k"]).collect()}
+    assert got == {1: (5.5, False), 2: (1.0, True), 3: (22.0, True)}
+
+
+def test_snapped_coordinates(spark):
+    from pyspark.errors import PySparkException
+
+    from gridloom.operators import raster as R
+
+    near = spark.createDataFrame([(70.0000004,), (70.4999996,)], "lat double")
+    assert [r.i for r in R.snapped(near, "lat", "i", 70.0, 0.25).collect()] == [0, 2]
+    with pytest.raises(PySparkException, match="not on the grid"):
+        R.snapped(spark.createDataFrame([(70.1,)], "lat double"), "lat", "i", 70.0, 0.25).collect()
+
+
+def test_snapshot_capacity(spark, tmp_path):
+    from gridloom.sources import frames as FR
+
+    row = {f.name: 0.0 if f.dataType.typeName() == "double" else 1 for f in S.POINTS}
+    points = spark.createDataFrame([tuple((row | {"point_id": k, "flags": S.DISABLED * (k == 2)}).values()) for k in range(4)], S.POINTS)
+    for _ in range(2):
+        FR.write_snapshot(points, str(tmp_path), 5)
+    assert FR.read_snapshot(spark, str(tmp_path), 5, capacity=4, size=(9, 9)).count() == 3
+    with pytest.raises(ValueError, match="room for 3"):
+        FR.read_snapshot(spark, str(tmp_path), 5, capacity=3)
+    assert FR.read_cloud(spark, str(tmp_path / "none"), seed=1) is None
