@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import geo
-from ..functions.generic import byte_to_range, clamp, nearest_cell
+from ..functions.generic import byte_to_range, clamp, graticule, nearest_cell
 from ..params import Projection
 from .lineage import cut
 
@@ -122,3 +122,28 @@ def sample_curve(spark: SparkSession, fixed_is_lat: bool, value: float, low: flo
     lat, lon = (F.lit(value), F.col("v")) if fixed_is_lat else (F.col("v"), F.lit(value))
     px, py = geo.lonlat_to_pixel(p, lat, lon)
     return d.select("k", lat.alias("lat"), lon.alias("lon"), px.alias("px"), py.alias("py")).withColumn("seq", F.row_number().over(Window.orderBy("k")))
+
+
+def tick_anchors(spark: SparkSession, lats: tuple[float, float], lons: tuple[float, float], steps: tuple[float, float], offsets: tuple[float, float], p: Projection) -> DataFrame:
+    """(side, at, px, py): where the labels of the southern edge's longitudes and the western edge's latitudes go, in pixels.
+
+    Labels stand off the edge along its normal, on the side away from the box's centre; `offsets` are those of
+    latitudes and of longitudes. The minimum and maximum of px and py are the labels' extent.
+    """
+    rows = [("south", float(v)) for v in graticule(*lons, steps[1])] + [("west", float(v)) for v in graticule(*lats, steps[0])]
+    d = spark.createDataFrame(rows, "side string, at double")
+    south = F.col("side") == "south"
+    small = F.when(south, F.lit((lons[1] - lons[0]) * 1e-4)).otherwise(F.lit((lats[1] - lats[0]) * 1e-4))
+
+    def place(v):
+        return geo.lonlat_to_pixel(p, F.when(south, F.lit(lats[0])).otherwise(v), F.when(south, v).otherwise(F.lit(lons[0])))
+
+    for name, v in (("here", F.col("at")), ("back", F.col("at") - small), ("ahead", F.col("at") + small)):
+        x, y = place(v)
+        d = d.withColumn(name, F.struct(x.alias("x"), y.alias("y")))
+    mx, my = geo.lonlat_to_pixel(p, F.lit(sum(lats) / 2), F.lit(sum(lons) / 2))
+    tx, ty = F.col("ahead.x") - F.col("back.x"), F.col("ahead.y") - F.col("back.y")
+    # the sign tells on which side of the edge's direction the centre lies; labels go to the other one
+    turn = F.signum(tx * (my - F.col("here.y")) - ty * (mx - F.col("here.x")))
+    stand = F.when(south, F.lit(float(offsets[1]))).otherwise(F.lit(float(offsets[0]))) * turn / F.sqrt(tx * tx + ty * ty)
+    return d.select("side", "at", (F.col("here.x") + ty * stand).alias("px"), (F.col("here.y") - tx * stand).alias("py"))

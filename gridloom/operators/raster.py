@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -191,3 +192,38 @@ def fill_nearest(cells: DataFrame, value: str, radius: int) -> DataFrame:
 def crop(raster: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFrame:
     inside = raster.filter(F.col("x").between(x0, x0 + width - 1) & F.col("y").between(y0, y0 + height - 1))
     return inside.withColumn("x", F.col("x") - x0).withColumn("y", F.col("y") - y0)
+
+
+def camera_crop(x: Column, y: Column, half_height: Column, cell: float, aspect: float = 16 / 9) -> Column:
+    """Struct (x0, y0, width, height): the smallest 16:9 rectangle of cells, in whole 16 x 9 steps, about a camera's view.
+
+    x, y: the point looked at; half_height: half of the visible height, in the units of `cell`; steps are rounded to the nearest.
+    """
+    rows = half_height * 2 / cell
+    k = F.greatest(F.round(rows / 9), F.round(rows * aspect / 16), F.lit(1.0)).cast("int")
+    x0 = F.round(x / cell).cast("int") - k * 8
+    y0 = F.round(y / cell).cast("int") - F.floor(k * 9 / 2).cast("int")
+    return F.struct(x0.alias("x0"), y0.alias("y0"), (k * 16).alias("width"), (k * 9).alias("height"))
+
+
+def resize(raster: DataFrame, source: tuple[int, int], target: tuple[int, int], value: str, lobes: int = 3) -> DataFrame:
+    """Windowed-sinc resize of a dense raster (x, y, value), one axis after the other; shrinking widens the window.
+
+    Weights are normalised over the taps inside the raster; cells without row or value count as missing and
+    leave the weights to the others, and a target cell without any tap has no row.
+    """
+    for axis, other, have, want in (("x", "y", source[0], target[0]), ("y", "x", source[1], target[1])):
+        step = have / want
+        reach = lobes * max(step, 1.0)
+        mid = (F.col("_to") + 0.5) * step
+        low, high = F.greatest(F.lit(0), F.floor(mid - reach + 0.5)), F.least(F.lit(have), F.floor(mid + reach + 0.5)) - 1
+        taps = raster.sparkSession.range(want).select(F.col("id").cast("int").alias("_to"))
+        taps = taps.select("_to", mid.alias("_mid"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias(axis))
+        u = (F.col(axis) + 0.5 - F.col("_mid")) / max(step, 1.0)
+        pu = u * math.pi
+        weight = F.when(F.abs(u) < 1e-12, F.lit(1.0)).when(F.abs(u) < lobes, F.sin(pu) * F.sin(pu / lobes) * lobes / (pu * pu)).otherwise(F.lit(0.0))
+        taps = taps.select("_to", axis, weight.alias("_w"))
+        w = F.when(F.col(value).isNotNull(), F.col("_w"))
+        out = raster.select("x", "y", value).join(taps, axis).groupBy("_to", other).agg((F.sum(w * F.col(value)) / F.nullif(F.sum(w), F.lit(0.0))).alias(value))
+        raster = out.select(F.col("_to").alias(axis), other, value)
+    return raster.select("x", "y", value)

@@ -14,7 +14,7 @@ def asof_bracket(probes: DataFrame, frames: DataFrame, t: str, ts: str, values:
     Adds t0, t1, alpha and each of `values` blended linearly. Before the first frame the first two frames bracket with alpha 0,
     after the last the last two with alpha 1; a single frame holds everywhere. Union and two
     windows over (by, time), so it needs one shuffle and no range join. `by` should split the data: without
-    it one task orders all rows.
+    it one task orders all rows, which `asof_bracket_chunked` avoids.
     """
     by = list(by)
     f = frames.select(*by, F.col(ts).cast("long").alias("_t"), F.struct(F.col(ts).cast("long").alias("_ts"), *values).alias("_f"))
@@ -40,6 +40,40 @@ def asof_bracket(probes: DataFrame, frames: DataFrame, t: str, ts: str, values:
     return out.select("_row.*", F.col("_lo._ts").alias("t0"), F.col("_hi._ts").alias("t1"), "alpha", *blended)
 
 
+def asof_bracket_chunked(probes: DataFrame, frames: DataFrame, t: str, ts: str, values: Sequence[str], chunk: int) -> DataFrame:
+    """`asof_bracket` for one long series: time is cut in chunks, which are ordered apart.
+
+    Each chunk also gets the two frames before and the two after it. One task orders at most four frames
+    and two marks a chunk, so `chunk` should leave some ten thousand chunks and each of a task's size.
+    """
+    part = lambda c: F.floor(F.col(c).cast("long") / chunk)
+    f = frames.select(F.col(ts).cast("long").alias(ts), *values).withColumn("_chunk", part(ts))
+    p = probes.withColumn("_chunk", part(t))
+    own = Window.partitionBy("_chunk")
+    ends = f.withColumn("_k", F.row_number().over(own.orderBy(F.col(ts)))).withColumn("_l", F.row_number().over(own.orderBy(F.col(ts).desc())))
+    ends = ends.filter("_k <= 2 OR _l <= 2").select("_chunk", F.lit(1).alias("_kind"), ts, F.struct(ts, *values).alias("_f"))
+    row = Window.orderBy("_chunk", ts)
+    ends = ends.withColumn("_near", F.struct("_f", F.lag("_f").over(row).alias("_b"), F.lead("_f").over(row).alias("_a")))
+    marks = p.select("_chunk").union(f.select("_chunk")).distinct().withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(2))))
+    line = Window.orderBy("_chunk", "_kind", ts)
+    before = F.last("_near", True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_near", True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    marks = ends.select("_chunk", "_kind", ts, "_near").unionByName(marks, allowMissingColumns=True).withColumn("_before", before).withColumn("_after", after)
+    two = F.when(F.col("_kind") == 0, F.array("_before._f", "_before._b")).otherwise(F.array("_after._f", "_after._a"))
+    carried = marks.filter("_kind <> 1").select("_chunk", F.explode(two).alias("_f")).filter("_f IS NOT NULL").select("_chunk", "_f.*")
+    return asof_bracket(p, f.unionByName(carried), t, ts, values, by=["_chunk"]).drop("_chunk")
+
+
+def schedule(steps: DataFrame, t: str, first: str, second: str, n: int, by: Sequence[str] = (), periodic: bool = False) -> DataFrame:
+    """What each time step loads: `changed` where the bracket (first, second) isn't the step before's, and `preload`,
+    the frame to fetch next: at the series' end the first one again if periodic, else none."""
+    w = Window.partitionBy(*by).orderBy(t)
+    same = F.col(first).eqNullSafe(F.lag(first).over(w)) & F.col(second).eqNullSafe(F.lag(second).over(w))
+    following = F.col(second) + 1
+    ahead = following % n if periodic else F.when(following < n, following)
+    return steps.withColumn("changed", ~same).withColumn("preload", ahead)
+
+
 def sorted_union(*arrays: Column) -> Column:
     """All values of some arrays, each once, in order."""
     return F.array_sort(F.array_distinct(F.concat(*arrays)))

@@ -351,3 +351,65 @@ def thermal_points(spark, sf_dir):
     p = _states(spark, sf_dir, _one(spark, sf_dir))
     warm = p.select("point_id", (F.lit(-10.0) - F.col("vely") * 50).alias("ts_new"))
     return rounded(update_points(p, warm, 3600.0, 6.0).select("point_id", "ts_old", "a1", "a2", "a3"), 9)
+
+
+@query(
+    """
+    WITH f AS (SELECT epoch_us(ts) AS us, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY 1),
+    g AS (SELECT *, row_number() OVER (ORDER BY us) AS k FROM f),
+    e AS (SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_type <> 'error'),
+    q AS (SELECT e.event_id, e.us, coalesce(g.k, 1) AS k FROM e ASOF LEFT JOIN g ON e.us >= g.us),
+    r AS (SELECT q.event_id, q.us, greatest(1, least(q.k, x.n - 1)) AS k0, least(greatest(1, least(q.k, x.n - 1)) + 1, x.n) AS k1 FROM q, (SELECT count(*) AS n FROM f) x),
+    s AS (SELECT r.event_id, r.us, a.us AS t0, b.us AS t1, a.value AS v0, b.value AS v1 FROM r JOIN g a ON a.k = r.k0 JOIN g b ON b.k = r.k1),
+    u AS (SELECT *, CASE WHEN t1 = t0 THEN 0.0 ELSE greatest(0.0, least(1.0, (us - t0) / CAST(t1 - t0 AS DOUBLE))) END AS a FROM s)
+    SELECT event_id, t0, t1, round(a, 9) AS alpha, round(v0 * (1 - a) + v1 * a, 6) AS value FROM u
+    """
+)
+def asof_one_series(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.unix_micros("ts").alias("us"))
+    frames = e.filter("event_type = 'error'").groupBy("us").agg(F.max("value").alias("value"))
+    out = TS.asof_bracket_chunked(e.filter("event_type <> 'error'").select("event_id", "us"), frames, "us", "us", ["value"], 3_600_000_000)
+    return out.select("event_id", "t0", "t1", F.round("alpha", 9).alias("alpha"), F.round("value", 6).alias("value"))
+
+
+@query(
+    """
+    WITH s AS (SELECT event_id, user_id, ts, CAST(least(day(ts) - 1, 29) AS INTEGER) AS f FROM events)
+    SELECT event_id, f AS first, f + 1 AS second, coalesce(f <> lag(f) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS changed, (f + 2) % 31 AS wrapped, CASE WHEN f + 2 < 31 THEN f + 2 END AS held FROM s
+    """
+)
+def frame_schedule(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("first", F.least(F.dayofmonth("ts") - 1, F.lit(29)))
+    e = e.select("event_id", "user_id", F.struct("ts", "event_id").alias("t"), "first", (F.col("first") + 1).alias("second"))
+    out = TS.schedule(e, "t", "first", "second", 31, ["user_id"], periodic=True).withColumnRenamed("preload", "wrapped")
+    out = TS.schedule(out, "t", "first", "second", 31, ["user_id"]).withColumnRenamed("preload", "held")
+    return out.select("event_id", "first", "second", "changed", "wrapped", "held")
+
+
+@query(
+    """
+    WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS x, l_quantity * 100 AS y, l_quantity * 2 AS h FROM lineitem),
+    k AS (SELECT *, CAST(greatest(round(h / 9), round(h * (16.0::DOUBLE / 9) / 16), 1) AS INTEGER) AS k FROM v)
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(x / 50) AS INTEGER) - 8 * k AS x0, CAST(round(y / 50) AS INTEGER) - 9 * k // 2 AS y0, 16 * k AS width, 9 * k AS height FROM k
+    """
+)
+def camera_extents(spark, sf_dir):
+    crop = R.camera_crop(F.col("l_extendedprice"), F.col("l_quantity") * 100, F.col("l_quantity") * 50, 50.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", crop.alias("c")).select("l_orderkey", "l_linenumber", "l_partkey", "c.*")
+
+
+_SINC = "CASE WHEN abs(u) < 1e-12 THEN 1.0 WHEN abs(u) < 3 THEN sin(pi() * u) * sin(pi() * u / 3) * 3 / (pi() * pi() * u * u) ELSE 0.0 END"
+
+
+@query(
+    f"""
+    WITH g AS (SELECT CAST(l_partkey % 60 AS INTEGER) AS x, CAST(l_suppkey % 40 AS INTEGER) AS y, max(l_quantity) AS v FROM lineitem GROUP BY ALL),
+    tx AS (SELECT CAST(t AS INTEGER) AS t, CAST(s AS INTEGER) AS x, (s + 0.5::DOUBLE - (t + 0.5::DOUBLE) * 2.5) / 2.5 AS u FROM range(24) a(t), range(60) b(s) WHERE s >= floor((t + 0.5) * 2.5 - 7) AND s < floor((t + 0.5) * 2.5 + 8)),
+    h AS (SELECT t AS x, y, sum(w * v) / sum(w) AS v FROM (SELECT *, {_SINC} AS w FROM tx) JOIN g USING (x) GROUP BY t, y),
+    ty AS (SELECT CAST(t AS INTEGER) AS t, CAST(s AS INTEGER) AS y, (s + 0.5::DOUBLE - (t + 0.5::DOUBLE) * 0.5) AS u FROM range(80) a(t), range(40) b(s) WHERE s >= floor((t + 0.5) * 0.5 - 2.5) AND s < floor((t + 0.5) * 0.5 + 3.5))
+    SELECT x, t AS y, round(sum(w * v) / sum(w), 6) AS v FROM (SELECT *, {_SINC} AS w FROM ty) JOIN h USING (y) GROUP BY x, t
+    """
+)
+def resized(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 60).cast("int").alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y")).agg(F.max("l_quantity").alias("v"))
+    return rounded(R.resize(g, (60, 40), (24, 80), "v"), 6)

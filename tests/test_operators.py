@@ -576,3 +576,83 @@ def test_snapshot_capacity(spark, tmp_path):
     with pytest.raises(ValueError, match="room for 3"):
         FR.read_snapshot(spark, str(tmp_path), 5, capacity=3)
     assert FR.read_cloud(spark, str(tmp_path / "none"), seed=1) is None
+
+
+# -- one long series, schedules, resizing, label anchors
+
+
+@pytest.mark.parametrize("chunk", [7, 100, 10_000])
+def test_chunked_asof_equals_plain(spark, chunk):
+    rnd = random.Random(chunk)
+    frames = spark.createDataFrame([(t, float(rnd.randint(0, 99))) for t in sorted(rnd.sample(range(-300, 900), 40))], "ts long, v double")
+    probes = spark.createDataFrame([(k, rnd.randint(-500, 1200)) for k in range(200)], "k long, t long")
+    plain = {r.k: r for r in TS.asof_bracket(probes, frames, "t", "ts", ["v"]).collect()}
+    out = TS.asof_bracket_chunked(probes, frames, "t", "ts", ["v"], chunk)
+    assert out.columns == ["k", "t", "t0", "t1", "alpha", "v"]
+    assert {r.k: r for r in out.collect()} == plain
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_chunked_asof_of_few_frames(spark, n):
+    frames = spark.createDataFrame([(10 * k, float(k)) for k in range(n)], "ts long, v double")
+    probes = spark.createDataFrame([(k,) for k in (-100, 0, 4, 15, 400)], "t long")
+    want = sorted(map(tuple, TS.asof_bracket(probes, frames, "t", "ts", ["v"]).collect()), key=lambda r: r[0])
+    assert sorted(map(tuple, TS.asof_bracket_chunked(probes, frames, "t", "ts", ["v"], 8).collect()), key=lambda r: r[0]) == want
+
+
+def test_schedule_wraps_or_holds(spark):
+    steps = spark.createDataFrame([(0, 0, 1), (1, 0, 1), (2, 1, 2), (3, 2, 3)], "t int, a int, b int")
+    held = TS.schedule(steps, "t", "a", "b", 4).orderBy("t").collect()
+    assert [(r.changed, r.preload) for r in held] == [(True, 2), (False, 2), (True, 3), (True, None)]
+    assert [r.preload for r in TS.schedule(steps, "t", "a", "b", 4, periodic=True).orderBy("t").collect()] == [2, 2, 3, 0]
+
+
+def _sinc_resize(a, width, lobes=3):
+    """Along the last axis, tap by tap."""
+    step = a.shape[1] / width
+    scale = max(step, 1.0)
+    out = np.zeros((a.shape[0], width))
+    for t in range(width):
+        mid = (t + 0.5) * step
+        w = np.zeros(a.shape[1])
+        for s in range(max(0, math.floor(mid - lobes * scale + 0.5)), min(a.shape[1], math.floor(mid + lobes * scale + 0.5))):
+            u = (s + 0.5 - mid) / scale
+            w[s] = np.sinc(u) * np.sinc(u / lobes) if abs(u) < lobes else 0.0
+        out[:, t] = a @ w / w.sum()
+    return out
+
+
+@pytest.mark.parametrize("target", [(5, 4), (30, 20), (13, 9), (12, 3)])
+def test_resize_against_taps(spark, target):
+    a = np.random.default_rng(1).uniform(0, 255, (9, 13))
+    raster = spark.createDataFrame([(x, y, float(a[y, x])) for y in range(9) for x in range(13)], "x int, y int, v double")
+    want = _sinc_resize(_sinc_resize(a, target[0]).T, target[1]).T
+    got = {(r.x, r.y): r.v for r in R.resize(raster, (13, 9), target, "v").collect()}
+    assert len(got) == target[0] * target[1]
+    assert max(abs(want[y, x] - v) for (x, y), v in got.items()) < 1e-9
+
+
+def test_resize_with_holes_keeps_a_constant(spark):
+    raster = spark.createDataFrame([(x, y, None if x == y else 7.0) for y in range(20) for x in range(20)], "x int, y int, v double")
+    assert all(abs(r.v - 7.0) < 1e-9 for r in R.resize(raster, (20, 20), (6, 6), "v").collect())
+
+
+def test_camera_crop(spark):
+    c = one(spark, R.camera_crop(F.lit(1000.0), F.lit(-500.0), F.lit(450.0), 10.0).alias("c")).c
+    assert (c.x0, c.y0, c.width, c.height) == (100 - 80, -50 - 45, 160, 90)
+    tiny = one(spark, R.camera_crop(F.lit(0.0), F.lit(0.0), F.lit(0.01), 10.0).alias("c")).c
+    assert (tiny.x0, tiny.y0, tiny.width, tiny.height) == (-8, -4, 16, 9)
+
+
+def test_tick_anchors_stand_outside(spark):
+    p = Projection(80.5, -67.5, (50.0, 0.0, -400000.0, 0.0, -50.0, 400000.0), 1.0)
+    on = {(r.side, r["at"]): (r.px, r.py) for r in G.tick_anchors(spark, (78.0, 82.0), (-80.0, -50.0), (1.0, 5.0), (0.0, 0.0), p).collect()}
+    off = {(r.side, r["at"]): (r.px, r.py) for r in G.tick_anchors(spark, (78.0, 82.0), (-80.0, -50.0), (1.0, 5.0), (30.0, 20.0), p).collect()}
+    assert len(on) == 5 + 7
+    edge = lambda lat, lon: tuple(one(spark, *geo.lonlat_to_pixel(p, F.lit(lat), F.lit(lon))))
+    mid = edge(80.0, -65.0)
+    for (side, at), (x, y) in on.items():
+        assert math.dist((x, y), edge(78.0, at) if side == "south" else edge(at, -80.0)) < 1e-6
+        far = off[side, at]
+        assert abs(math.dist((x, y), far) - (20 if side == "south" else 30)) < 1e-6
+        assert math.dist(far, mid) > math.dist((x, y), mid)
