@@ -413,3 +413,21 @@ _SINC = "CASE WHEN abs(u) < 1e-12 THEN 1.0 WHEN abs(u) < 3 THEN sin(pi() * u) *
 def resized(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 60).cast("int").alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y")).agg(F.max("l_quantity").alias("v"))
     return rounded(R.resize(g, (60, 40), (24, 80), "v"), 6)
+
+
+_TICKS = """SELECT side, tick, w, CASE WHEN side = 'south' THEN 78.0 ELSE tick + w * 5e-4 END::DOUBLE AS lat, CASE WHEN side = 'south' THEN tick + w * 9e-4 ELSE -72.0 END::DOUBLE AS lon
+    FROM (SELECT 'south' AS side, -72.0::DOUBLE + i AS tick FROM range(10) a(i) UNION ALL SELECT 'west', 78.0::DOUBLE + i * 0.5 FROM range(11) a(i)) t, range(-1, 2) x(w) UNION ALL SELECT 'mid', 0, 0, 80.5, -67.5"""
+
+
+@query(
+    f"""
+    WITH {_PLANE.replace(_POS, _TICKS)}, c AS (SELECT side, tick, w, (x + 400000) / 50 AS px, (400000 - y) / 50 AS py FROM xy),
+    t AS (SELECT side, tick, max(px) FILTER (w = 0) AS hx, max(py) FILTER (w = 0) AS hy, max(px) FILTER (w = 1) - max(px) FILTER (w = -1) AS tx, max(py) FILTER (w = 1) - max(py) FILTER (w = -1) AS ty FROM c WHERE side <> 'mid' GROUP BY side, tick),
+    n AS (SELECT t.*, -ty / sqrt(tx * tx + ty * ty) AS nx, tx / sqrt(tx * tx + ty * ty) AS ny, m.px - hx AS dx, m.py - hy AS dy FROM t, (SELECT px, py FROM c WHERE side = 'mid') m),
+    o AS (SELECT *, CASE WHEN side = 'south' THEN 40 ELSE 60 END * CASE WHEN nx * dx + ny * dy > 0 THEN -1 ELSE 1 END AS f FROM n)
+    SELECT round(min(hx + nx * f), 4) AS x0, round(max(hx + nx * f), 4) AS x1, round(min(hy + ny * f), 4) AS y0, round(max(hy + ny * f), 4) AS y1 FROM o
+    """
+)
+def label_extent(spark, sf_dir):
+    d = G.tick_anchors(spark, (78.0, 83.0), (-72.0, -63.0), (0.5, 1.0), (60.0, 40.0), PROJECTION)
+    return rounded(d.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1")), 4)
