@@ -11,6 +11,7 @@ from .packing import op7_best_fit_packing
 from .pii import op5_pii
 from .substring_dedup import op1_substring_dedup
 from .suffix_array_dedup import op10_suffix_array_dedup
+from .token_alignment import op12_token_alignment
 from .toxicity import op8_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
         op8_toxicity,
         op9_exact_dedup,
         op10_suffix_array_dedup,
+        op12_token_alignment,
     )
 }
 
