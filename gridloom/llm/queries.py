@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .chat_format import OP11_SQL, op11_chat_format
 from .embedding_dedup import op3_embedding_dedup
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op2_language_id
@@ -27,8 +28,9 @@ QUERIES = {
         op8_toxicity,
         op9_exact_dedup,
         op10_suffix_array_dedup,
+        op11_chat_format,
         op12_token_alignment,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_chat_format": OP11_SQL}
