@@ -27,7 +27,9 @@ from .shared import materialise, small_batches
 from .textbatch import utf8
 
 #: Bytes, tokens or ids handled by one numpy call, which bounds what a very long text takes beside itself.
-SLICE = 1 << 22
+SLICE = 1 << 20
+#: Bytes of text in an Arrow batch: two encoders' lists and a dozen arrays over its bytes and tokens take some 100 times that.
+BATCH_BYTES = 1 << 20
 #: tiktoken gives up on white space of about a million characters; texts with this much go to this package's encoder.
 BLANKS = re.compile(r"(?<!\s)\s{100000}")
 
@@ -191,10 +193,10 @@ def align(texts: list[str | None], a_side: Side, b_side: Side) -> tuple[dict[str
     mark[place_b] = np.where(cut[end_b], ord(";"), ord(","))
     digits, size = _digits(max(len(a_side.size), len(b_side.size)))
     parts = []
-    for i in range(0, len(ids), SLICE // 4):
-        own = ids[i : i + SLICE // 4]
+    for i in range(0, len(ids), SLICE):
+        own = ids[i : i + SLICE]
         rows, length = digits[own], size[own]
-        rows[np.arange(len(own)), length] = mark[i : i + SLICE // 4]
+        rows[np.arange(len(own)), length] = mark[i : i + SLICE]
         parts.append(rows[np.arange(rows.shape[1]) <= length[:, None]].tobytes())
     text = memoryview(b"".join(parts))
     chars = np.concatenate([[0], np.cumsum(size[ids] + 1)])[(sum_a[offsets].astype(np.int64) + sum_b[offsets])]
@@ -318,5 +320,5 @@ def align_tokenizers(docs: DataFrame, a_path: str | None = None, b_path: str | N
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     return align_tokenizers(spark.read.parquet(f"{sf_dir}/documents.parquet"))
