@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import exact_dedup, minhash_dedup, packing, pii, toxicity
-from gridloom.llm.shared import materialise, small_batches
+from gridloom.llm.shared import discard, materialise, small_batches
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest doc_id.
 
-    Null, empty and blank texts have no shingles and stay, rows without doc_id too; rows that repeat a doc_id that stays
-    stay, and all rows of one that goes go.
+    Null, empty and blank texts have no shingles and stay, rows without doc_id too. Rows that repeat doc_id and text share
+    their fate; where a doc_id stands before several texts, each row is judged by its own.
     """
     small_batches(spark)
     return minhash_dedup.minhash_dedup(docs)
@@ -79,5 +79,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -53,6 +53,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     return value, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
+def set_digests(value: np.ndarray, start: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits of each set of shingles, which begin at `start`."""
+    return np.add.reduceat(mix(value ^ np.uint64(salt)), start).view(np.int64) if len(start) else np.zeros(0, np.int64)
+
+
 def signatures(value: np.ndarray, edges: np.ndarray):
     """For each non-empty set: row, 128-bit digest, packed low bits (n x 4) and band keys (n x 32)."""
     size = np.diff(edges)
@@ -61,8 +66,7 @@ def signatures(value: np.ndarray, edges: np.ndarray):
     if not len(rows):
         none = np.zeros(0, np.int64)
         return rows, none, none, none.reshape(0, 4), none.reshape(0, BANDS)
-    low = np.add.reduceat(mix(value), start)
-    high = np.add.reduceat(mix(value ^ np.uint64(0x9E3779B97F4A7C15)), start)
+    low, high = set_digests(value, start), set_digests(value, start, 0x9E3779B97F4A7C15)
     x = (value >> np.uint64(32)).astype(np.uint32)
     least = np.empty((BANDS * ROWS, len(rows)), np.uint32)
     for j in range(BANDS * ROWS):
@@ -79,7 +83,7 @@ def signatures(value: np.ndarray, edges: np.ndarray):
         for j in range(band * ROWS, band * ROWS + ROWS):
             k = mix(k * np.uint64(0x100000001B3) + least[j])
         keys[:, band] = k
-    return rows, low.view(np.int64), high.view(np.int64), packed.view(np.int64), keys.view(np.int64)
+    return rows, low, high, packed.view(np.int64), keys.view(np.int64)
 
 
 def _sign(shingle: int):
@@ -210,7 +214,10 @@ def _settled(percent: int):
 
 
 def _sets(shingle: int, schema: pa.Schema):
-    """A row for each group that needs the document: the group's fields, then doc_id and members."""
+    """A row for each group that needs the set: the group's fields, then doc_id (of the set) and members.
+
+    Of several texts with one identifier, only the one whose set's digest is `low` is meant.
+    """
 
     def run(batches):
         for batch in batches:
@@ -219,8 +226,12 @@ def _sets(shingle: int, schema: pa.Schema):
             for i, j in chunks(offsets):
                 value, edges = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 own = groups.slice(i, j - i)
+                meant = np.zeros(j - i, bool)
+                rows = np.flatnonzero(np.diff(edges))
+                meant[rows] = set_digests(value, edges[rows]) == batch.column("low").slice(i, j - i).to_numpy()[rows]
                 at = np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False))
-                flat, docs = own.flatten(), batch.column("doc_id").slice(i, j - i)
+                flat, docs = own.flatten().filter(pa.array(meant[at])), batch.column("doc_id").slice(i, j - i)
+                at = at[meant[at]]
                 volume = np.cumsum(8 * (edges[at + 1] - edges[at])) // BATCH
                 cuts = [0, *(np.flatnonzero(np.diff(volume)) + 1).tolist(), len(at)]
                 for a, b in zip(cuts, cuts[1:]):
@@ -252,7 +263,13 @@ def _linked(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int, group: int = 256) -> DataFrame:
+def _sets_of(docs: DataFrame, needs: DataFrame, heads: DataFrame, kernel, ddl: str) -> DataFrame:
+    """The sets that `needs` (doc_id, part, groups) asks for, made again from the texts of docs (id, text)."""
+    asked = needs.join(heads.select("doc_id", "text_id", "low"), "doc_id")
+    return docs.withColumnRenamed("doc_id", "text_id").join(asked.hint("shuffle_merge"), "text_id").select("doc_id", "low", "text", "groups").mapInArrow(kernel, ddl)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame, percent: int, shingle: int, group: int = 256) -> DataFrame:
     """Those pairs (a, b, na), materialised, whose full sets are similar enough.
 
     Pairs are grouped by b, at most about `group` pairs and `GROUP` shingles to a task's group; a document's set travels
@@ -264,7 +281,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int, gr
     dealt = pairs.join(salts, "b").withColumn("salt", F.expr("CAST(pmod(xxhash64(a), salts) AS INT)")).select("a", "b", "salt")
     needs = dealt.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(0).alias("part")).union(dealt.select(F.col("b").alias("doc_id"), "b", "salt", F.expr("salt DIV 64").cast("int")).distinct())
     needs = needs.groupBy("doc_id", "part").agg(F.collect_list(F.struct("b", "salt")).alias("groups")).drop("part")
-    sets = docs.join(needs.hint("shuffle_merge"), "doc_id").mapInArrow(_sets(shingle, PAIRED), "b long, salt int, doc long, members binary")
+    sets = _sets_of(docs, needs, heads, _sets(shingle, PAIRED), "b long, salt int, doc long, members binary")
     return materialise(sets.groupBy("b", "salt").applyInArrow(_linked(percent), "a long, b long"), "links")
 
 
@@ -274,10 +291,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document's set is its distinct shingles of `shingle`
     words, or the whole word sequence if it has fewer. Documents are linked if 100 * intersection >= percent
     * union; component_id is the smallest doc_id reachable. Null, empty and blank texts have an empty set and
-    are linked with nothing. Repeated rows with one doc_id count as one document if their texts agree; if they differ,
-    each keeps its own set and equal sets still join, but only that of the smallest digest looks for near copies.
-    doc_id must be 0 or more; a row without one takes no part and returns with nulls, kept. Empty in, empty out.
+    are linked with nothing. Rows that repeat a doc_id count as one document if their texts agree; if they differ, each
+    is compared by its own text, and its component_id says which documents that text is linked with. A row
+    without doc_id takes no part and returns with nulls, kept. Empty in, empty out.
     """
+    return _grouped(docs, percent, shingle, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int, shingle: int, block: int = 512) -> DataFrame:
+    """near_duplicates with the digests of each row's set, low and high."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nameless = docs.filter("doc_id IS NULL").select("doc_id", F.lit(True).alias("kept"))
@@ -285,9 +307,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     signed = materialise(docs.mapInArrow(_sign(shingle), SIGNED), "signed", scan=True)
     key = ["low", "high", "n_shingles"]
     traits = ["n_shingles", "s0", "s1", "s2", "s3", "marks"]
-    classes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    heads = signed.withColumnRenamed("doc_id", "rep").join(classes, [*key, "rep"]).withColumnRenamed("rep", "doc_id")
-    heads = heads.groupBy("doc_id").agg(F.min(F.struct("low", "high", *traits, "bands")).alias("r")).select("doc_id", *(f"r.{c}" for c in traits), "r.bands")
+    # a class is the rows with one set; it gets a number (doc_id from here on) and is found again by its least identifier, text_id
+    classes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("text_id"))
+    heads = signed.withColumnRenamed("doc_id", "text_id").join(classes, [*key, "text_id"])
+    heads = heads.groupBy("text_id", *key).agg(F.min(F.struct(*traits[1:], "bands")).alias("r"))
+    heads = heads.select(F.monotonically_increasing_id().alias("doc_id"), "text_id", *key, *(f"r.{c}" for c in traits[1:]), "r.bands")
     heads = materialise(heads, "heads", light=True)
     spread = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     crowd = spread.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg(F.count("*").alias("n")).filter("n > 1").drop("z")
@@ -300,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     hubs = ranked.groupBy("bucket", F.shiftright("bucket", 63).alias("z")).agg((-F.max("rank")["minus"]).alias("hub")).drop("z")
     first = shared.join(hubs, "bucket").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     first = materialise(_likely(first, heads, percent), "first", light=True)
-    links = _confirmed(first, docs, percent, shingle)
+    links = _confirmed(first, docs, heads, percent, shingle)
     found = connected_components(links)
     discard(first)
     release(spark)
@@ -316,24 +340,42 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
         # with these, every candidate pair has been compared or lies inside one component
         needs = needs.join(heads.select("doc_id", *traits), "doc_id").groupBy("doc_id", F.expr("if(side = lo, hi, lo) DIV 4").alias("part"))
         needs = needs.agg(F.collect_list(F.struct("bucket", "lo", "hi", "side", "component", *traits)).alias("groups")).drop("part")
-        sets = docs.join(needs.hint("shuffle_merge"), "doc_id").mapInArrow(_sets(shingle, BLOCKED), BLOCKED_DDL)
+        sets = _sets_of(docs, needs, heads, _sets(shingle, BLOCKED), BLOCKED_DDL)
         more = materialise(sets.groupBy("bucket", "lo", "hi").applyInArrow(_settled(percent), "a long, b long"), "links")
         if not more.isEmpty():
             found = connected_components(links.union(more))
         discard(more)
-    discard(links, part_of, shared, heads)
+    discard(links, part_of, shared)
     release(spark)
-    groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    named = heads.select("doc_id", "text_id", *key).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    least = named.filter("component IS NOT NULL").groupBy("component", F.shiftright("component", 63).alias("z")).agg(F.min("text_id").alias("least")).drop("z")
+    groups = named.join(least, "component", "left").select(*key, F.coalesce("least", "text_id").alias("component"))
     out = signed.select("doc_id", *key).join(groups, key, "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "low", "high", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return out.unionByName(nameless, allowMissingColumns=True)
 
 
 def minhash_dedup(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with all their columns."""
-    dropped = near_duplicates(docs, percent, shingle).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    """The rows of docs that stay, one document of each group, with all their columns.
+
+    Exactly the rows go that `near_duplicates` marks as not kept: where a doc_id stands before several texts, each row is
+    judged by its own. Rows that repeat the doc_id and text of one that stays do too.
+    """
+    rows = materialise(_grouped(docs, percent, shingle), "near", light=True)
+    dropped = rows.filter(~F.col("kept")).select(F.col("doc_id").alias("_near_id"), F.col("low").alias("_near_low"), F.col("high").alias("_near_high")).distinct()
+    ids = dropped.select("_near_id").distinct()
+    out = docs.join(ids, docs["doc_id"] == ids["_near_id"], "left_anti")
+    both = materialise(ids.join(rows.filter("kept").select("doc_id"), F.col("_near_id") == F.col("doc_id"), "left_semi"), "both", light=True)
+    if both.isEmpty():
+        return out
+    # few: rows whose doc_id has a text that stays and one that goes
+    mixed = docs.join(both, docs["doc_id"] == both["_near_id"], "left_semi").withColumn("_near_row", F.monotonically_increasing_id())
+    mixed = materialise(mixed, "mixed", light=True)
+    keys = mixed.select(F.col("_near_row").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign(shingle), SIGNED)
+    keys = keys.select(F.col("doc_id").alias("_near_row"), F.col("low").alias("_own_low"), F.col("high").alias("_own_high"))
+    goes = (F.col("doc_id") == F.col("_near_id")) & (F.col("_own_low") == F.col("_near_low")) & (F.col("_own_high") == F.col("_near_high"))
+    return out.unionByName(mixed.join(keys, "_near_row").join(dropped, goes, "left_anti").select(docs.columns))
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -524,6 +525,41 @@ def test_rows_without_identifier(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in embedding_dedup.near_vectors(vectors).collect()) == [(0, 0, True), (3, 1, True), (4, 1, False)]
 
 
+def test_minhash_of_repeated_identifiers(spark):
+    """Two texts under one doc_id are two documents: each finds its own near copies, and only rows that resemble others go."""
+    rng = random.Random(6)
+    a, b, c = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(1, a), (5, a + " x"), (5, b), (7, b + " y"), (7, b + " y"), (7, c), (9, c + " z"), (0, c), (0, None), (-4, b + " q"), (5, a + " x")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, low string, _row int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == sorted([(1, 56, 1, True), (5, 57, 1, False), (5, 56, -4, False), (7, 57, -4, False), (7, 57, -4, False), (7, 56, 0, False), (9, 57, 0, False), (0, 56, 0, True), (0, 0, 0, True), (-4, 57, -4, True), (5, 57, 1, False)])
+    kept = minhash_dedup.minhash_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (0, c), (0, None), (-4, b + " q")], key=repr)
+    three = minhash_dedup.minhash_dedup(df.filter("doc_id IN (1, 5)"))
+    assert sorted((r.doc_id, r.text) for r in three.collect()) == [(1, a), (5, b)]
+
+
+@pytest.mark.parametrize("unit", ["a%", "a", "1", "a.", "1.", "1-", "1 ", "- ", "a@", "@", "(1", "+1 ", "A1", "12/", "%", "a-b@c."])
+def test_pii_is_linear(unit):
+    """Long texts of the worst kind: eight times the text takes some eight times as long, not 64 times."""
+    names, took = pii.Pseudonyms(b"k"), []
+    for size in (100_000, 800_000):
+        text = (unit * size)[:size]
+        began = time.time()
+        names.replace(text)
+        took.append(time.time() - began)
+    assert took[1] < 24 * took[0] + 1
+
+
+@pytest.mark.parametrize("text", [" " * 50_000, " " * 99_999, " " * 100_001, "a" * 1000, "\n "])
+def test_packing_guard_is_linear(text):
+    whole = (text + "x") * (5_000_000 // len(text))
+    began = time.time()
+    assert bool(packing.BLANKS.search(whole)) == (len(text) > 100_000)
+    assert time.time() - began < 20
+
+
 def thue_morse(n, letters="ab"):
     return "".join(letters[bin(i).count("1") % 2] for i in range(n))
 
@@ -588,7 +624,12 @@ def test_sets_leave_in_bounded_batches():
 
     text = " ".join(f"w{k}" for k in range(20_000))
     groups = [{"b": b, "salt": 0} for b in range(200)]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "a b c d e f"]), pa.array([groups, groups[:1]], pa.list_(pa.struct([("b", pa.int64()), ("salt", pa.int32())])))], names=["doc_id", "text", "groups"])
+    texts = [text, "a b c d e f", text]
+    value, edges = minhash_dedup.shingle_sets(*minhash_dedup.utf8(pa.array(texts)))
+    low = minhash_dedup.set_digests(value, edges[:-1])
+    low[2] += 1  # another text with the identifier that is meant
+    asked = pa.array([groups, groups[:1], groups], pa.list_(pa.struct([("b", pa.int64()), ("salt", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(low), pa.array(texts), asked], names=["doc_id", "low", "text", "groups"])
     out = list(minhash_dedup._sets(5, minhash_dedup.PAIRED)([batch]))
     assert sum(b.num_rows for b in out) == 201 and max(b.nbytes for b in out) < 2 * minhash_dedup.BATCH
 
