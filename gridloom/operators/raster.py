@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distance import nearest_known
+
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 
@@ -176,16 +178,12 @@ def resample_nearest(raster: DataFrame, source: tuple[int, int], target: tuple[i
     return grid.join(raster.select("x", "y", value), ["x", "y"], "left").select(F.col("tx").alias("x"), F.col("ty").alias("y"), value)
 
 
-def fill_nearest(cells: DataFrame, value: str, radius: int) -> DataFrame:
-    """Null cells take the value of the nearest cell with one, at most `radius` away; ties to the least (x, y)."""
-    holes = cells.filter(F.col(value).isNull()).select("x", "y")
-    size = radius + 1
-    have = cells.filter(F.col(value).isNotNull()).select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(value).alias("sv"), F.expr(f"x DIV {size}").alias("bx"), F.expr(f"y DIV {size}").alias("by"))
-    near = holes.withColumn("ox", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("oy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.withColumn("bx", F.expr(f"x DIV {size} + ox")).withColumn("by", F.expr(f"y DIV {size} + oy"))
-    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    best = near.join(have, ["bx", "by"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).groupBy("x", "y").agg(F.min(F.struct("d2", "sx", "sy", "sv")).alias("m"))
-    filled = best.select("x", "y", F.col("m.sv").alias("_v"))
+def fill_nearest(cells: DataFrame, value: str, radius: int, tile: int = 512) -> DataFrame:
+    """Null cells take the value of the nearest cell with one, at most `radius` away; ties to the least (x, y).
+
+    See `nearest_known`: an exact distance transform, so the radius may be large.
+    """
+    filled = nearest_known(cells, value, radius, tile).select("x", "y", F.col("v").alias("_v"))
     return cells.join(filled, ["x", "y"], "left").withColumn(value, F.coalesce(value, "_v")).drop("_v")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def asof_bracket(probes: DataFrame, frames: DataFrame, t: str, ts: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Floor and next frame of each probe, clamped blend weight and blended values.
@@ -181,12 +183,61 @@ def moving_average(df: DataFrame, t: str, y: str, out: str, n: int, by: Sequence
     return df.withColumn(out, F.sum(y).over(w) / float(n))
 
 
-def window_samples(df: DataFrame, t: str, seconds: float) -> int:
-    """Rows in a window of so many seconds at the median spacing, odd and at least 1.
+def spacings(df: DataFrame, t: str, chunk_rows: int = 100_000) -> DataFrame:
+    """d, the differences of consecutive times of one series, which is ordered in chunks of time of about `chunk_rows` rows.
 
-    For one series: its times are ordered in one task and the median is returned to the driver.
+    The step into a chunk is taken from the last time of the chunk before, so that one task orders only two
+    values a chunk.
+    """
+    x = df.select(F.col(t).alias("t")).filter("t IS NOT NULL")
+    span = x.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).first()
+    if not span["n"]:
+        return x.select(F.col("t").cast("double").alias("d"))
+    width = (span["b"] - span["a"]) / max(1, span["n"] // chunk_rows) or 1
+    x = x.withColumn("chunk", F.floor((F.col("t") - span["a"]) / width))
+    inside = x.select((F.col("t") - F.lag("t").over(Window.partitionBy("chunk").orderBy("t"))).alias("d"))
+    ends = x.groupBy("chunk").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    between = ends.select((F.col("a") - F.lag("b").over(Window.orderBy("chunk"))).alias("d"))
+    return inside.unionByName(between).filter("d IS NOT NULL").select(F.col("d").cast("double").alias("d"))
+
+
+def exact_median(df: DataFrame, value: str, buckets: int = 1024, few: int = 4096) -> float | None:
+    """The median as a sorted list would give it (the mean of two middle values), without sorting.
+
+    Counts by bucket show which bucket holds the middle; its own least and greatest values are the next round's bounds, until they
+    agree or few different values are left. `buckets` rows a round reach the driver. Nulls and NaN don't count.
     """
-    step = df.select((F.col(t) - F.lag(t).over(Window.orderBy(t))).alias("d")).agg(F.median("d")).first()[0]
+    x = cut(df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)"))
+    all_ = x.agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).first()
+
+    def at(rank: int) -> float:
+        low, high, below = all_["a"], all_["b"], 0
+        while low < high:
+            here = x.filter(F.col("v").between(low, high))
+            bucket = F.least(F.floor((F.col("v") - low) / ((high - low) / buckets)), F.lit(buckets - 1))
+            rows = here.groupBy(bucket.alias("k")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), F.approx_count_distinct("v").alias("u")).sort("k").collect()
+            for r in rows:
+                if below + r["n"] > rank:
+                    break
+                below += r["n"]
+            low, high = r["a"], r["b"]
+            if low < high and r["u"] <= few // 2:
+                left = here.filter(F.col("v").between(low, high)).groupBy("v").count().sort("v").limit(few).collect()
+                for v in left:
+                    below += v["count"]
+                    if below > rank:
+                        return v["v"]
+                low, below = left[-1]["v"], below - left[-1]["count"]  # more than was estimated: go on from the last
+        return low
+
+    if not all_["n"]:
+        return None
+    return (at((all_["n"] - 1) // 2) + at(all_["n"] // 2)) / 2 if all_["n"] % 2 == 0 else at(all_["n"] // 2)
+
+
+def window_samples(df: DataFrame, t: str, seconds: float, chunk_rows: int = 100_000) -> int:
+    """Rows in a window of so many seconds at the median spacing of one series, odd and at least 1."""
+    step = exact_median(spacings(df, t, chunk_rows), "d")
     n = max(1, round(seconds / step)) if step else 1
     return n + 1 - n % 2
 

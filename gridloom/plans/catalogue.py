@@ -5,7 +5,7 @@ Each query applies an operator of the library to a whole table whose columns sta
 
 from __future__ import annotations
 
-from . import queries_geo, queries_grid, queries_more, queries_points, queries_series
+from . import queries_fields, queries_geo, queries_grid, queries_more, queries_points, queries_series
 from .registry import ORACLE_SQL, QUERIES, query, table
 
-__all__ = ["ORACLE_SQL", "QUERIES", "query", "table", "queries_geo", "queries_grid", "queries_more", "queries_points", "queries_series"]
+__all__ = ["ORACLE_SQL", "QUERIES", "query", "table", "queries_fields", "queries_geo", "queries_grid", "queries_more", "queries_points", "queries_series"]

@@ -131,6 +131,17 @@ def write_series(df: DataFrame, path: str) -> None:
     df.select(*[f.name for f in S.SERIES]).write.mode("overwrite").csv(path, header=True)
 
 
+def write_site_series(series: DataFrame, folder: str, by: str) -> None:
+    """Series of many sites (see `nearest.site_series`) as CSV with a header, a folder for each value of `by`."""
+    series.hint("rebalance", F.col(by)).write.mode("overwrite").partitionBy(by).csv(folder, header=True)
+
+
+def read_site_series(spark: SparkSession, folder: str, keys: str) -> DataFrame:
+    """Series written by `write_site_series`; keys are the columns before the series' own, with their types."""
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.SERIES)
+    return spark.read.csv(folder, schema=f"{keys}, {own}", header=True, enforceSchema=False)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=S.DIAGNOSTICS, header=True)
 
