@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import masks as M
 from ..operators import nearest as N
 from ..operators import raster as R
+from ..operators import stored_index as SI
 from ..operators.lineage import scratch
 from ..operators.masked_points import masked_poisson_disk
 from ..sources import frames as FR
@@ -89,3 +91,34 @@ def site_series_written_and_read(spark, sf_dir):
     FR.write_site_series(N.site_series(N.nearest_cells(sites, cells), frames, ["c_nationkey", "c_custkey", "r", "c"]), at, "c_nationkey")
     back = FR.read_site_series(spark, at, "c_nationkey int, c_custkey long, r long, c long")
     return back.withColumn("temperature_C", F.round("temperature_C", 6))
+
+
+@query(
+    """
+    WITH mesh AS (SELECT DISTINCT (l_partkey % 70)::BIGINT AS r, (l_suppkey % 45)::BIGINT AS c FROM lineitem),
+    days AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS t, avg(value) AS v FROM events GROUP BY 1),
+    frames AS (SELECT t, r, c, v / 10 + r * 0.5::DOUBLE - c * c * 0.01::DOUBLE AS skt FROM mesh, days),
+    cells AS (SELECT DISTINCT o_custkey % 200 AS i, o_orderkey % 150 AS j FROM orders),
+    quads AS (SELECT i, j, (i * 7 + j) % 69 AS r, (i + j * 3) % 44 AS c, (i % 11) / 10.0::DOUBLE AS s, (j % 9) / 8.0::DOUBLE AS t FROM cells WHERE (i + j) % 5 <> 0)
+    SELECT days.t, cells.i, cells.j, CASE WHEN q.i IS NULL THEN 0.0 ELSE round(f.skt * (1 - s) * (1 - q.t) + g.skt * s * (1 - q.t) + h.skt * (1 - s) * q.t + k.skt * s * q.t, 6) END AS temperature
+    FROM cells CROSS JOIN days LEFT JOIN quads q ON q.i = cells.i AND q.j = cells.j
+    LEFT JOIN frames f ON f.t = days.t AND f.r = q.r AND f.c = q.c
+    LEFT JOIN frames g ON g.t = days.t AND g.r = q.r AND g.c = q.c + 1
+    LEFT JOIN frames h ON h.t = days.t AND h.r = q.r + 1 AND h.c = q.c
+    LEFT JOIN frames k ON k.t = days.t AND k.r = q.r + 1 AND k.c = q.c + 1
+    """
+)
+def regrid_stored(spark, sf_dir):
+    """Stored frames of a raster of 70 by 45 through a stored mapping; cells without a quad are 0."""
+    mesh = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 70).alias("r"), (F.col("l_suppkey") % 45).alias("c")).distinct()
+    days = table(spark, sf_dir, "events").groupBy(F.unix_seconds(F.date_trunc("day", "ts")).alias("t")).agg(F.avg("value").alias("v"))
+    frames = mesh.crossJoin(F.broadcast(days)).select("t", "r", "c", (F.col("v") / 10 + F.col("r") * 0.5 - F.col("c") * F.col("c") * 0.01).alias("skt"))  # one row a day
+    cells = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("i"), (F.col("o_orderkey") % 150).alias("j")).distinct()
+    i, j = F.col("i"), F.col("j")
+    st = F.struct((i % 11 / 10.0).alias("s"), (j % 9 / 8.0).alias("t"))
+    mapping = cells.filter((i + j) % 5 != 0).select("i", "j", ((i * 7 + j) % 69).alias("r"), ((i + j * 3) % 44).alias("c"), st.alias("st"))
+    name, at = f"stored_{uuid.uuid4().hex}", scratch(spark, "stored")
+    SI.store_frames(frames, (70, 45), f"{name}_frames", f"{at}/frames", 8, values=["skt"])
+    SI.store_mapping(mapping, (70, 45), f"{name}_mapping", f"{at}/mapping", 8, cells=cells)
+    out = SI.regrid_stored(spark.table(f"{name}_frames"), spark.table(f"{name}_mapping"), wind=False)
+    return out.withColumn("temperature", F.round("temperature", 6))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from gridloom.operators import distance, masked_points
 from gridloom.operators import nearest as N
 from gridloom.operators import raster as R
+from gridloom.operators import regrid as RG
+from gridloom.operators import stored_index as SI
 from gridloom.operators import timeseries as TS
+from gridloom.params import Projection
 from gridloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +147,35 @@ def test_site_series_have_all_frames(spark):
     got = catalogue.QUERIES["site_series_written_and_read"](spark, SF)
     days = spark.read.parquet(f"{SF}/events.parquet").select(F.to_date("ts")).distinct().count()
     assert got.groupBy("c_custkey").count().filter(F.col("count") != days).isEmpty()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("shape", [(12, 12), (9, 5), (40, 34)])
+def test_stored_regrid_equals_joins_and_needs_no_exchange(spark, tmp_path, shape):
+    rows, cols = shape
+    p = Projection(80.0, -65.0, (1000.0, 0.0, -15000.0, 0.0, -1000.0, 15000.0))
+    mesh = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
+    mesh = mesh.withColumns({"lat": F.lit(79.86) + F.col("r") * (0.28 / rows) + F.col("c") * 0.001, "lon": F.lit(-65.8) + F.col("c") * (1.6 / cols) + 360})
+    frames = mesh.withColumn("t", F.explode(F.array(F.lit(0), F.lit(3600), F.lit(7200))))
+    frames = frames.withColumns({"u10": F.sin(F.col("r") * 0.7 + F.col("t")), "v10": F.cos(F.col("c") * 1.3), "skt": F.col("r") * 1.5 - F.col("c") + F.col("t") / 1000})
+    mapping = RG.curvilinear_mapping(mesh, p, 34, 34, 0, 0, 34)
+    cells = spark.range(34 * 34).select((F.col("id") / 34).cast("int").alias("i"), (F.col("id") % 34).cast("int").alias("j"))
+    name = f"own_{rows}_{cols}"
+    for k in (0, 1):  # frames are added as they come
+        SI.store_frames(frames.filter(F.col("t") > 0 if k else F.col("t") == 0), shape, f"{name}_f", str(tmp_path / "f"), 4, block=7)
+    SI.store_mapping(mapping, shape, f"{name}_m", str(tmp_path / "m"), 4, p, block=7, cells=cells)
+    got = SI.regrid_stored(spark.table(f"{name}_f"), spark.table(f"{name}_m"))
+    assert "Exchange" not in plan_of(got)
+    want = {(r.t, r.i, r.j): (r.vx, r.vy, r.temperature) for r in RG.regrid_curvilinear(frames, mapping, p).collect()}
+    have = {(r.t, r.i, r.j): (r.vx, r.vy, r.temperature) for r in got.collect()}
+    assert len(have) == 3 * 34 * 34 and 0 < len(want) < len(have)
+    for key, values in have.items():
+        assert values == pytest.approx(want.get(key, (0.0, 0.0, 0.0)), abs=1e-9)
+    again = SI.attach(spark, f"{name}_again", str(tmp_path / "f"), 4)
+    later = SI.regrid_stored(again.filter("t = 3600"), spark.table(f"{name}_m"), wind=False)
+    plan = plan_of(later)
+    assert "Exchange" not in plan and later.columns == ["t", "i", "j", "temperature"] and later.count() == 34 * 34
+    assert "u10" not in plan.split("Scan parquet")[1].split("ReadSchema")[1][:200]
