@@ -1,20 +1,28 @@
-"""Queries of masked point generation, distance fill and nearest cells of many sites."""
+"""Queries of masked points, distance fill, nearest cells, stored regridding, ocean rasters on the grid, ordered streams and logs."""
 
 from __future__ import annotations
 
 import math
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+from ..functions.generic import epoch_to_iso
+from ..operators import layout as L
 from ..operators import masks as M
 from ..operators import nearest as N
 from ..operators import raster as R
+from ..operators import regrid as RG
 from ..operators import stored_index as SI
 from ..operators.lineage import scratch
 from ..operators.masked_points import masked_poisson_disk
 from ..sources import frames as FR
-from .registry import query, table
+from ..streaming import ordered as OS
+from .queries_geo import _PLANE, PROJECTION, _positions, _shift
+from .queries_more import ocean_fields  # noqa: F401  (its SQL is part of ocean_on_grid's)
+from .registry import ORACLE_SQL, query, table
 
 RADIUS = 1.7
 _MASK = "SELECT DISTINCT CAST(o_custkey % 120 AS INTEGER) AS x, CAST(o_orderkey % 90 AS INTEGER) AS y FROM orders WHERE o_orderpriority < '3'"
@@ -122,3 +130,99 @@ def regrid_stored(spark, sf_dir):
     SI.store_mapping(mapping, (70, 45), f"{name}_mapping", f"{at}/mapping", 8, cells=cells)
     out = SI.regrid_stored(spark.table(f"{name}_frames"), spark.table(f"{name}_mapping"), wind=False)
     return out.withColumn("temperature", F.round("temperature", 6))
+
+
+@query(
+    """
+    WITH e AS (SELECT user_id, ts, floor(value / 100)::BIGINT AS frame, max(ts) OVER () - INTERVAL 1 HOUR AS passed FROM events),
+    w AS (SELECT *, lag(frame) OVER (PARTITION BY user_id ORDER BY ts, frame) AS before FROM e)
+    SELECT user_id, epoch_us(ts) AS us, frame FROM w WHERE (before IS NULL OR before <> frame) AND ts <= date_trunc('milliseconds', passed)
+    """
+)
+def ordered_frame_changes(spark, sf_dir):
+    """A stream of events that keeps rows in state until the watermark has passed them, written and read back."""
+    before, at = spark.conf.get(OS.PROVIDER), scratch(spark, "changes")
+    spark.conf.set(OS.PROVIDER, OS.ROCKSDB)
+    try:
+        source = f"{sf_dir}/events.parquet"
+        events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source[:-1]}[{source[-1]}]")  # a pattern may be a file or a folder
+        events = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") / 100).alias("frame"))
+        out = OS.ordered_changes(events, "user_id", "ts", "frame", "1 hour")
+        q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(OS.PROVIDER, before)
+    return spark.read.parquet(f"{at}/out").select("user_id", F.unix_micros("ts").alias("us"), "frame")
+
+
+@query(
+    f"""
+    WITH f AS ({ORACLE_SQL["ocean_fields"]}), {_PLANE},
+    h AS (SELECT t, r, c, sithick, avg(uo) OVER w AS a, avg(vo) OVER w AS b FROM f WINDOW w AS (PARTITION BY t, r ORDER BY c ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+    g AS (SELECT t, r, c, sithick, avg(a) OVER w AS uo, avg(b) OVER w AS vo FROM h WINDOW w AS (PARTITION BY t, c ORDER BY r ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+    pos AS (SELECT k, CAST(k % 12 * 3600 AS BIGINT) - 631152000 AS t, (lat - 78.3::DOUBLE) / 0.8::DOUBLE AS yy, (lon + 71.5::DOUBLE) / 1.5::DOUBLE AS xx FROM xy),
+    u AS (SELECT *, floor(yy)::INT AS r0, floor(xx)::INT AS c0 FROM pos),
+    v AS (SELECT u.k, u.t, a, b, (CASE a WHEN 0 THEN 1 - (yy - r0) ELSE yy - r0 END) * (CASE b WHEN 0 THEN 1 - (xx - c0) ELSE xx - c0 END) AS wt, r0 + a AS r, c0 + b AS c
+        FROM u, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b) WHERE r0 >= 0 AND c0 >= 0 AND r0 < 5 AND c0 < 5),
+    s AS (SELECT u.k, u.t, coalesce(sum(wt * uo), 0) AS uo, coalesce(sum(wt * vo), 0) AS vo, coalesce(sum(wt * sithick), 0) AS thickness
+        FROM u LEFT JOIN v ON v.k = u.k LEFT JOIN g ON g.t = v.t AND g.r = v.r AND g.c = v.c GROUP BY u.k, u.t),
+    nn AS (SELECT k, {_shift('1e-5', '0.0')} FROM xy), ee AS (SELECT k, {_shift('0.0', '1e-5')} FROM xy)
+    SELECT s.t, s.k, round(uo * ee.dx / sqrt(ee.dx * ee.dx + ee.dy * ee.dy) + vo * nn.dx / sqrt(nn.dx * nn.dx + nn.dy * nn.dy), 4) AS vx,
+        round(uo * ee.dy / sqrt(ee.dx * ee.dx + ee.dy * ee.dy) + vo * nn.dy / sqrt(nn.dx * nn.dx + nn.dy * nn.dy), 4) AS vy, round(thickness, 9) AS thickness
+    FROM s JOIN nn USING (k) JOIN ee USING (k)
+    """
+)
+def ocean_on_grid(spark, sf_dir):
+    """A regular ocean raster from packed values to grid vectors: unpacked, tides added, nearest thickness, blurred, looked up, turned."""
+    k = F.col("p_partkey")
+    o = table(spark, sf_dir, "part").groupBy((k % 12).alias("hours_1950"), F.expr("CAST(p_partkey DIV 12 % 6 AS INT)").alias("r"), F.expr("CAST(p_partkey DIV 72 % 6 AS INT)").alias("c")).agg(F.max("p_size").alias("raw"))
+    currents = o.select("hours_1950", "r", "c", F.col("raw").alias("uo"), (F.col("raw") * 2).alias("vo"))
+    tides = o.filter("hours_1950 % 2 = 0").select("hours_1950", "r", "c", (F.col("raw") % 9).alias("utide"), (F.col("raw") % 9).alias("vtide"))
+    ice = o.filter("hours_1950 IN (1, 8)").select("hours_1950", "r", "c", (F.col("raw") + 1).alias("sithick"))
+    frames = RG.ocean_frames(currents, tides, ice, 0.01, 0.5, 7.0)
+    cells = _positions(spark, sf_dir).select(((F.col("k") % 12) * 3600 - 631152000).alias("t"), F.col("k").alias("i"), F.lit(0).alias("j"), "lat", "lon")
+    out = RG.regrid_regular(frames, cells, PROJECTION, (78.3, -71.5), (0.8, 1.5), (6, 6))
+    return out.select("t", F.col("i").alias("k"), F.round("vx", 4).alias("vx"), F.round("vy", 4).alias("vy"), F.round("thickness", 9).alias("thickness"))
+
+
+@query(
+    """
+    WITH d AS (SELECT l_linenumber AS frame, count(*) AS n, max(l_quantity) AS top FROM lineitem GROUP BY 1)
+    SELECT frame, 1704067200 + frame::BIGINT * 300 AS epoch_utc, strftime(make_timestamp((1704067200 + frame::BIGINT * 300) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS datetime_utc, top AS ice_strength_max, n::DOUBLE AS wind_speed_mean FROM d
+    """
+)
+def report_written_and_read(spark, sf_dir):
+    """A diagnostics report as CSV, written and read by its columns' places."""
+    li, at = table(spark, sf_dir, "lineitem"), scratch(spark, "report")
+    d = li.groupBy(F.col("l_linenumber").cast("int").alias("frame")).agg(F.count("*").cast("double").alias("wind_speed_mean"), F.max("l_quantity").alias("ice_strength_max"))
+    epoch = F.lit(1704067200).cast("long") + F.col("frame") * 300
+    rest = {m: F.lit(0.0) for m in S.MEASURES if m not in d.columns}
+    FR.write_report(d.withColumns({"epoch_utc": epoch, "datetime_utc": epoch_to_iso(epoch)} | rest), at)
+    return FR.read_report(spark, at).select("frame", "epoch_utc", "datetime_utc", "ice_strength_max", "wind_speed_mean")
+
+
+@query("SELECT o_orderpriority AS phase, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1")
+def log_appended_and_read(spark, sf_dir):
+    """A log that grows by several appends, each with its own header, read back whole."""
+    at = scratch(spark, "log")
+    for k in range(3):
+        part = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == k)
+        FR.append_log(part.groupBy(F.col("o_orderpriority").alias("phase")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), at)
+    back = spark.read.csv(at, schema="phase string, n long, total double", header=True)
+    return back.groupBy("phase").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
+
+
+@query("SELECT l_partkey % 60 * 60 + l_suppkey % 60 AS cell, count(*) AS n, 0::BIGINT AS unsorted FROM lineitem GROUP BY 1")
+def cell_order(spark, sf_dir):
+    """Points by cell, with how many of the stored rows stand before one of a lower cell, over files in their order."""
+    li, at = table(spark, sf_dir, "lineitem"), scratch(spark, "cells")
+    p = li.select((F.col("l_partkey") % 60).alias("cell_x"), (F.col("l_suppkey") % 60).alias("cell_y"))
+    L.sort_by_cell(p, 60).write.parquet(at)
+    # rows of one file keep their order; the numbers of the files follow the ranges
+    back = spark.read.parquet(at).select("cell", "_metadata.file_name", "_metadata.row_index")
+    w = Window.partitionBy("file_name").orderBy("row_index")
+    steps = back.select("cell", "file_name", (F.lag("cell").over(w) > F.col("cell")).alias("down"))
+    files = steps.groupBy("file_name").agg(F.count_if("down").alias("n"), F.min("cell").alias("a"), F.max("cell").alias("b"))
+    cross = F.lag("b").over(Window.orderBy("file_name")) > F.col("a")  # one row a file
+    wrong = files.withColumn("cross", cross).agg((F.sum("n") + F.count_if("cross")).alias("unsorted"))
+    return back.groupBy("cell").agg(F.count("*").alias("n")).crossJoin(wrong)

@@ -169,7 +169,12 @@ def read_grid(spark: SparkSession, folder: str, size_x: int, size_y: int) -> Dat
 
 
 class FrameCache:
-    """Materialised re-gridded frames: absent is a miss, another size or number of frames is an error."""
+    """Materialised re-gridded frames: absent is a miss, another size or number of frames is an error.
+
+    A frame is a partition that is written as a whole, and named in `done` afterwards. A fill that was broken off is
+    repeated: frames named there are kept, one that was under way is replaced, so no frame is ever doubled. Only a complete
+    cache is read.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, size_x: int, size_y: int, frames: int):
         self.spark, self.folder, self.want = spark, folder, (size_x, size_y, frames)
@@ -185,10 +190,25 @@ class FrameCache:
             raise ValueError(f"the cache holds {(a['size_x'], a['size_y'], a['frames'])}, {self.want} is needed")
         return self.spark.read.parquet(f"{self.folder}/data")
 
+    def finished(self) -> set[int]:
+        """Frames that earlier fills have written, one number a frame; fails if they were of another size."""
+        try:
+            done = self.spark.read.parquet(f"{self.folder}/done").distinct().collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return set()
+            raise
+        if other := {tuple(r[k] for k in ("size_x", "size_y", "frames")) for r in done} - {self.want}:
+            raise ValueError(f"the cache was begun for {sorted(other)}, {self.want} is needed")
+        return {r["frame"] for r in done}
+
     def fill(self, frames: Iterable[int], make: Callable[[int], DataFrame], progress: Callable[[int], bool] = lambda _: True) -> bool:
-        """Append frame after frame; progress may stop it by returning False, and the cache stays incomplete."""
+        """Write the frames that are not there yet; progress may stop it by returning False, and the cache stays incomplete."""
+        done, schema = self.finished(), "frame int, size_x int, size_y int, frames int"
         for n in frames:
-            make(n).withColumn("frame", F.lit(n)).write.mode("append").partitionBy("frame").parquet(f"{self.folder}/data")
+            if n not in done:
+                make(n).withColumn("frame", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame").parquet(f"{self.folder}/data")
+                self.spark.createDataFrame([(n, *self.want)], schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/done")
             if not progress(n):
                 return False
         self.spark.createDataFrame([self.want], "size_x int, size_y int, frames int").write.mode("overwrite").parquet(f"{self.folder}/attributes")

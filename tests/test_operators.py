@@ -440,6 +440,19 @@ def test_files(spark, tmp_path):
     assert cache.frame(1).first().v == 1.0
     with pytest.raises(ValueError):
         FR.FrameCache(spark, f"{tmp_path}/cache", 3, 2, 2).probe()
+    made = []
+
+    def make(n):
+        made.append(n)
+        return spark.createDataFrame([(0, 0, float(n)), (1, n, 0.5)], "i int, j int, v double")
+
+    begun = FR.FrameCache(spark, f"{tmp_path}/begun", 2, 2, 4)
+    assert not begun.fill(range(4), make, progress=lambda n: n < 1) and begun.probe() is None
+    make(2).withColumn("frame", F.lit(2)).write.partitionBy("frame").mode("append").parquet(f"{tmp_path}/begun/data")  # written, not named
+    with pytest.raises(ValueError):
+        FR.FrameCache(spark, f"{tmp_path}/begun", 9, 2, 4).fill(range(4), make)
+    assert begun.fill(range(4), make) and made == [0, 1, 2, 2, 3]
+    assert sorted((r.frame, r["count"]) for r in begun.probe().groupBy("frame").count().collect()) == [(k, 2) for k in range(4)]
     FR.write_grid(cells, f"{tmp_path}/grid", size_x=4, size_y=1)
     assert FR.read_grid(spark, f"{tmp_path}/grid", 4, 1).count() == 12
     with pytest.raises(ValueError):
