@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .shared import materialise, release
 from .textbatch import chunks, digests, mix, runs, utf8
 
+#: Up to so many chunks, each gets a partition of its own; more of them even out by their number, and need no list of labels.
+LABELLED = 4096
 FRAGMENT = 5  # bytes of a key that are sent; the bucket number holds the rest
 
 
@@ -137,9 +139,10 @@ class Repeats:
     def questions(self, table: pa.Table) -> pa.Table:
         unique, _, bucket, fragment = self.split(self.all_runs(table))
         chunk = table.column("chunk")[0].as_py()
-        edges = np.searchsorted(bucket, np.arange(self.parts + 1))
+        held, begin = np.unique(bucket, return_index=True)  # a chunk meets at most as many buckets as it has keys
+        edges = np.append(begin, len(bucket)).tolist()
         packed = np.ascontiguousarray(fragment.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :FRAGMENT]
-        rows = [(b, packed[edges[b] : edges[b + 1]].tobytes()) for b in range(self.parts) if edges[b + 1] > edges[b]]
+        rows = [(b, packed[i:j].tobytes()) for b, i, j in zip(held.tolist(), edges, edges[1:])]
         return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "keys": pa.array([k for _, k in rows], pa.binary())})
 
     @staticmethod
@@ -165,10 +168,10 @@ class Repeats:
         runs = self.all_runs(docs)
         unique, twice, bucket, _ = self.split(runs)
         live = twice.copy()
-        edges = np.searchsorted(bucket, np.arange(self.parts + 1))
-        for b, blob in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
-            n = edges[b + 1] - edges[b]
-            live[edges[b] : edges[b + 1]] |= np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+        asked = bits.column("bucket").to_numpy()
+        begin, end = np.searchsorted(bucket, asked), np.searchsorted(bucket, asked, side="right")
+        for i, j, blob in zip(begin.tolist(), end.tolist(), bits.column("bits").to_pylist(), strict=True):
+            live[i:j] |= np.unpackbits(np.frombuffer(blob, np.uint8), count=j - i).astype(bool)
         active = np.sort(unique[live])
         if not len(active):
             return NAMES.empty_table()
@@ -239,8 +242,11 @@ class Repeats:
     def search(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(documents with their chunk, verdicts exploded to chunks)."""
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        names = ",".join(map(str, labels(self.parts).tolist()))
-        docs = docs.withColumn("chunk", F.expr(f"element_at(CAST(split('{names}', ',') AS ARRAY<INT>), CAST(pmod(xxhash64(doc_id), {self.parts}) AS INT) + 1)"))
+        chunk = f"CAST(pmod(xxhash64(doc_id), {self.parts}) AS INT)"
+        if self.parts <= LABELLED:
+            names = ",".join(map(str, labels(self.parts).tolist()))
+            chunk = f"element_at(CAST(split('{names}', ',') AS ARRAY<INT>), {chunk} + 1)"
+        docs = docs.withColumn("chunk", F.expr(chunk))
         bits = docs.groupBy("chunk").applyInArrow(lambda t: self.questions(t), "chunk int, bucket int, keys binary").groupBy("bucket").applyInArrow(self.answers, "chunk int, bucket int, bits binary")
         names = _pair(docs, bits).applyInArrow(lambda left, right: self.named(left, right), NAMES_DDL)
         names = names.groupBy("key", "span").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "b0", "b1", "chunk")).alias("rep"), F.collect_list("chunk").alias("chunks"))

@@ -619,6 +619,29 @@ def test_each_chunk_has_a_partition(spark):
         assert [r[0] for r in at] == list(range(parts))
 
 
+def test_work_of_a_chunk_follows_its_keys():
+    """A million chunks: a chunk asks only the buckets that hold keys of its own, and reads the answers back."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from gridloom.llm import repeats
+
+    rng = random.Random(9)
+    shared = words(rng, 40)
+    tables = [pa.table({"doc_id": pa.array([10 * k, 10 * k + 1]), "text": pa.array([f"{words(rng, 300)} {shared}", words(rng, 50)]), "chunk": pa.array([k, k], pa.int32())}) for k in range(2)]
+    names = []
+    for parts in (4, 10**6):
+        own = substring_dedup.WordRepeats(window=13, gram=4, by_document=True, parts=parts)
+        began = time.time()
+        asked = pa.concat_tables([own.questions(t) for t in tables])
+        assert asked.num_rows <= sum(len(k) // repeats.FRAGMENT for k in asked.column("keys").to_pylist())
+        answers = pa.concat_tables([own.answers(asked.filter(pc.equal(asked.column("bucket"), b))) for b in asked.column("bucket").unique()])
+        found = [own.named(t, answers.filter(pc.equal(answers.column("chunk"), k))) for k, t in enumerate(tables)]
+        assert time.time() - began < 20
+        names.append(sorted(tuple(r.values()) for t in found for r in t.to_pylist()))
+    assert names[0] == names[1] and len(names[0]) > 1
+
+
 def test_sets_leave_in_bounded_batches():
     import pyarrow as pa
 
