@@ -11,6 +11,7 @@ set of links leave, never all pairs; a pair that several tables find counts in t
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,22 @@ class Hashes:
         self.a = rng.standard_normal((dim, k * tables))
         self.b = rng.uniform(0, WIDTH, k * tables)
 
-    def codes(self, unit: np.ndarray) -> np.ndarray:
-        """One 64-bit code a table; quantised projections are mixed, so equal codes mean equal cells."""
-        cells = np.floor((unit @ self.a + self.b) / WIDTH).astype(np.int64).astype(np.uint64)
-        out = np.zeros((len(unit), self.tables), np.uint64)
+    def codes(self, unit: np.ndarray, first: int | None = None) -> np.ndarray:
+        """One 64-bit code a table, of the first so many or all; quantised projections are mixed, so equal codes mean equal cells."""
+        tables = self.tables if first is None else first
+        a, b = self.a[:, : self.k * tables], self.b[: self.k * tables]
+        cells = np.floor((unit @ a + b) / WIDTH).astype(np.int64).astype(np.uint64)
+        out = np.zeros((len(unit), tables), np.uint64)
         for j in range(self.k):
             out = (out ^ cells[:, j :: self.k]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
         return out.view(np.int64)
 
 
+#: The projections of a kind of label, drawn once a worker.
+hashes = lru_cache(maxsize=16)(Hashes)
+
+
 def _matrix(column) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
@@ -71,7 +78,7 @@ def _hashed(miss: float):
             for dim, k in sorted(set(zip(batch.column("dim").to_pylist(), batch.column("k").to_pylist()))):
                 part = batch.filter(pa.compute.and_(pa.compute.equal(batch.column("dim"), dim), pa.compute.equal(batch.column("k"), k)))
                 tables = tables_of(k, miss)
-                codes = Hashes(dim, k, tables).codes(_unit(_matrix(part.column("vec"))))
+                codes = hashes(dim, k, tables).codes(_unit(_matrix(part.column("vec"))))
                 for t in range(tables):
                     n = part.num_rows
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "label", "dim", "k")), pa.array(np.full(n, t, np.int32)), pa.array(np.ascontiguousarray(codes[:, t]))], names=["rep", "label", "dim", "k", "t", "code"])
@@ -98,7 +105,7 @@ def _compared(miss: float, cosine: float):
         rep, m, side = (table.column(c).to_numpy() for c in ("rep", "m", "side"))
         t, k = table.column("t")[0].as_py(), table.column("k")[0].as_py()
         v = _matrix(table.column("vec"))
-        codes = Hashes(v.shape[1], k, tables_of(k, miss)).codes(_unit(v))[:, :t]
+        codes = hashes(v.shape[1], k, tables_of(k, miss)).codes(_unit(v), t)  # of the tables before this one
         norm = np.sqrt((v * v).sum(axis=1))
         links = np.zeros(len(rep), np.int64)
         ii, jj = [], []
@@ -142,6 +149,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 1024, mi
     n = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     n = n.select("label", "dim", F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / crowd) / -math.log(FAR))).cast("int").alias("k"))
     hashed = classes.select("rep", "label", "dim", "vec").join(n, ["label", "dim"]).select("rep", "label", "dim", "k", "vec").mapInArrow(_hashed(miss), "rep long, label string, dim int, k int, t int, code long")
+    hashed = materialise(hashed, "hashed")
     bucket = ["label", "dim", "k", "t", "code"]
     sizes = hashed.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     member = hashed.join(sizes, bucket).withColumn("own", F.expr("CAST(pmod(xxhash64(rep), blocks) AS INT)"))
