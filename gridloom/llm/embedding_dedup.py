@@ -59,8 +59,10 @@ class Hashes:
         return out.view(np.int64)
 
 
-#: The projections of a kind of label, drawn once a worker.
-hashes = lru_cache(maxsize=16)(Hashes)
+@lru_cache(maxsize=16)
+def hashes(dim: int, k: int, tables: int) -> Hashes:
+    """The projections of a kind of label, drawn once a worker."""
+    return Hashes(dim, k, tables)
 
 
 def _matrix(column) -> np.ndarray:
