@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions import physics as P
+from ..functions.generic import celsius, has
 from ..params import KAPPA_ICE
+from .masks import enabled
+from .scatter import gather
 
 
 def decay_time(thickness: Column, n: int) -> Column:
@@ -85,3 +89,14 @@ def update_points(points: DataFrame, surface: DataFrame, dt: float, salinity: fl
     x = x.withColumns({f"a{n}": mode_step(F.col(f"a{n}"), rate, F.lit(float(dt)), F.col("thickness"), n) for n in (1, 2, 3)})
     x = x.withColumn("xi", P.strength(F.col("thickness"), F.col("ts_new"), [F.col(f"a{n}") for n in (1, 2, 3)], salinity))
     return x.withColumn("ts_old", F.col("ts_new")).select(*points.columns)
+
+
+def strength_step(points: DataFrame, temperatures: DataFrame, alpha: float, dt: float, salinity: float) -> DataFrame:
+    """Points after one thermal frame of `dt` seconds: modes, ts_old and xi renewed from the grid's temperature.
+
+    temperatures: i, j and the two frames around the time, t0 and t1, in kelvin, blended by alpha. Each point gathers
+    them from its 3 x 3 neighbourhood with the quadratic weights. Disabled points stay as they are.
+    """
+    live = enabled(points)
+    warm = gather(live, temperatures, ["t0", "t1"], "point_id").select("point_id", celsius(F.col("t0") * (1 - alpha) + F.col("t1") * alpha).alias("ts_new"))
+    return update_points(live, warm, dt, salinity).unionByName(points.filter(has(F.col("flags"), S.DISABLED)))

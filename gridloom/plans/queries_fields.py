@@ -18,10 +18,13 @@ from ..operators import regrid as RG
 from ..operators import stored_index as SI
 from ..operators.lineage import scratch
 from ..operators.masked_points import masked_poisson_disk
+from ..operators.thermal import strength_step
+from ..params import KAPPA_ICE
 from ..sources import frames as FR
 from ..streaming import ordered as OS
 from .queries_geo import _PLANE, PROJECTION, _positions, _shift
-from .queries_more import ocean_fields  # noqa: F401  (its SQL is part of ocean_on_grid's)
+from .queries_more import _ID, ocean_fields  # noqa: F401  (its SQL is part of ocean_on_grid's)
+from .queries_points import _ONE, _one, _states
 from .registry import ORACLE_SQL, query, table
 
 RADIUS = 1.7
@@ -226,3 +229,34 @@ def cell_order(spark, sf_dir):
     cross = F.lag("b").over(Window.orderBy("file_name")) > F.col("a")  # one row a file
     wrong = files.withColumn("cross", cross).agg((F.sum("n") + F.count_if("cross")).alias("unsorted"))
     return back.groupBy("cell").agg(F.count("*").alias("n")).crossJoin(wrong)
+
+
+_SPLINE = "(CASE {d} WHEN -1 THEN 0.5 * (0.5 - {p}) * (0.5 - {p}) WHEN 0 THEN 0.75 - {p} * {p} ELSE 0.5 * ({p} + 0.5) * ({p} + 0.5) END)"
+
+
+@query(
+    f"""
+    WITH s AS (SELECT {_ID} AS id, 3 + l_partkey % 58 AS cx, 3 + l_suppkey % 58 AS cy, l_discount * 9 - 0.45::DOUBLE AS px, l_tax * 10 - 0.4::DOUBLE AS py, l_quantity / 20 AS h, l_linestatus = 'F' AND l_quantity > 40 AS off FROM {_ONE}),
+    o AS (SELECT o_custkey % 64 AS i, o_orderkey % 64 AS j, avg(o_totalprice) / 50000 AS v FROM orders GROUP BY ALL),
+    g AS (SELECT i, j, 250 + coalesce(v, 0) AS t0, 255 - coalesce(v, 0) * 2 AS t1 FROM (SELECT a.i, b.j FROM range(64) a(i), range(64) b(j)) LEFT JOIN o USING (i, j)),
+    w AS (SELECT id, sum({_SPLINE.format(d="a", p="px")} * {_SPLINE.format(d="b", p="py")} * (0.75 * t0 + 0.25 * t1)) - 273.15 AS new
+        FROM s, range(-1, 2) x(a), range(-1, 2) y(b), g WHERE g.i = cx + a AND g.j = cy + b GROUP BY id),
+    c AS (SELECT id, h, new, n, h * h / ({KAPPA_ICE!r} * pi() * pi() * n * n) AS tau, (new + 10) / 3600 * 2 / (n * pi()) AS b FROM s JOIN w USING (id), (VALUES (1), (2), (3)) t(n)),
+    m AS (SELECT id, h, new, max(b * tau * exp(-3600 / tau) - b * tau) FILTER (n = 1) AS a1, max(b * tau * exp(-3600 / tau) - b * tau) FILTER (n = 2) AS a2, max(b * tau * exp(-3600 / tau) - b * tau) FILTER (n = 3) AS a3 FROM c GROUP BY ALL),
+    z AS (SELECT *, (k + 0.5) / 8 AS f FROM m, range(8) r(k)),
+    d AS (SELECT id, new + (-1.8 - new) * f + a1 * sin(pi() * f) + a2 * sin(2 * pi() * f) + a3 * sin(3 * pi() * f) AS t FROM z),
+    x AS (SELECT id, avg(1.76e6 * exp(-5.88 * sqrt(least(1.0, greatest(0.0, 0.006 * (49.185 / greatest(-t, 1e-6) + 0.532)))))) AS xi FROM d GROUP BY id)
+    SELECT s.id AS point_id, CASE WHEN off THEN -10.0 ELSE round(new, 7) END AS ts_old, CASE WHEN off THEN 0.0 ELSE round(a1, 7) END AS a1, CASE WHEN off THEN 50000.0 ELSE round(xi, 2) END AS xi
+    FROM s JOIN m USING (id) JOIN x USING (id)
+    """
+)
+def strength_from_grid(spark, sf_dir):
+    """The strength step from the gather of the grid's temperature to xi; some points are disabled."""
+    li = _one(spark, sf_dir)
+    off = li.filter("l_linestatus = 'F' AND l_quantity > 40").select((F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("point_id"), F.lit(S.DISABLED).alias("off"))
+    p = _states(spark, sf_dir, li).join(off, "point_id", "left")
+    p = p.withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("off", F.lit(0)).cast("long"))).drop("off")
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 64).alias("i"), (F.col("o_orderkey") % 64).alias("j")).agg((F.avg("o_totalprice") / 50000).alias("v"))
+    grid = spark.range(64 * 64).select(F.expr("id DIV 64").alias("i"), (F.col("id") % 64).alias("j")).join(o, ["i", "j"], "left").fillna(0.0, ["v"])
+    out = strength_step(p, grid.select("i", "j", (F.lit(250.0) + F.col("v")).alias("t0"), (F.lit(255.0) - F.col("v") * 2).alias("t1")), 0.25, 3600.0, 6.0)
+    return out.select("point_id", F.round("ts_old", 7).alias("ts_old"), F.round("a1", 7).alias("a1"), F.round("xi", 2).alias("xi"))
