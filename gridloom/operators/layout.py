@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +71,35 @@ def seeded_sample(df: DataFrame, key: Sequence[str], k: int, seed: int = 0) -> D
     return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(k)
 
 
+def sample_with_replacement(df: DataFrame, key: Sequence[str], k: int, seed: int = 0, spread: Column | None = None, rank: Callable[[Column, int], Column] | None = None, per_range: int = 100_000) -> DataFrame:
+    """k rows drawn with replacement: `draw` (0 to k - 1) beside df's columns.
+
+    Rows have a rank in the order of (spread, key), where spread is a number of 0 or more, by default a seeded hash of the key; a
+    draw is a rank, by default a seeded hash of its number. Nothing is sorted as a whole: ranges of spread are counted,
+    a draw finds its range through the sums of counts, and only ranges that were drawn order their rows. The same rows
+    come at any partitioning as long as key tells rows apart; rows that it does not are told apart by nothing else, so any of
+    them may come. An empty table gives no rows.
+    """
+    spark = df.sparkSession
+    spread = F.xxhash64(*key, F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1)) if spread is None else spread.cast("long")
+    rank = rank or (lambda draw, n: F.pmod(F.xxhash64(draw, F.lit(seed), F.lit("draw")), F.lit(n)))
+    x = df.withColumn("_s", spread)
+    found = x.agg(F.count("*").alias("n"), F.max("_s").alias("top")).first()
+    n = found["n"]
+    if not n or k < 1:
+        return df.limit(0).select(F.lit(0).cast("long").alias("draw"), "*")
+    width = found["top"] // max(1, n // per_range) + 1
+    x = x.withColumn("_r", F.expr(f"_s DIV {width}L"))
+    counts = x.groupBy("_r").agg(F.count("*").alias("_n"))  # one row a range
+    before = F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    # ranges and draws meet on the hundred thousands of ranks they lie in
+    spans = counts.withColumn("_first", before).withColumn("_b", F.explode(F.expr(f"sequence(_first DIV {per_range}, (_first + _n - 1) DIV {per_range})")))
+    draws = spark.range(k).select(F.col("id").alias("draw"), rank(F.col("id"), n).cast("long").alias("_at")).withColumn("_b", F.expr(f"_at DIV {per_range}"))
+    at = draws.join(spans, "_b").filter("_at >= _first AND _at < _first + _n").select("draw", "_r", (F.col("_at") - F.col("_first")).alias("_k"))
+    own = x.join(at.select("_r").distinct(), "_r", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy("_s", *key)) - 1)
+    return own.join(at, ["_r", "_k"]).select("draw", *df.columns)
+
+
 def stride_of(cells: int, aim: int = 6000) -> int:
     return max(1, round(math.sqrt(cells / aim)))
 

@@ -260,3 +260,16 @@ def strength_from_grid(spark, sf_dir):
     grid = spark.range(64 * 64).select(F.expr("id DIV 64").alias("i"), (F.col("id") % 64).alias("j")).join(o, ["i", "j"], "left").fillna(0.0, ["v"])
     out = strength_step(p, grid.select("i", "j", (F.lit(250.0) + F.col("v")).alias("t0"), (F.lit(255.0) - F.col("v") * 2).alias("t1")), 0.25, 3600.0, 6.0)
     return out.select("point_id", F.round("ts_old", 7).alias("ts_old"), F.round("a1", 7).alias("a1"), F.round("xi", 2).alias("xi"))
+
+
+@query(
+    """
+    WITH r AS (SELECT *, row_number() OVER (ORDER BY (o_orderkey * 7919) % 1048576, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
+    SELECT d AS draw, o_orderkey, o_totalprice FROM range(20000) t(d) JOIN r ON r.k = (d * 7368787 + 12345) % n
+    """
+)
+def drawn_with_replacement(spark, sf_dir):
+    """20,000 draws from all orders; at the smaller sizes many rows come several times."""
+    spread = F.col("o_orderkey") * 7919 % 1048576
+    out = L.sample_with_replacement(table(spark, sf_dir, "orders"), ["o_orderkey"], 20_000, spread=spread, rank=lambda d, n: (d * 7368787 + 12345) % n, per_range=1000)
+    return out.select("draw", "o_orderkey", "o_totalprice")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import distance, masked_points
+from gridloom.operators import layout as L
 from gridloom.operators import nearest as N
 from gridloom.operators import raster as R
 from gridloom.operators import regrid as RG
@@ -179,3 +180,17 @@ def test_stored_regrid_equals_joins_and_needs_no_exchange(spark, tmp_path, shape
     plan = plan_of(later)
     assert "Exchange" not in plan and later.columns == ["t", "i", "j", "temperature"] and later.count() == 34 * 34
     assert "u10" not in plan.split("Scan parquet")[1].split("ReadSchema")[1][:200]
+
+
+def test_draws_with_replacement(spark):
+    df = spark.range(5000).select((F.col("id") * 3).alias("k"), F.lit("x").alias("draw2"), (F.col("id") % 7).alias("_n"))
+    got = L.sample_with_replacement(df, ["k"], 8000, seed=5, per_range=100).collect()
+    again = L.sample_with_replacement(df.repartition(9), ["k"], 8000, seed=5, per_range=100).collect()
+    other = L.sample_with_replacement(df, ["k"], 8000, seed=6, per_range=5000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and sorted(r.draw for r in got) == list(range(8000))
+    counts = np.bincount([r.k // 3 for r in got], minlength=5000)
+    assert abs((counts > 0).mean() - (1 - np.exp(-1.6))) < 0.03 and counts.max() < 12  # as of independent draws
+    assert {(r.draw, r.k) for r in got} != {(r.draw, r.k) for r in other} and len(other) == 8000
+    assert L.sample_with_replacement(df.limit(0), ["k"], 3).collect() == []
+    one = L.sample_with_replacement(df.limit(1), ["k"], 4).collect()
+    assert len(one) == 4 and len({r.k for r in one}) == 1
