@@ -11,6 +11,7 @@ from .. import schemas as S
 from ..functions import physics as P
 from ..functions.generic import has
 from ..params import RHO_AIR, RHO_WATER, Grid, Material
+from .lineage import cut
 from .plasticity import plastic_update
 from .raster import densify
 
@@ -45,6 +46,49 @@ def gather(points: DataFrame, cells: DataFrame, values: Sequence[str], key: str,
     return at.join(cells.select(*on, "i", "j", *values), [*on, "i", "j"], "left").groupBy(key).agg(*[F.coalesce(F.sum(F.col("w") * F.col(v)), F.lit(0.0)).alias(v) for v in values])
 
 
+def neighbourhoods(cells: DataFrame, values: Sequence[str], on: Sequence[str] = (), tile: int = 16) -> DataFrame:
+    """(on, tx, ty) and, of each of `values`, an array of a tile's cells with those around it, by rows of i; missing ones are 0.
+
+    A cell at a tile's border is in the arrays of its neighbours too, so a point meets all its cells in one row.
+    """
+    size = tile + 2
+
+    def owners(c: str) -> Column:
+        own = F.floor(F.col(c) / tile).cast("int")
+        inner = F.pmod(F.col(c), F.lit(tile))
+        return F.when(inner == 0, F.array(own - 1, own)).when(inner == tile - 1, F.array(own, own + 1)).otherwise(F.array(own))
+
+    dealt = cells.withColumn("tx", F.explode(owners("i"))).withColumn("ty", F.explode(owners("j")))
+    place = (F.col("i") - F.col("tx") * tile + 1) * size + F.col("j") - F.col("ty") * tile + 1
+    held = dealt.groupBy(*on, "tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("k"), F.struct(*values).alias("v")))).alias("_m"))  # size squared at most
+    full = held.withColumn("_m", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.try_element_at(F.col("_m"), k)))
+    return full.select(*on, "tx", "ty", *[F.transform(F.col(f"_m.{v}"), lambda x: F.coalesce(x, F.lit(0.0))).alias(v) for v in values])
+
+
+def gathered(points: DataFrame, cells: DataFrame, values: Sequence[str], on: Sequence[str] = (), tile: int = 16) -> DataFrame:
+    """points with three columns for each v of `values`: v, v_dx and v_dy, the sums of w * v, w * v * dx and w * v * dy (dx, dy in
+    cells) over their 3 x 3 neighbourhoods. One join by tile; no row is fanned out and none has to find back to its point.
+    """
+    size = tile + 2
+    p = points.withColumn("tx", F.floor(F.col("cell_x") / tile).cast("int")).withColumn("ty", F.floor(F.col("cell_y") / tile).cast("int"))
+    near = neighbourhoods(cells, values, on, tile).withColumnsRenamed({v: f"_at_{v}" for v in values})
+    p = p.join(near, [*on, "tx", "ty"], "left")
+    at = (F.col("cell_x") - F.col("tx") * tile + 1) * size + F.col("cell_y") - F.col("ty") * tile + 1
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    p = p.withColumns({f"_{v}{k}": F.coalesce(F.get(F.col(f"_at_{v}"), (at + a * size + b).cast("int")), F.lit(0.0)) for v in values for k, (a, b) in enumerate(steps)})
+    wx, wy = P.spline_weights(F.col("posx")), P.spline_weights(F.col("posy"))
+    p = p.withColumns({f"_w{k}": wx[a + 1] * wy[b + 1] for k, (a, b) in enumerate(steps)})
+    sums = {}
+    for v in values:
+        for name, side in ((v, None), (f"{v}_dx", 0), (f"{v}_dy", 1)):
+            terms = [F.col(f"_w{k}") * F.col(f"_{v}{k}") * (1.0 if side is None else F.lit(float(step[side])) - F.col(("posx", "posy")[side])) for k, step in enumerate(steps)]
+            total = terms[0]
+            for x in terms[1:]:
+                total = total + x
+            sums[name] = total
+    return p.select(*[points[c] for c in points.columns], *[c.alias(n) for n, c in sums.items()])
+
+
 def _fe() -> list[Column]:
     return [F.col(c) for c in ("fe00", "fe01", "fe10", "fe11")]
 
@@ -149,12 +193,9 @@ def grid_to_points(points: DataFrame, nodes: DataFrame, regions: DataFrame, m: M
     points = points.withColumn("field", field(double_grid))
     off = has(F.col("flags"), S.DISABLED)
     live, idle = points.filter(~off), points.filter(off).drop("field")
-    at = fan_out(live.select("point_id", "field", "cell_x", "cell_y", "posx", "posy")).join(nodes.select("field", "i", "j", "vx", "vy"), ["field", "i", "j"], "left")
+    p = gathered(live.drop("velx", "vely", "bp00", "bp01", "bp10", "bp11"), nodes.select("field", "i", "j", "vx", "vy"), ["vx", "vy"], ["field"])
     b = 4.0 / g.cell
-    w, vx, vy = F.col("w"), F.coalesce(F.col("vx"), F.lit(0.0)), F.coalesce(F.col("vy"), F.lit(0.0))
-    back = at.groupBy("point_id").agg(F.sum(w * vx).alias("nvx"), F.sum(w * vy).alias("nvy"), *[(F.sum(w * v * F.col(d)) * b).alias(n) for n, v, d in (("b00", vx, "dx"), ("b01", vx, "dy"), ("b10", vy, "dx"), ("b11", vy, "dy"))])
-    p = live.join(back, "point_id").drop("velx", "vely", "bp00", "bp01", "bp10", "bp11", "field")
-    p = p.withColumnsRenamed({"nvx": "velx", "nvy": "vely", "b00": "bp00", "b01": "bp01", "b10": "bp10", "b11": "bp11"})
+    p = p.withColumns({n: F.col(c) * b for n, c in (("bp00", "vx_dx"), ("bp01", "vx_dy"), ("bp10", "vy_dx"), ("bp11", "vy_dy"))}).withColumnsRenamed({"vx": "velx", "vy": "vely"})
     x, y = F.col("posx") + F.col("velx") * (g.dt / g.cell), F.col("posy") + F.col("vely") * (g.dt / g.cell)
     carry = lambda v: F.when(v > 0.5, F.lit(1)).when(v < -0.5, F.lit(-1)).otherwise(F.lit(0))
     p = p.withColumn("_x", x).withColumn("_y", y).withColumn("_cx", carry(F.col("_x"))).withColumn("_cy", carry(F.col("_y")))
@@ -175,8 +216,11 @@ def grid_to_points(points: DataFrame, nodes: DataFrame, regions: DataFrame, m: M
 
 
 def step(points: DataFrame, forcing: DataFrame, m: Material, g: Grid, time: float, double_grid: bool = True, fracture: bool = True) -> DataFrame:
-    """One explicit step: points to grid, node update, contact, grid to points. Checkpoint every few steps."""
-    nodes = node_update(points_to_grid(points, m, g, double_grid), forcing, m, g, time)
+    """One explicit step: points to grid, node update, contact, grid to points. Checkpoint the points every few steps.
+
+    The nodes, at most two a grid cell, are checkpointed, as contact and gather read them several times.
+    """
+    nodes = cut(node_update(points_to_grid(points, m, g, double_grid), forcing, m, g, time))
     if double_grid:
         nodes = contact_nodes(nodes, m, g)
     return grid_to_points(points, nodes, forcing, m, g, double_grid, fracture)
