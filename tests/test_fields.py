@@ -11,6 +11,7 @@ from gridloom.operators import layout as L
 from gridloom.operators import nearest as N
 from gridloom.operators import raster as R
 from gridloom.operators import regrid as RG
+from gridloom.operators import scatter as SC
 from gridloom.operators import stored_index as SI
 from gridloom.operators import timeseries as TS
 from gridloom.params import Projection
@@ -194,3 +195,18 @@ def test_draws_with_replacement(spark):
     assert L.sample_with_replacement(df.limit(0), ["k"], 3).collect() == []
     one = L.sample_with_replacement(df.limit(1), ["k"], 4).collect()
     assert len(one) == 4 and len({r.k for r in one}) == 1
+
+
+@pytest.mark.parametrize("tile", [16, 3])
+def test_gather_by_tile_equals_fan_out(spark, tile):
+    rng = random.Random(tile)
+    cells = spark.createDataFrame([(f, i, j, rng.uniform(-1, 1), rng.uniform(-1, 1) if rng.random() < 0.9 else None) for f in (0, 1) for i in range(-2, 20) for j in range(0, 25) if rng.random() < 0.8], "field int, i int, j int, vx double, vy double")
+    points = spark.createDataFrame([(k, k % 3, rng.randrange(-3, 22), rng.randrange(-2, 27), rng.uniform(-0.5, 0.5), rng.uniform(-0.5, 0.5)) for k in range(400)], "point_id long, field int, cell_x int, cell_y int, posx double, posy double")
+    got = {r.point_id: (r.vx, r.vy, r.vx_dx, r.vy_dy) for r in SC.gathered(points, cells, ["vx", "vy"], ["field"], tile).collect()}
+    at = SC.fan_out(points).join(cells, ["field", "i", "j"], "left").fillna(0.0, ["vx", "vy"])
+    w = F.col("w")
+    want = at.groupBy("point_id").agg(F.sum(w * F.col("vx")).alias("a"), F.sum(w * F.col("vy")).alias("b"), F.sum(w * F.col("vx") * F.col("dx")).alias("c"), F.sum(w * F.col("vy") * F.col("dy")).alias("d"))
+    rows = want.collect()
+    assert len(got) == len(rows) == 400
+    for r in rows:
+        assert got[r.point_id] == pytest.approx((r.a, r.b, r.c, r.d), abs=1e-12)
