@@ -6,8 +6,10 @@ import os
 
 import pytest
 
-from gridloom.plans.catalogue import ORACLE_SQL, QUERIES
+from gridloom.plans import catalogue
+from jobs import queries as jobs
 
+QUERIES, ORACLE_SQL = catalogue.QUERIES | jobs.QUERIES, catalogue.ORACLE_SQL | jobs.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
