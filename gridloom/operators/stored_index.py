@@ -55,6 +55,9 @@ def store_frames(frames: DataFrame, shape: tuple[int, int], name: str, folder: s
     dealt = dealt.select("t", (F.col("br") * across + F.col("bc")).cast("long").alias("block"), place.alias("k"), *values)
     one = dealt.groupBy("t", "block", "k").agg(F.struct(*[F.min(v).alias(v) for v in values]).alias("v"))
     held = one.groupBy("t", "block").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # (block + 1) squared at most
+    # each frame has all blocks, so that a cell whose corners are absent is null rather than left out
+    every = inside.select("t").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across * down - 1).cast("long"))))
+    held = every.join(held, ["t", "block"], "left")
     full = F.transform(F.sequence(F.lit(0), F.lit((block + 1) ** 2 - 1)), lambda k: F.try_element_at(F.col("m"), k))
     _write(held.withColumn("m", full).select("t", "block", *[F.col(f"m.{v}").alias(v) for v in values]), name, folder, buckets)
 
