@@ -210,3 +210,15 @@ def test_gather_by_tile_equals_fan_out(spark, tile):
     assert len(got) == len(rows) == 400
     for r in rows:
         assert got[r.point_id] == pytest.approx((r.a, r.b, r.c, r.d), abs=1e-12)
+
+
+def test_stored_frames_with_absent_cells(spark, tmp_path):
+    """A cell with an absent corner is null, also where its whole block is absent; one without a quad is 0."""
+    frames = spark.createDataFrame([(7, r, c, float(r)) for r in range(3) for c in range(3)], "t long, r int, c int, skt double")
+    st = F.struct(F.lit(0.5).alias("s"), F.lit(0.5).alias("t"))
+    mapping = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 2, 2), (0, 2, 8, 8)], "i int, j int, r int, c int").withColumn("st", st)
+    cells = spark.createDataFrame([(0, k) for k in range(6)], "i int, j int")
+    SI.store_frames(frames, (10, 10), "holes_f", str(tmp_path / "f"), 2, block=4, values=["skt"])
+    SI.store_mapping(mapping, (10, 10), "holes_m", str(tmp_path / "m"), 2, block=4, cells=cells)
+    got = {r.j: r.temperature for r in SI.regrid_stored(spark.table("holes_f"), spark.table("holes_m"), wind=False).collect()}
+    assert got == {0: 0.5, 1: None, 2: None, 3: 0.0, 4: 0.0, 5: 0.0}
