@@ -112,9 +112,10 @@ def frame_range(frames: DataFrame, ts: str, index: str, start: int, end: int) ->
 
 
 def exact_time(frames: DataFrame, ts: str, index: str, wanted: int) -> DataFrame:
-    """The row of one frame index; fails if it is out of range."""
-    row = frames.filter(F.col(index) == wanted).agg(F.max(ts).alias(ts))
-    return row.select(F.coalesce(F.col(ts), F.raise_error(F.lit(f"frame {wanted} is out of range")).cast("long")).alias(ts))
+    """The rows of one frame index, usually one; fails if it is out of range."""
+    row = frames.filter(F.col(index) == wanted).select(F.col(ts), F.lit(True).alias("_found"))
+    found = frames.sparkSession.range(1).select().join(row, F.lit(True), "left")
+    return found.select(F.when(F.col("_found"), F.col(ts)).otherwise(F.raise_error(F.lit(f"frame {wanted} is out of range")).cast("long")).alias(ts))
 
 
 def check_files(paths: Sequence[str]) -> None:
