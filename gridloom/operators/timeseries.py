@@ -27,7 +27,8 @@ def asof_bracket(probes: DataFrame, frames: DataFrame, t: str, ts: str, values:
     both = f.unionByName(p, allowMissingColumns=True)
     seen = Window.partitionBy(*by).orderBy("_t", "_probe")
     both = both.withColumn("_floor", F.last("_frame", ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_ceil", F.first("_frame", ignorenulls=True).over(seen.rowsBetween(0, Window.unboundedFollowing)))
+    # only asked for before the first frame, where it is the first one; a frame that ends at the last row would be folded anew for each row
+    both = both.withColumn("_ceil", F.min_by("_frame", F.when(F.col("_probe") == 0, F.col("_t"))).over(Window.partitionBy(*by)))
     out = both.filter("_probe = 1")
     has = F.col("_floor").isNotNull()
     low = F.when(has & F.col("_floor._after").isNull(), F.coalesce("_floor._before", "_floor._f")).when(has, F.col("_floor._f")).otherwise(F.col("_ceil._f"))
@@ -57,9 +58,9 @@ def asof_bracket_chunked(probes: DataFrame, frames: DataFrame, t: str, ts: str,
     row = Window.orderBy("_chunk", ts)
     ends = ends.withColumn("_near", F.struct("_f", F.lag("_f").over(row).alias("_b"), F.lead("_f").over(row).alias("_a")))
     marks = p.select("_chunk").union(f.select("_chunk")).distinct().withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(2))))
-    line = Window.orderBy("_chunk", "_kind", ts)
-    before = F.last("_near", True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_near", True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    # both run down their order: a frame that ends at the last row would be folded anew for each row
+    so_far = lambda *order: F.last("_near", True).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = so_far("_chunk", "_kind", ts), so_far(F.desc("_chunk"), F.desc("_kind"), F.desc(ts))
     marks = ends.select("_chunk", "_kind", ts, "_near").unionByName(marks, allowMissingColumns=True).withColumn("_before", before).withColumn("_after", after)
     two = F.when(F.col("_kind") == 0, F.array("_before._f", "_before._b")).otherwise(F.array("_after._f", "_after._a"))
     carried = marks.filter("_kind <> 1").select("_chunk", F.explode(two).alias("_f")).filter("_f IS NOT NULL").select("_chunk", "_f.*")
@@ -96,7 +97,10 @@ def nearest_in_time(probes: DataFrame, frames: DataFrame, t: str, ts: str, keep:
     p = probes.select(*by, F.col(t).cast("long").alias("_t"), F.lit(1).alias("_probe"), F.struct(*probes.columns).alias("_row"))
     seen = Window.partitionBy(*by).orderBy("_t", "_probe")
     both = f.unionByName(p, allowMissingColumns=True)
-    both = both.withColumn("_lo", F.last("_f", True).over(seen.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first("_f", True).over(seen.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("_lo", F.last("_f", True).over(seen.rowsBetween(Window.unboundedPreceding, 0)))
+    down = Window.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_probe"))
+    # at a probe's own time the frame before it is taken, so that frames at one time need no order here
+    both = both.withColumn("_hi", F.last("_f", True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.filter("_probe = 1")
     pick = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(F.col("_t") - F.col("_lo.nearest_ts") <= F.col("_hi.nearest_ts") - F.col("_t"), F.col("_lo")).otherwise(F.col("_hi"))
     return both.withColumn("_n", pick).select("_row.*", "_n.*")

@@ -4,7 +4,9 @@ import datetime
 import os
 
 import __spark_entry__ as entry
+from gridloom.operators import timeseries as TS
 from jobs import forcing_frames
+from pyspark.sql import functions as F
 
 
 def events_folder(spark, path, rows):
@@ -28,3 +30,16 @@ def test_forcing_frames_have_the_bearings_of_their_sql(spark):
     got = {r.i: (round(r.bearing, 7), r.sector) for r in forcing_frames.frames_of(partials).collect()}
     # the SQL: atan2(-u, -v) in degrees, 360 added if negative; calm is atan2(-0, -0)
     assert got == {0: (180.0, 8), 1: (360.0, 0), 2: (90.0, 4), 3: (270.0, 12), 4: (180.0, 8)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_brackets_and_nearest_frames_fold_no_window_anew_for_each_row(spark):
+    probes, frames = spark.range(50).select(F.col("id").alias("t")), spark.range(0, 50, 7).select(F.col("id").alias("ts"), (F.col("id") * 2.0).alias("v"))
+    found = [TS.asof_bracket(probes, frames, "t", "ts", ["v"]), TS.asof_bracket_chunked(probes, frames, "t", "ts", ["v"], 10), TS.nearest_in_time(probes, frames, "t", "ts", ["v"])]
+    for out in found:
+        assert "currentrow$(), unboundedfollowing$()" not in plan(out)
+    assert [r.v for r in found[1].orderBy("t").collect()] == [2.0 * min(k, 49) for k in range(50)]
+    assert [r.nearest_ts for r in found[2].orderBy("t").collect()] == [min(49, (k + 3) // 7 * 7) for k in range(50)]
