@@ -40,10 +40,12 @@ def normalise(cells: DataFrame, mass: str, values: Sequence[str]) -> DataFrame:
     return cells.select(*[(F.coalesce(F.col(c) / F.nullif(F.col(mass), F.lit(0.0)), F.col(c))).alias(c) if c in values else F.col(c) for c in cells.columns])
 
 
-def gather(points: DataFrame, cells: DataFrame, values: Sequence[str], key: str, on: Sequence[str] = ()) -> DataFrame:
-    """sum(w * value) over each point's neighbourhood; cells that are missing count as 0."""
-    at = fan_out(points.select(key, *on, "cell_x", "cell_y", "posx", "posy"))
-    return at.join(cells.select(*on, "i", "j", *values), [*on, "i", "j"], "left").groupBy(key).agg(*[F.coalesce(F.sum(F.col("w") * F.col(v)), F.lit(0.0)).alias(v) for v in values])
+def gather(points: DataFrame, cells: DataFrame, values: Sequence[str], key: str | Sequence[str], on: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """sum(w * value) over the neighbourhoods of each key's points; cells that are missing count as 0. `most`: see `gathered`."""
+    by = [key] if isinstance(key, str) else list(key)
+    at = gathered(points.select(*dict.fromkeys([*by, *on, "cell_x", "cell_y", "posx", "posy"])), cells, values, on, most=most).select(*by, *values)
+    # dealt out first: most keys have one row, which a sum before the exchange would only hold in memory
+    return at.repartition(*by).groupBy(*by).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def neighbourhoods(cells: DataFrame, values: Sequence[str], on: Sequence[str] = (), tile: int = 16) -> DataFrame:
@@ -65,14 +67,21 @@ def neighbourhoods(cells: DataFrame, values: Sequence[str], on: Sequence[str] =
     return full.select(*on, "tx", "ty", *[F.transform(F.col(f"_m.{v}"), lambda x: F.coalesce(x, F.lit(0.0))).alias(v) for v in values])
 
 
-def gathered(points: DataFrame, cells: DataFrame, values: Sequence[str], on: Sequence[str] = (), tile: int = 16) -> DataFrame:
+#: Values of a grid, over all its cells, that every executor may hold for a gather.
+HELD_VALUES = 4_000_000
+
+
+def gathered(points: DataFrame, cells: DataFrame, values: Sequence[str], on: Sequence[str] = (), tile: int = 16, most: int | None = None) -> DataFrame:
     """points with three columns for each v of `values`: v, v_dx and v_dy, the sums of w * v, w * v * dx and w * v * dy (dx, dy in
     cells) over their 3 x 3 neighbourhoods. One join by tile; no row is fanned out and none has to find back to its point.
+    A grid of at most `most` cells (over all of `on`) that holds no more than HELD_VALUES is sent to the points, which then stay
+    where they are; otherwise, or if that is not known, points are dealt out by tile.
     """
     size = tile + 2
     p = points.withColumn("tx", F.floor(F.col("cell_x") / tile).cast("int")).withColumn("ty", F.floor(F.col("cell_y") / tile).cast("int"))
     near = neighbourhoods(cells, values, on, tile).withColumnsRenamed({v: f"_at_{v}" for v in values})
-    p = p.join(near, [*on, "tx", "ty"], "left")
+    held = most is not None and most * len(values) <= HELD_VALUES
+    p = p.join(F.broadcast(near) if held else near, [*on, "tx", "ty"], "left")
     at = (F.col("cell_x") - F.col("tx") * tile + 1) * size + F.col("cell_y") - F.col("ty") * tile + 1
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
     p = p.withColumns({f"_{v}{k}": F.coalesce(F.get(F.col(f"_at_{v}"), (at + a * size + b).cast("int")), F.lit(0.0)) for v in values for k, (a, b) in enumerate(steps)})
@@ -193,7 +202,7 @@ def grid_to_points(points: DataFrame, nodes: DataFrame, regions: DataFrame, m: M
     points = points.withColumn("field", field(double_grid))
     off = has(F.col("flags"), S.DISABLED)
     live, idle = points.filter(~off), points.filter(off).drop("field")
-    p = gathered(live.drop("velx", "vely", "bp00", "bp01", "bp10", "bp11"), nodes.select("field", "i", "j", "vx", "vy"), ["vx", "vy"], ["field"])
+    p = gathered(live.drop("velx", "vely", "bp00", "bp01", "bp10", "bp11"), nodes.select("field", "i", "j", "vx", "vy"), ["vx", "vy"], ["field"], most=(2 if double_grid else 1) * g.size_x * g.size_y)
     b = 4.0 / g.cell
     p = p.withColumns({n: F.col(c) * b for n, c in (("bp00", "vx_dx"), ("bp01", "vx_dy"), ("bp10", "vy_dx"), ("bp11", "vy_dy"))}).withColumnsRenamed({"vx": "velx", "vy": "vely"})
     x, y = F.col("posx") + F.col("velx") * (g.dt / g.cell), F.col("posy") + F.col("vely") * (g.dt / g.cell)

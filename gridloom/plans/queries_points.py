@@ -39,9 +39,8 @@ def scatter_p2g(spark, sf_dir):
 
 @query(f"WITH {_FAN}, c AS (SELECT i, j, mu / nullif(mass, 0) AS gu, mv / nullif(mass, 0) AS gv FROM g) SELECT l_orderkey, l_linenumber, l_partkey, round(sum(w * gu), 5) AS mu, round(sum(w * gv), 5) AS mv FROM f JOIN c USING (i, j) GROUP BY ALL")
 def gather_g2p(spark, sf_dir):
-    p = _points(spark, sf_dir).withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
     cells = SC.normalise(_cells(spark, sf_dir), "mass", ["mu", "mv"])
-    return rounded(SC.gather(p, cells, ["mu", "mv"], "key").select("key.*", "mu", "mv"), 5)
+    return rounded(SC.gather(_points(spark, sf_dir), cells, ["mu", "mv"], ["l_orderkey", "l_linenumber", "l_partkey"], most=GRID.size_x * GRID.size_y), 5)
 
 
 @query(
@@ -64,23 +63,33 @@ def node_update_drag(spark, sf_dir):
 _ONE = "(SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_extendedprice DESC, l_suppkey, l_discount, l_tax, l_quantity, l_returnflag) = 1)"
 
 
+_POINT_ID = "l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey"
+
+
 def _one(spark, sf_dir):
-    order = Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey").orderBy(F.desc("l_extendedprice"), "l_suppkey", "l_discount", "l_tax", "l_quantity", "l_returnflag")
-    return table(spark, sf_dir, "lineitem").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """One row a point, with its point_id, by which the rows stay dealt out: one exchange of the columns that are asked for."""
+    order = Window.partitionBy("point_id").orderBy(F.desc("l_extendedprice"), "l_suppkey", "l_discount", "l_tax", "l_quantity", "l_returnflag", "l_partkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").withColumn("point_id", F.expr(_POINT_ID))
+    # the first row has none before it; a row number would also be limited, and all rows sorted, before the exchange
+    return li.withColumn("_before", F.lag(F.lit(1)).over(order)).filter("_before IS NULL").drop("_before")
 
 
-def _states(spark, sf_dir, li=None):
-    """Full point rows from lineitem."""
-    li = table(spark, sf_dir, "lineitem") if li is None else li
+def _states(spark, sf_dir, li=None, more_flags=None):
+    """Full point rows from lineitem, one a point_id; rows of `_one` are so already. more_flags: status bits to add, from li's columns."""
+    once = li is not None
+    li = li if once else table(spark, sf_dir, "lineitem").withColumn("point_id", F.expr(_POINT_ID))
     zero, one = F.lit(0.0), F.lit(1.0)
+    flags = F.when(F.col("l_returnflag") == "R", S.CRACKED).otherwise(0)
     values = {
-        "point_id": F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_partkey"), "cell_x": F.col("l_partkey") % 58 + 3, "cell_y": F.col("l_suppkey") % 58 + 3,
-        "flags": F.when(F.col("l_returnflag") == "R", S.CRACKED).otherwise(0), "posx": F.col("l_discount") * 9 - 0.45, "posy": F.col("l_tax") * 10 - 0.4, "velx": F.col("l_discount"), "vely": F.col("l_tax"),
+        "point_id": F.col("point_id"), "cell_x": F.col("l_partkey") % 58 + 3, "cell_y": F.col("l_suppkey") % 58 + 3,
+        "flags": flags if more_flags is None else flags.bitwiseOR(more_flags), "posx": F.col("l_discount") * 9 - 0.45, "posy": F.col("l_tax") * 10 - 0.4, "velx": F.col("l_discount"), "vely": F.col("l_tax"),
         "thickness": F.col("l_quantity") / 20, "jp_inv": one, "m_squared": one, "a1": zero, "a2": zero, "a3": zero, "ts_old": F.lit(-10.0), "xi": F.lit(5e4),
         "fe00": F.col("l_discount") / 20 + 0.997, "fe01": F.col("l_tax") / 30, "fe10": zero, "fe11": F.lit(1.001) - F.col("l_tax") / 25, "bp00": zero, "bp01": zero, "bp10": zero, "bp11": zero,
         "stored_p": zero, "stored_q": zero, "gamma_p": F.col("l_discount") / 10, "jp_inv_max": one,
     }
-    p = li.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in S.POINTS]).dropDuplicates(["point_id"])
+    p = li.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in S.POINTS])
+    if not once:
+        p = p.dropDuplicates(["point_id"])
     from ..functions import physics as P
 
     f = [F.col(c) for c in ("fe00", "fe01", "fe10", "fe11")]

@@ -43,3 +43,10 @@ def test_brackets_and_nearest_frames_fold_no_window_anew_for_each_row(spark):
         assert "currentrow$(), unboundedfollowing$()" not in plan(out)
     assert [r.v for r in found[1].orderBy("t").collect()] == [2.0 * min(k, 49) for k in range(50)]
     assert [r.nearest_ts for r in found[2].orderBy("t").collect()] == [min(49, (k + 3) // 7 * 7) for k in range(50)]
+
+
+def test_points_are_gathered_and_warmed_without_dealing_them_out_by_tile(spark):
+    queries = entry.queries()
+    gathered = plan(queries["gather_g2p"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" not in gathered and "BroadcastHashJoin" in gathered
+    assert plan(queries["thermal_points"](spark, "/root/testdata/sf0.001")).count("Exchange hashpartitioning") == 1
