@@ -82,21 +82,28 @@ def with_strength(state: DataFrame, salinity: float = 6.0, modes: int = 3, depth
     return state.withColumn("strength", P.strength(F.col("thickness"), F.col("ts_last"), [F.col(f"a{n}") for n in range(1, modes + 1)], salinity, depths))
 
 
-def update_points(points: DataFrame, surface: DataFrame, dt: float, salinity: float) -> DataFrame:
-    """One thermal frame for points: surface (point_id, ts_new) in Celsius; modes, ts_old and xi are renewed."""
-    x = points.join(surface.select("point_id", "ts_new"), "point_id", "left").withColumn("ts_new", F.coalesce("ts_new", "ts_old"))
+def update_points(points: DataFrame, surface: DataFrame | Column, dt: float, salinity: float) -> DataFrame:
+    """One thermal frame for points; modes, ts_old and xi are renewed. Disabled points too.
+
+    surface: the new temperature in Celsius, as rows (point_id, ts_new) or as a column of the points, which needs no join.
+    """
+    if isinstance(surface, Column):
+        x = points.withColumn("ts_new", surface)
+    else:
+        x = points.join(surface.select("point_id", "ts_new"), "point_id", "left")
+    x = x.withColumn("ts_new", F.coalesce("ts_new", "ts_old"))
     rate = (F.col("ts_new") - F.col("ts_old")) / dt
     x = x.withColumns({f"a{n}": mode_step(F.col(f"a{n}"), rate, F.lit(float(dt)), F.col("thickness"), n) for n in (1, 2, 3)})
     x = x.withColumn("xi", P.strength(F.col("thickness"), F.col("ts_new"), [F.col(f"a{n}") for n in (1, 2, 3)], salinity))
     return x.withColumn("ts_old", F.col("ts_new")).select(*points.columns)
 
 
-def strength_step(points: DataFrame, temperatures: DataFrame, alpha: float, dt: float, salinity: float) -> DataFrame:
+def strength_step(points: DataFrame, temperatures: DataFrame, alpha: float, dt: float, salinity: float, most: int | None = None) -> DataFrame:
     """Points after one thermal frame of `dt` seconds: modes, ts_old and xi renewed from the grid's temperature.
 
     temperatures: i, j and the two frames around the time, t0 and t1, in kelvin, blended by alpha. Each point gathers
-    them from its 3 x 3 neighbourhood with the quadratic weights. Disabled points stay as they are.
+    them from its 3 x 3 neighbourhood with the quadratic weights. Disabled points stay as they are. `most`: see `gathered`.
     """
     live = enabled(points)
-    warm = gather(live, temperatures, ["t0", "t1"], "point_id").select("point_id", celsius(F.col("t0") * (1 - alpha) + F.col("t1") * alpha).alias("ts_new"))
+    warm = gather(live, temperatures, ["t0", "t1"], "point_id", most=most).select("point_id", celsius(F.col("t0") * (1 - alpha) + F.col("t1") * alpha).alias("ts_new"))
     return update_points(live, warm, dt, salinity).unionByName(points.filter(has(F.col("flags"), S.DISABLED)))
