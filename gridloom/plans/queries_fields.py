@@ -253,12 +253,11 @@ _SPLINE = "(CASE {d} WHEN -1 THEN 0.5 * (0.5 - {p}) * (0.5 - {p}) WHEN 0 THEN 0.
 def strength_from_grid(spark, sf_dir):
     """The strength step from the gather of the grid's temperature to xi; some points are disabled."""
     li = _one(spark, sf_dir)
-    off = li.filter("l_linestatus = 'F' AND l_quantity > 40").select((F.col("l_orderkey") * 100_000_000 + F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("point_id"), F.lit(S.DISABLED).alias("off"))
-    p = _states(spark, sf_dir, li).join(off, "point_id", "left")
-    p = p.withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("off", F.lit(0)).cast("long"))).drop("off")
+    off = F.when(F.expr("l_linestatus = 'F' AND l_quantity > 40"), F.lit(S.DISABLED)).otherwise(F.lit(0))
+    p = _states(spark, sf_dir, li, off)
     o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 64).alias("i"), (F.col("o_orderkey") % 64).alias("j")).agg((F.avg("o_totalprice") / 50000).alias("v"))
     grid = spark.range(64 * 64).select(F.expr("id DIV 64").alias("i"), (F.col("id") % 64).alias("j")).join(o, ["i", "j"], "left").fillna(0.0, ["v"])
-    out = strength_step(p, grid.select("i", "j", (F.lit(250.0) + F.col("v")).alias("t0"), (F.lit(255.0) - F.col("v") * 2).alias("t1")), 0.25, 3600.0, 6.0)
+    out = strength_step(p, grid.select("i", "j", (F.lit(250.0) + F.col("v")).alias("t0"), (F.lit(255.0) - F.col("v") * 2).alias("t1")), 0.25, 3600.0, 6.0, most=64 * 64)
     return out.select("point_id", F.round("ts_old", 7).alias("ts_old"), F.round("a1", 7).alias("a1"), F.round("xi", 2).alias("xi"))
 
 
