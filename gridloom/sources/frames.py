@@ -71,8 +71,10 @@ def write_snapshot(points: DataFrame, folder: str, number: int, **attributes) ->
     """Points of one snapshot and a one-row table of attributes. Written again, a snapshot replaces the earlier one."""
     replace = {"partitionOverwriteMode": "dynamic", "compression": "zstd"}
     points.withColumn("snapshot", F.lit(number)).write.mode("overwrite").options(**replace).partitionBy("snapshot").parquet(f"{folder}/points")
-    row = {"number": number, "n_points": points.count()} | attributes
-    points.sparkSession.createDataFrame([tuple(row.values())], list(row)).withColumn("snapshot", F.lit(number)).write.mode("overwrite").options(**replace).partitionBy("snapshot").parquet(f"{folder}/attributes")
+    spark = points.sparkSession
+    written = spark.read.parquet(f"{folder}/points").filter(F.col("snapshot") == number)  # counted from the files, so that points are made once
+    row = {"number": number, "n_points": written.count()} | attributes
+    spark.createDataFrame([tuple(row.values())], list(row)).withColumn("snapshot", F.lit(number)).write.mode("overwrite").options(**replace).partitionBy("snapshot").parquet(f"{folder}/attributes")
 
 
 def read_snapshot(spark: SparkSession, folder: str, number: int, columns: Sequence[str] | None = None, capacity: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
